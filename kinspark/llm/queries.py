@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontam, langid, packing, simhash
+from . import ctw, decontam, langid, multiindex, packing, simhash, toxicity
 from .common import held_out
 
 
@@ -30,6 +30,17 @@ def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op6_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1)).select("doc_id", "toxic"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~held_out("doc_id", 4, 2)).select("doc_id", "text", "lang"))
@@ -58,6 +69,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_ctw": op3_ctw,
+    "op6_multiindex": op6_multiindex,
+    "op7_toxicity": op7_toxicity,
     "op8_langid": op8_langid,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
