@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontam, langid, multiindex, packing, pii, simhash, toxicity
+from . import ctw, decontam, langid, multiindex, packing, pii, prefixfree, simhash, toxicity
 from .common import held_out
 
 
@@ -34,6 +34,11 @@ def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op4_prefixfree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefixfree.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def op6_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
     "op3_ctw": op3_ctw,
+    "op4_prefixfree": op4_prefixfree,
     "op6_multiindex": op6_multiindex,
     "op7_toxicity": op7_toxicity,
     "op8_langid": op8_langid,
