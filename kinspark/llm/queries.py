@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontam, langid, multiindex, packing, pii, prefixfree, simhash, toxicity
+from . import ctw, decontam, langid, multiindex, packing, pii, prefixfree, recompression, simhash, toxicity
 from .common import held_out
 
 
@@ -39,6 +39,11 @@ def op4_prefixfree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
 
 
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompression.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def op6_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_ctw": op3_ctw,
     "op4_prefixfree": op4_prefixfree,
+    "op5_recompression": op5_recompression,
     "op6_multiindex": op6_multiindex,
     "op7_toxicity": op7_toxicity,
     "op8_langid": op8_langid,
@@ -115,4 +121,21 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(f.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
         FROM words w LEFT JOIN covered c ON w.doc_id = c.doc_id LEFT JOIN found f ON w.doc_id = f.doc_id
     """,
+    "op5_recompression": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)
+        ), firsts AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g
+        ), hit AS (
+            SELECT DISTINCT v.doc_id, unnest(range(v.i, v.i + 13)) AS p FROM windows v JOIN firsts f ON v.g = f.g WHERE f.first < v.doc_id
+        ), spread AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM words
+        ), kept AS (
+            SELECT s.doc_id, string_agg(s.x, ' ' ORDER BY s.p) AS t, count(*) AS n
+            FROM spread s LEFT JOIN hit h ON s.doc_id = h.doc_id AND s.p = h.p WHERE h.p IS NULL GROUP BY s.doc_id
+        )
+        SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+        FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
+    """,
 }
