@@ -1,4 +1,82 @@
-STAGES = []
+"""The training-data pipeline: five stages over documents, each one operator of kinspark.llm.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; run() writes
+each stage's rows as Parquet in the shared folder and reads them as the next one's docs.  All
+but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinspark.llm import decontam, langid, packing, pii, simhash
+from kinspark.llm.common import write_table
+from kinspark.llm.queries import tokenizer
+
+#: No SQL can express the trained, hashed and searched stages; tests compare run() with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def _ship(spark: SparkSession) -> None:
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.abspath(__file__)))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with enough confidence; the told language becomes `lang` where there was none.
+
+    Learns from all docs that have a lang.  Null texts and texts without a letter go.
+    """
+    _ship(spark)
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    told = langid.predict(docs, model, keep=[F.col(c) for c in docs.columns])
+    return told.where(~F.col("rejected")).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component: the one with the smallest doc_id; rows that repeat it go too."""
+    _ship(spark)
+    found = simhash.near_duplicates(docs)
+    stay = found.where((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull()).select("doc_id").distinct()
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark spans cut out; documents that consist of them go."""
+    _ship(spark)
+    return decontam.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal numbers, dates, addresses and secrets replaced by pseudonyms of the same format."""
+    changed = pii.pseudonymise(docs)
+    n_chars = F.when(F.col("n_pii") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return changed.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in sequences of 2048 tokens."""
+    _ship(spark)
+    return packing.pack(docs, tokenizer())
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("pii", pseudonyms),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = write_table(docs, name)
+    return docs
