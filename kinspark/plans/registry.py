@@ -1,4 +1,28 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import catalog_queries, report_queries, tree_queries
+from .fixtures import Fixtures, oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _bound(build: Callable[[Fixtures], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return build(Fixtures(spark, sf_dir))
+
+    run.__doc__ = build.__doc__
+    return run
+
+
+for _module in (report_queries, catalog_queries, tree_queries):
+    for _name, (_build, _sql) in _module.REGISTERED.items():
+        QUERIES[_name] = _bound(_build)
+        if _sql:
+            ORACLE_SQL[_name] = oracle(_sql)
