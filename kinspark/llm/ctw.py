@@ -187,10 +187,16 @@ def gathered(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return names, np.bincount(back, weights=counts, minlength=len(names))
 
 
+def each_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """What all chunks ask of one bucket, as a frame."""
+    for row in chunk_rows(batches):
+        yield pd.DataFrame(row["asked"]).assign(kind=row["kind"])
+
+
 def upper_nodes(depth: int):
     """Depth-1 nodes of a bucket: (context, node, n0, n1, children); and for words their number and sum."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def one(group: pd.DataFrame) -> pd.DataFrame:
         out = []
         if group["kind"].iat[0] == "word":
             total: Counter[bytes] = Counter()
@@ -206,6 +212,10 @@ def upper_nodes(depth: int):
                 out.append(pd.DataFrame({"context": (level.names >> np.uint64(8)).astype(np.int64), "node": (level.names & np.uint64(0xFF)).astype(np.int64), "n0": level.n0, "n1": level.n1, "children": level.children}))
         return pd.concat(out)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in each_bucket(batches):
+            yield pa.RecordBatch.from_pandas(one(group), preserve_index=False)
+
     return run
 
 
@@ -277,7 +287,7 @@ def gram_log10(keys: np.ndarray, counts: np.ndarray, depth: int, root: Roots) ->
 def answers(depth: int, held):
     """Each chunk's grams with log10 probabilities, and its words with corpus counts."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def one(group: pd.DataFrame) -> list[tuple]:
         out = []
         if group["kind"].iat[0] == "word":
             total: Counter[bytes] = Counter()
@@ -292,7 +302,11 @@ def answers(depth: int, held):
             for chunk, names in zip(group["chunk"], group["names"], strict=True):
                 at = np.searchsorted(keys, unpack_numbers(names).view(np.uint64))
                 out.append((chunk, "gram", names, logs[at].tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "kind", "names", "values"])
+        return out
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in each_bucket(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*one(group), strict=True), (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "kind", "names", "values"])
 
     return run
 
@@ -379,12 +393,13 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", settings: Setti
     chunks = chunked(docs, F.coalesce(held_out, F.lit(False)), text, settings.chunk_bytes)
     size = docs.agg(F.sum(F.octet_length(text)).alias("n"), F.sum((~F.coalesce(held_out, F.lit(False))).cast("long")).alias("texts")).first()
     buckets = int(min(1 << 16, max(16, -(-(size["n"] or 0) // settings.bucket_bytes))))
-    asked = write_table(chunks.mapInArrow(asks(settings, buckets), ASK), "asked")
-    by_bucket = asked.groupBy("kind", "bucket")
-    upper = by_bucket.applyInPandas(upper_nodes(settings.depth), UPPER).groupBy("context", "node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "children")])
+    asked = chunks.mapInArrow(asks(settings, buckets), ASK).groupBy("kind", "bucket")
+    # a row for each bucket, of about `bucket_bytes` of text or less
+    asked = write_table(asked.agg(F.collect_list(F.struct("chunk", "names", "counts")).alias("asked")), "asked")
+    upper = asked.mapInArrow(upper_nodes(settings.depth), UPPER).groupBy("context", "node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "children")])
     root = roots(upper.collect(), size["texts"] or 0)  # at most 256 x 256 rows and one
     held = context.broadcast(root)
-    told = by_bucket.applyInPandas(answers(settings.depth, held), ANSWER)
+    told = asked.mapInArrow(answers(settings.depth, held), ANSWER)
     told = told.groupBy("chunk").agg(F.collect_list(F.struct("kind", "names", "values")).alias("answers"))  # at most a chunk's own grams
     found = chunks.join(told, "chunk").mapInArrow(scores(settings, held), SCORED)
     return found.withColumns({"train_tokens": F.lit(root.total).cast("long"), "bits_per_byte": -F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")})
