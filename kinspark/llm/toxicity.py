@@ -287,9 +287,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
     got = rows.mapInArrow(patterns, "x binary, toxic boolean").collect()
     x = np.stack([np.frombuffer(r["x"], dtype=np.float64) for r in got])
     weights, bias = fit_weights(x, np.array([float(r["toxic"]) for r in got]))
-    # patterns that the sample never showed weigh like the plain one, less what their transducer takes
+    # patterns that the sample never showed weigh like the plain one (or it like the best other), marked ones in part
     for a in (INSULT, THREAT):
         plain = _PLACE[a]
+        if not x[:, plain].any():
+            weights[plain] = max(weights[_PLACE[a + b]] for b in (":aimed", ":negated", ":reported"))
         for b, factor in ((":aimed", 1.0), (":negated", 0.5), (":reported", 0.5)):
             if not x[:, _PLACE[a + b]].any():
                 weights[_PLACE[a + b]] = factor * weights[plain]
