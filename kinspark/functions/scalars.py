@@ -57,7 +57,7 @@ def call_tokens(call: Column) -> Column:
     """Candidate names of a haplogroup call, terminal first: path steps from the last, synonyms in order."""
     steps = F.reverse(F.split(F.trim(call), r"\s*>\s*"))
     tokens = F.flatten(F.transform(steps, lambda s: F.split(s, r"\s*/\s*")))
-    return F.array_distinct(F.filter(tokens, lambda t: (t != "") & (F.lower(t) != "n/a")))
+    return F.when(F.lower(F.trim(call)) == "n/a", F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(tokens, lambda t: t != "")))
 
 
 def has_pii(text: Column) -> Column:

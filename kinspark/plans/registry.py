@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_queries, report_queries, source_queries, tree_queries
+from . import catalog_queries, curation_queries, report_queries, source_queries, tree_queries
 from .fixtures import Fixtures, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +21,7 @@ def _bound(build: Callable[[Fixtures], DataFrame]) -> Callable[[SparkSession, st
     return run
 
 
-for _module in (report_queries, catalog_queries, tree_queries, source_queries):
+for _module in (report_queries, catalog_queries, tree_queries, source_queries, curation_queries):
     for _name, (_build, _sql) in _module.REGISTERED.items():
         QUERIES[_name] = _bound(_build)
         if _sql:
