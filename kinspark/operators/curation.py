@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,36 +158,38 @@ def natural_sort_pick(wishes: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("names did not settle")
 
 
-def str_reconstruct(motifs: DataFrame, topology: DataFrame) -> DataFrame:
+def str_reconstruct(motifs: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, marker, value): upwards the mode of a node's own and its children's values (the smaller of equals), then gaps from the parent.
 
-    Markers are independent, so each is a group; its rows are the tree's nodes.
+    A round per level of the tree, each an equi-join on the edge and a grouped count, so no
+    marker and no tree has to fit in one task.
     """
-
-    def run(key: tuple, own: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
-        value = dict(zip(own["node_id"], own["modal"], strict=True))
-        children: dict[int, list[int]] = {}
-        for c, p in zip(tree["child_id"], tree["parent_id"], strict=True):
-            children.setdefault(p, []).append(c)
-        roots = sorted(set(children) - set(tree["child_id"]))
-        order, todo = [], list(roots)
-        while todo:
-            node = todo.pop()
-            order.append(node)
-            todo.extend(children.get(node, ()))
-        up: dict[int, int] = {}
-        for node in reversed(order):
-            votes = [up[c] for c in children.get(node, ()) if c in up] + ([value[node]] if node in value else [])
-            if votes:
-                up[node] = min(set(votes), key=lambda v: (-votes.count(v), v))
-        parent = dict(zip(tree["child_id"], tree["parent_id"], strict=True))
-        for node in order:
-            if node not in up and parent.get(node) in up:
-                up[node] = up[parent[node]]
-        return pd.DataFrame([(n, key[0], int(v)) for n, v in up.items()], columns=["node_id", "marker", "value"])
-
-    markers = motifs.select((F.col("marker") + 0).alias("marker")).distinct()
-    return motifs.groupBy("marker").cogroup(markers.crossJoin(F.broadcast(topology.select("child_id", "parent_id"))).groupBy("marker")).applyInPandas(run, "node_id long, marker int, value int")
+    from .tree import cut_lineage, node_depth, tree_closure
+
+    parent = cut_lineage(edges.select("child_id", "parent_id").distinct())
+    depth = cut_lineage(node_depth(tree_closure(edges)))
+    deepest = depth.agg(F.max("depth")).first()[0] or 0
+    own = motifs.select("node_id", "marker", F.col("modal").alias("value"))
+    up = None
+    below = None
+    for d in range(deepest, -1, -1):
+        here = depth.where(F.col("depth") == d).select("node_id")
+        votes = own.join(here, "node_id", "left_semi")
+        if below is not None:
+            votes = votes.union(below.withColumnRenamed("node_id", "child_id").join(parent, "child_id").select(F.col("parent_id").alias("node_id"), "marker", "value"))
+        n = votes.groupBy("node_id", "marker", "value").agg(F.count("*").alias("n"))
+        below = cut_lineage(n.groupBy("node_id", "marker").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value")))
+        up = below if up is None else up.union(below)
+    above, out = below, below
+    if above is None:
+        return own
+    for d in range(1, deepest + 1):
+        here = depth.where(F.col("depth") == d).select("node_id")
+        from_parent = here.join(parent, here["node_id"] == parent["child_id"]).select("node_id", "parent_id").join(above.select(F.col("node_id").alias("parent_id"), "marker", F.col("value").alias("given")), "parent_id").select("node_id", "marker", "given")
+        mine = up.join(here, "node_id", "left_semi")
+        above = cut_lineage(mine.join(from_parent, ["node_id", "marker"], "full_outer").select("node_id", "marker", F.coalesce("value", "given").alias("value")))
+        out = out.union(above)
+    return out
 
 
 def sample_report(samples: DataFrame, coverage: DataFrame, placements: DataFrame) -> DataFrame:

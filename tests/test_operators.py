@@ -102,3 +102,27 @@ def test_pdfs(spark):
     assert ages.pdf_stats(ages.pdf_multiply(both, "id", "kp"), "id", 10.0).first()["mean"] == pytest.approx(3150, abs=2)
     apart = spark.createDataFrame([(1, "a", 5, 1.0), (1, "b", 9, 1.0)], "id int, part string, bin int, mass double")
     assert ages.pdf_multiply(apart, "id", "part").count() == 0
+
+
+def test_str_reconstruct_fills_up_and_down(spark):
+    from kinspark.operators import curation
+
+    edges = spark.createDataFrame([(2, 1, None), (3, 1, None), (4, 2, None)], "child_id long, parent_id long, valid_until timestamp")
+    motifs = spark.createDataFrame([(2, 7, 13), (3, 7, 14), (4, 8, 20)], "node_id long, marker int, modal int")
+    got = {(r["node_id"], r["marker"]): r["value"] for r in curation.str_reconstruct(motifs, edges).collect()}
+    assert got == {(1, 7): 13, (2, 7): 13, (3, 7): 14, (4, 7): 13, (4, 8): 20, (2, 8): 20, (1, 8): 20, (3, 8): 20}
+
+
+def test_natural_sort_pick_settles_on_the_lowest_nodes(spark):
+    from kinspark.operators import curation
+
+    wishes = spark.createDataFrame([(1, "C500"), (1, "C99"), (2, "C99"), (2, "C500"), (2, "MF1"), (3, "C99")], "node_id long, name string")
+    assert sorted(map(tuple, curation.natural_sort_pick(wishes).collect())) == [(1, "C99"), (2, "C500")]
+
+
+def test_clusters_flag_splits(spark):
+    from kinspark.operators import clusters
+
+    rows = [(9, s, v) for s, vs in ((1, (1, 2, 3, 4, 5)), (2, (1, 2, 3, 4, 5)), (3, (1, 2, 3, 6)), (4, (8, 9))) for v in vs]
+    got = {r["seed"]: (r["members"], r["variants"], r["split"]) for r in clusters.cluster_variant_sets(spark.createDataFrame(rows, "terminal int, sample_id long, variant_id long")).collect()}
+    assert got[1] == (2, 5, True) and got[4] == (1, 2, False)
