@@ -102,3 +102,83 @@ def pdf_convolve(left: DataFrame, right: DataFrame, key: str, bins: int, subtrac
 
     kind = left.schema[key].dataType.simpleString()
     return left.select(key, "bin", "mass").groupBy(key).cogroup(right.select(key, "bin", "mass").groupBy(key)).applyInPandas(run, f"{key} {kind}, bin int, mass double")
+
+
+#: Mutations per base and year; birth year of living testers before present, and its spread.
+SNP_RATE = 8.33e-10
+BIRTH, BIRTH_SIGMA = 63.0, 14.0
+
+
+def poisson_mass(m: int, rate: float, resolution: float, bins: int) -> np.ndarray:
+    """Masses of the age that m mutations at `rate` a year tell; no mutation is no time."""
+    t = np.arange(bins) * resolution * rate
+    if m <= 0:
+        return np.eye(1, bins)[0]
+    with np.errstate(divide="ignore"):
+        logs = m * np.log(t) - t
+    w = np.exp(logs - logs.max())
+    return w / w.sum()
+
+
+def tester_mass(m: int, rate: float, resolution: float, bins: int) -> np.ndarray:
+    """Age from a living tester's private mutations: their time and the tester's birth."""
+    t = np.arange(bins) * resolution
+    if m <= 0:
+        w = np.exp(-t * rate)
+    else:
+        w = poisson_mass(m, rate, resolution, bins)
+    birth = np.exp(-0.5 * ((t - BIRTH) / max(BIRTH_SIGMA, resolution / 2)) ** 2)
+    return convolved(w / w.sum(), birth / birth.sum(), bins)
+
+
+def snp_age_propagate(branches: DataFrame, testers: DataFrame, resolution: float = 50.0, bins: int = 400) -> DataFrame:
+    """(node_id, mean, median) of every node that descendants or testers date, bottom-up.
+
+    branches: (child_id, parent_id, snps, bp); testers: (node_id, snps, bp).  A node's age is the
+    product over its children (their age and their branch's time) and its testers.  A round per
+    level; a group holds one node's children, as arrays of `bins` masses; evidence that
+    excludes itself leaves the node undated.
+    """
+    from .tree import cut_lineage, node_depth, tree_closure
+
+    def product(rows: list[np.ndarray]) -> np.ndarray | None:
+        out = np.ones(bins)
+        for r in rows:
+            out = out * r
+            total = out.sum()
+            if total <= 0:
+                return None
+            out = out / total
+        return out
+
+    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        terms = []
+        for r in rows.itertuples(index=False):
+            rate = r.bp * SNP_RATE
+            if r.mass is None:
+                terms.append(tester_mass(int(r.snps), rate, resolution, bins))
+            else:
+                terms.append(convolved(np.asarray(r.mass), poisson_mass(int(r.snps), rate, resolution, bins), bins))
+        out = product(terms)
+        return pd.DataFrame({"node_id": [key[0]], "mass": [out.tolist()]} if out is not None else {"node_id": [], "mass": []})
+
+    edges = cut_lineage(branches.select("child_id", "parent_id", "snps", "bp").distinct())
+    closed = tree_closure(edges.withColumn("valid_until", F.lit(None).cast("timestamp")))
+    depth = cut_lineage(node_depth(closed).union(testers.select("node_id", F.lit(0)).join(closed.select(F.col("descendant_id").alias("node_id")), "node_id", "left_anti")).distinct())
+    deepest = depth.agg(F.max("depth")).first()[0] or 0
+    own = testers.select("node_id", F.col("snps").cast("long").alias("snps"), F.col("bp").cast("double").alias("bp"), F.lit(None).cast("array<double>").alias("mass"))
+    below, out = None, None
+    for d in range(deepest, -1, -1):
+        rows = own.join(depth.where(F.col("depth") == d).select("node_id"), "node_id", "left_semi")
+        if below is not None:
+            up = below.withColumnRenamed("node_id", "child_id").join(edges, "child_id")
+            rows = rows.union(up.select(F.col("parent_id").alias("node_id"), F.col("snps").cast("long"), F.col("bp").cast("double"), "mass"))
+        below = cut_lineage(rows.groupBy("node_id").applyInPandas(join, "node_id long, mass array<double>"))
+        out = below if out is None else out.union(below)
+    masses = out.select("node_id", F.posexplode("mass").alias("bin", "mass"))
+    return pdf_stats(masses, "node_id", resolution).select("node_id", "mean", "median", "lo", "hi")
+
+
+def str_combine_gate(ages: DataFrame, least: int = 2, most_years: float = 10_000.0) -> DataFrame:
+    """Ages (median, testers) that may enter a combined age."""
+    return ages.where((F.col("testers") >= least) & (F.col("median") <= most_years))

@@ -223,3 +223,14 @@ def mt_rotation_lift(fx):
     """Positions through a rotation map; those not in it stay null."""
     turned = fx.variant.where("position % 4 <> 0").select("position", (F.col("position") + 3).alias("rotated")).distinct()
     return fx.variant.join(turned, "position", "left").select("id", "rotated")
+
+
+@query()
+def snp_age_propagate(fx):
+    """Branch ages over the tree of parts, from link counts and samples' variants."""
+    from ..operators import ages
+
+    snps = fx.node_variant.groupBy(F.col("node_id").alias("child_id")).agg((F.count("*") % 8).alias("snps"))
+    branches = fx.edge.where("child_id < 300").join(snps, "child_id", "left").select("child_id", "parent_id", F.coalesce("snps", F.lit(0)).cast("int").alias("snps"), F.lit(15e6).alias("bp"))
+    testers = fx.sample.where("terminal < 300").groupBy(F.col("terminal").alias("node_id")).agg((F.max("mt") % 12).cast("int").alias("snps")).withColumn("bp", F.lit(12e6))
+    return rounded(ages.snp_age_propagate(branches, testers), "mean", "median", "lo", "hi")

@@ -126,3 +126,11 @@ def test_clusters_flag_splits(spark):
     rows = [(9, s, v) for s, vs in ((1, (1, 2, 3, 4, 5)), (2, (1, 2, 3, 4, 5)), (3, (1, 2, 3, 6)), (4, (8, 9))) for v in vs]
     got = {r["seed"]: (r["members"], r["variants"], r["split"]) for r in clusters.cluster_variant_sets(spark.createDataFrame(rows, "terminal int, sample_id long, variant_id long")).collect()}
     assert got[1] == (2, 5, True) and got[4] == (1, 2, False)
+
+
+def test_snp_ages_grow_towards_the_root(spark):
+    branches = spark.createDataFrame([(2, 1, 3, 15e6), (3, 2, 2, 15e6)], "child_id long, parent_id long, snps int, bp double")
+    testers = spark.createDataFrame([(3, 5, 12.5e6), (1, 12, 12.5e6)], "node_id long, snps int, bp double")
+    got = {r["node_id"]: r for r in ages.snp_age_propagate(branches, testers).collect()}
+    assert set(got) == {1, 2, 3} and got[1]["median"] > got[2]["median"] > got[3]["median"] > 300
+    assert all(r["lo"] < r["median"] < r["hi"] for r in got.values())
