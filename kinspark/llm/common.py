@@ -195,7 +195,7 @@ def union_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def components(links: DataFrame, nodes_checked: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a long, b long): rows (node, component), component the smallest node.
 
     Alternates large-star and small-star steps, each a grouped minimum and an equi-join, and
@@ -203,7 +203,7 @@ def components(links: DataFrame, nodes_checked: int = 60) -> DataFrame:
     """
     edges = write_table(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
     seen = None
-    for _ in range(nodes_checked):
+    while True:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
