@@ -36,6 +36,8 @@ class Settings:
     rate: float = 0.4
     decoys: float = 0.25
     reject: float = 0.002
+    #: no rejection from this confidence on, whatever calibration says
+    sure: float = 0.4
     seed: int = 7
 
 
@@ -184,11 +186,11 @@ def train(rows: DataFrame, settings: Settings | None = None) -> Model:
     model = Model(languages, table.astype(np.float32), bias.astype(np.float64), 1.0, 0.0, settings)
     which = np.flatnonzero(held) if held.any() else np.arange(len(found))
     logits = np.stack([sparse[i][1] @ table[sparse[i][0]] + bias for i in which]).astype(np.float64)
-    model.temperature, model.threshold = calibrate(logits, y[which], settings.reject)
+    model.temperature, model.threshold = calibrate(logits, y[which], settings.reject, settings.sure)
     return model
 
 
-def calibrate(logits: np.ndarray, y: np.ndarray, reject: float) -> tuple[float, float]:
+def calibrate(logits: np.ndarray, y: np.ndarray, reject: float, sure: float) -> tuple[float, float]:
     """The temperature of least log loss, and the confidence below which at most a share `reject` of right answers falls."""
 
     def probabilities(t: float) -> np.ndarray:
@@ -201,7 +203,7 @@ def calibrate(logits: np.ndarray, y: np.ndarray, reject: float) -> tuple[float,
     best = float(grid[int(np.argmin(loss))])
     p = probabilities(best)
     right = p.max(axis=1)[p.argmax(axis=1) == y]
-    return best, float(min(np.quantile(right, reject), 0.5)) if len(right) else 0.0
+    return best, float(min(np.quantile(right, reject), sure)) if len(right) else 0.0
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
