@@ -68,3 +68,42 @@ def jaccard(shared: Column, a: Column, b: Column) -> Column:
     """Shared over the union; 0 for two empty sets."""
     union = a + b - shared
     return F.when(union == 0, 0.0).otherwise(shared / union)
+
+
+def normalize_placeholder_contig(name: Column, contig: Column) -> Column:
+    """`accession:123A>G` with the coordinate's contig before the colon; other names stay."""
+    return F.when(name.rlike("^[^:]+:[0-9]") & contig.isNotNull(), F.concat(contig, F.regexp_extract(name, "^[^:]+(:.*)$", 1))).otherwise(name)
+
+
+def pick_original_call(entries: Column, primary: str, fallback: str) -> Column:
+    """First entry (a map) with a call: its primary key if not blank, else its fallback key."""
+
+    def taken(e: Column) -> Column:
+        one, other = F.trim(F.try_element_at(e, F.lit(primary))), F.trim(F.try_element_at(e, F.lit(fallback)))
+        return F.coalesce(F.nullif(one, F.lit("")), F.nullif(other, F.lit("")))
+
+    return F.get(F.filter(F.transform(entries, taken), lambda x: x.isNotNull()), 0)
+
+
+#: Yields, in billions of bases, that a label may state.
+TIERS = [15, 30, 45, 60, 90, 120]
+
+
+def test_profile_label(read_type: Column, read_length: Column, total_bases: Column) -> Column:
+    """`WGS150 45Gbases`, `HiFi 90Gbases`: kind, read length of short reads, and the nearest tier of the yield; null without a yield."""
+    giga = total_bases / 1e9
+    tier = F.array_min(F.array(*[F.struct(F.abs(giga - t).alias("d"), F.lit(t).alias("t")) for t in TIERS]))["t"]
+    kind = F.when(read_type == "HIFI", "HiFi").when((read_type == "SHORT") & read_length.isNotNull(), F.concat(F.lit("WGS"), read_length.cast("string")))
+    return F.when(total_bases.isNotNull(), F.concat(kind, F.lit(" "), tier.cast("string"), F.lit("Gbases")))
+
+
+def parse_markers(values: Column) -> Column:
+    """Map of marker -> value text to structs (kind, repeats, copies): `13` simple, `11-15` multiCopy, others complex; missing ones (`-`, blank) go."""
+
+    def parsed(k: Column, v: Column) -> Column:
+        v = F.trim(v)
+        copies = F.when(v.rlike("^[0-9]+(-[0-9]+)+$"), F.transform(F.split(v, "-"), lambda x: x.cast("int")))
+        kind = F.when(v.rlike("^[0-9]+$"), "simple").when(copies.isNotNull(), "multiCopy").otherwise("complex")
+        return F.struct(kind.alias("kind"), v.try_cast("int").alias("repeats"), copies.alias("copies"))
+
+    return F.transform_values(F.map_filter(values, lambda k, v: v.isNotNull() & ~F.trim(v).isin("-", "")), parsed)

@@ -105,12 +105,12 @@ def normalize_doi(fx):
 
 
 BINS, RES = 200, 50.0
-POISSON = """WITH g AS (SELECT id, bin, CASE WHEN bin = 0 AND m > 0 THEN NULL WHEN bin = 0 THEN 0.0 ELSE m * ln(bin * 50.0 * rate) - bin * 50.0 * rate END AS lw FROM (SELECT p_partkey AS id, p_size % 20 AS m, 0.005 AS rate FROM part WHERE p_partkey % 20 = 0), (SELECT unnest(range(0, 200)) AS bin)),
+POISSON = """WITH g AS (SELECT id, bin, CASE WHEN bin = 0 AND m > 0 THEN NULL WHEN bin = 0 THEN 0.0 ELSE m * ln(bin * 50.0 * rate) - bin * 50.0 * rate END AS lw FROM (SELECT p_partkey AS id, p_size % 20 AS m, 0.005 AS rate FROM part), (SELECT unnest(range(0, 200)) AS bin)),
     w AS (SELECT id, bin, coalesce(exp(lw - max(lw) OVER (PARTITION BY id)), 0.0) AS w FROM g), p AS (SELECT id, bin, w / sum(w) OVER (PARTITION BY id) AS mass FROM w) """
 
 
 def poisson(fx):
-    rows = fx.table("part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 20).alias("m"), F.lit(0.005).alias("rate"))
+    rows = fx.table("part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 20).alias("m"), F.lit(0.005).alias("rate"))
     return ages.pdf_poisson(rows, "id", RES, BINS)
 
 
@@ -119,10 +119,10 @@ def pdf_poisson(fx):
     return rounded(poisson(fx), "mass")
 
 
-@query("""WITH g AS (SELECT id, bin, -0.5 * pow((bin * 50.0 - mean) / greatest(sigma, 25.0), 2) AS lw FROM (SELECT p_partkey AS id, p_size * 100.0 AS mean, p_partkey % 300 * 1.0 AS sigma FROM part WHERE p_partkey % 20 = 0), (SELECT unnest(range(0, 200)) AS bin)), w AS (SELECT id, bin, exp(lw - max(lw) OVER (PARTITION BY id)) AS w FROM g)
+@query("""WITH g AS (SELECT id, bin, -0.5 * pow((bin * 50.0 - mean) / greatest(sigma, 25.0), 2) AS lw FROM (SELECT p_partkey AS id, p_size * 100.0 AS mean, p_partkey % 300 * 1.0 AS sigma FROM part), (SELECT unnest(range(0, 200)) AS bin)), w AS (SELECT id, bin, exp(lw - max(lw) OVER (PARTITION BY id)) AS w FROM g)
     SELECT id, bin, round(w / sum(w) OVER (PARTITION BY id), 6) AS mass FROM w""")
 def pdf_gaussian(fx):
-    rows = fx.table("part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 100.0).alias("mean"), (F.col("p_partkey") % 300).cast("double").alias("sigma"))
+    rows = fx.table("part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 100.0).alias("mean"), (F.col("p_partkey") % 300).cast("double").alias("sigma"))
     return rounded(ages.pdf_gaussian(rows, "id", RES, BINS), "mass")
 
 
@@ -143,7 +143,7 @@ def pdf_mixture(fx):
     return rounded(ages.pdf_mixture(rows, "grp", "wt"), "mass")
 
 
-@query(POISSON + ", s AS (SELECT id - id % 100 AS grp, bin, sum(ln(mass)) AS lw FROM p WHERE mass > 0 GROUP BY 1, 2 HAVING count(*) = 5), z AS (SELECT grp, bin, exp(lw - max(lw) OVER (PARTITION BY grp)) AS w FROM s) SELECT grp, bin, round(w / sum(w) OVER (PARTITION BY grp), 6) AS mass FROM z")
+@query(POISSON + ", s AS (SELECT id - id % 100 AS grp, bin, sum(ln(CASE WHEN mass > 0 THEN mass END)) AS lw FROM p GROUP BY 1, 2 HAVING min(mass) > 0), z AS (SELECT grp, bin, exp(lw - max(lw) OVER (PARTITION BY grp)) AS w FROM s) SELECT grp, bin, round(w / sum(w) OVER (PARTITION BY grp), 6) AS mass FROM z")
 def pdf_multiply(fx):
     rows = poisson(fx).withColumn("grp", F.col("id") - F.col("id") % 100)
     return rounded(ages.pdf_multiply(rows, "grp", "id"), "mass")

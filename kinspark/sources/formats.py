@@ -128,3 +128,42 @@ def topic_whitelist(candidates: DataFrame, filters: DataFrame) -> DataFrame:
     """Candidates as ON_TOPIC, OFF_TOPIC or NO_TOPIC against filters `primary_topic.id:A|B` (column filter)."""
     ids = filters.select(F.explode(F.split(F.regexp_extract("filter", r"primary_topic\.id:([^,]+)", 1), r"\|")).alias("topic")).where("topic <> ''").distinct().withColumn("on", F.lit(True))
     return candidates.join(ids, "topic", "left").withColumn("status", F.when(F.col("topic").isNull(), "NO_TOPIC").when(F.col("on"), "ON_TOPIC").otherwise("OFF_TOPIC")).drop("on")
+
+
+WORK = "id string, doi string, title string, publication_date string, cited_by_count long, abstract_inverted_index map<string,array<long>>, primary_location struct<source:struct<display_name:string>>, open_access struct<oa_status:string>"
+
+
+def scan_works(rows: DataFrame) -> DataFrame:
+    """Candidates from JSON works in column value: bare ids, dates, the abstract rebuilt from its word positions; works without an id go."""
+    w = rows.select(F.from_json("value", WORK).alias("w")).where("w.id is not null")
+    places = F.flatten(F.transform(F.map_entries("w.abstract_inverted_index"), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("word")))))
+    text = F.array_join(F.transform(F.array_sort(places), lambda x: x["word"]), " ")
+    return w.select(
+        F.substring_index("w.id", "/", -1).alias("work_id"), "w.doi", "w.title", F.to_date(F.try_to_timestamp("w.publication_date", F.lit("yyyy-MM-dd"))).alias("published"),
+        "w.cited_by_count", F.col("w.primary_location.source.display_name").alias("journal"), F.when(text != "", text).alias("abstract"))
+
+
+COMMIT = "did string, time_us long, kind string, commit struct<operation:string,collection:string,rkey:string,record:map<string,string>>"
+OPERATIONS = ["create", "update", "delete"]
+
+
+def scan_commit_stream(rows: DataFrame, collections: list[str] | None = None) -> DataFrame:
+    """(did, collection, rkey, operation, time_us, record) of JSON commits in column value, of a batch or a stream; what is no commit, or not of the collections, goes."""
+    e = rows.select(F.from_json("value", COMMIT).alias("e")).where((F.col("e.kind") == "commit") & F.col("e.commit.operation").isin(OPERATIONS) & F.col("e.did").isNotNull() & F.col("e.commit.rkey").isNotNull())
+    out = e.select("e.did", "e.commit.collection", "e.commit.rkey", "e.commit.operation", "e.time_us", "e.commit.record")
+    return out.where(F.col("collection").isin(collections)) if collections is not None else out.where("collection is not null")
+
+
+NODES = "nodes array<struct<id:string,parent:string,label:string,support:double,definingVariants:array<struct<name:string,position:long,ancestral:string,derived:string>>,tips:array<string>,conflicts:array<string>>>"
+
+
+def scan_tree_document(documents: DataFrame) -> dict[str, DataFrame]:
+    """Flat tables of tree documents (columns tree, value: JSON with nodes[]): node, edge, link, tip and conflict."""
+    n = documents.select("tree", F.explode(F.from_json("value", NODES)["nodes"]).alias("n")).where("n.id is not null")
+    return {
+        "node": n.select("tree", "n.id", "n.label", "n.support"),
+        "edge": n.where("n.parent is not null").select("tree", F.col("n.parent").alias("parent_id"), F.col("n.id").alias("child_id")),
+        "link": n.select("tree", "n.id", F.explode("n.definingVariants").alias("v")).select("tree", "id", "v.*"),
+        "tip": n.select("tree", "n.id", F.explode("n.tips").alias("tip")),
+        "conflict": n.select("tree", "n.id", F.explode("n.conflicts").alias("conflict")),
+    }
