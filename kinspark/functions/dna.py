@@ -45,20 +45,34 @@ def _common(a: Column, d: Column, most: Column) -> Column:
     return same
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def allele_canon(anc: Column, der: Column) -> Column:
     """Strand-canonical `anc>der`: an SNP is the lesser of its two strands, an indel loses common ends but a base."""
-    a, d = expand_repeat(anc), expand_repeat(der)
-    plain = F.concat(a, F.lit(">"), d)
-    bases = a.rlike("^[ACGT]+$") & d.rlike("^[ACGT]+$")
-    tail = _common(F.reverse(a), F.reverse(d), F.least(F.length(a), F.length(d)) - 1)
-    a2, d2 = F.substring(a, F.lit(1), F.length(a) - tail), F.substring(d, F.lit(1), F.length(d) - tail)
-    head = _common(a2, d2, F.least(F.length(a2), F.length(d2)) - 1)
-    trimmed = F.concat(F.substring(a2, head + 1, F.length(a2)), F.lit(">"), F.substring(d2, head + 1, F.length(d2)))
-    return (
-        F.when(bases & (F.length(a) == 1) & (F.length(d) == 1), F.least(plain, F.concat(dna_complement(a), F.lit(">"), dna_complement(d))))
-        .when(bases & (F.length(a) != F.length(d)), trimmed)
-        .otherwise(plain)
-    )
+
+    def head(x: Column) -> Column:
+        n = _common(x["a"], x["d"], F.least(F.length(x["a"]), F.length(x["d"])) - 1)
+        return _let(n, lambda k: F.concat(F.substring(x["a"], k + 1, F.length(x["a"])), F.lit(">"), F.substring(x["d"], k + 1, F.length(x["d"]))))
+
+    def trimmed(a: Column, d: Column) -> Column:
+        n = _common(F.reverse(a), F.reverse(d), F.least(F.length(a), F.length(d)) - 1)
+        cut = _let(n, lambda k: F.struct(F.substring(a, F.lit(1), F.length(a) - k).alias("a"), F.substring(d, F.lit(1), F.length(d) - k).alias("d")))
+        return _let(cut, head)
+
+    def canon(x: Column) -> Column:
+        a, d = x["a"], x["d"]
+        plain = F.concat(a, F.lit(">"), d)
+        bases = a.rlike("^[ACGT]+$") & d.rlike("^[ACGT]+$")
+        return (
+            F.when(bases & (F.length(a) == 1) & (F.length(d) == 1), F.least(plain, F.concat(dna_complement(a), F.lit(">"), dna_complement(d))))
+            .when(bases & (F.length(a) != F.length(d)), trimmed(a, d))
+            .otherwise(plain)
+        )
+
+    return _let(F.struct(expand_repeat(anc).alias("a"), expand_repeat(der).alias("d")), canon)
 
 
 def name_rank(name: Column) -> Column:

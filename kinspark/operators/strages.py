@@ -78,6 +78,7 @@ def str_star_age(testers: DataFrame, modal: DataFrame, marker_ages: DataFrame, r
     Equal distances are counted first, so a node costs a row per (marker, distance, bin),
     however many testers it has.
     """
+    marker_ages = cut_lineage(marker_ages)  # three joins read it
     d = testers.join(modal, ["node_id", "marker"]).withColumn("g", F.abs(F.col("repeats") - F.col("modal")).cast("int"))
     counts = d.groupBy("node_id", "marker", "g").agg(F.count("*").alias("n"))
     terms = counts.join(marker_ages.where("mass > 0"), ["marker", "g"])
