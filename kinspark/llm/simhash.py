@@ -45,15 +45,17 @@ def fingerprint_of(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, seed: int = 42, extra: Iterable[str] = ()) -> DataFrame:
+    """(doc_id, the columns of `extra`, fp): the fingerprint of every whole text as a signed long."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, body(text).alias("body"))
+    names = ["doc_id", *extra]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint_of(x, shingle, seed) for x in byte_rows(batch, "body")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(found.view(np.int64))], names=[*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), body(text).alias("body")).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names) + ", fp long")
 
 
 def signed(x: int) -> int:
@@ -140,6 +142,12 @@ def near_links(fps: DataFrame, radius: int = 3, limit: int = BUCKET_LIMIT) -> Da
         paths = following
 
 
+def labelled(distinct: DataFrame, radius: int = 3, limit: int = BUCKET_LIMIT) -> DataFrame:
+    """distinct (one row for each fp) with `component`, the fingerprint that names the class of its fp."""
+    classes = components(near_links(distinct.select("fp"), radius, limit))
+    return distinct.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", radius: int = 3, shingle: int = 3, seed: int = 42, limit: int = BUCKET_LIMIT) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs.
 
@@ -149,9 +157,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", radius: int = 3, shingl
     """
     found = write_table(fingerprints(docs, text, shingle, seed), "fingerprints")
     distinct = write_table(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    links = near_links(distinct.select("fp"), radius, limit)
-    classes = components(links)
-    labels = distinct.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    labels = labelled(distinct, radius, limit)
     least = labels.groupBy("component").agg(F.min("first").alias("component_id"))
     labels = labels.join(least, "component").select("fp", "component_id")
     return found.join(labels, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", radius: int = 3, shingle: int = 3, seed: int = 42, limit: int = BUCKET_LIMIT) -> DataFrame:
+    """One row of each component: that with the smallest doc_id (null last), then fingerprint, then row number.
+
+    Row numbers are written with the rows, so neither null nor repeated ids join unlike rows, and
+    a task that runs again keeps the same rows.
+    """
+    rows = write_table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = write_table(fingerprints(rows, text, shingle, seed, ["_row"]), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "fp", "_row")
+    distinct = write_table(found.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
+    stay = labelled(distinct, radius, limit).groupBy("component").agg(F.min("first").alias("first")).select("first._row")
+    return rows.join(stay, "_row", "left_semi").drop("_row")

@@ -92,3 +92,16 @@ def test_run_packs_what_is_left(spark, tmp_path, rows):
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
     assert len({r["sequence_id"] for r in got}) <= -(-sum(w[3] for w in want) // 2048) + 1
+
+
+def test_near_duplicates_keep_unlike_rows_whatever_their_ids(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.permutation(EN.split() * 3)) + f" number{i}" for i in range(6)]
+    rows = [(None, texts[0], "a"), (None, texts[1], "b"), (None, texts[1], "c"), (None, texts[2], "d"), (None, texts[3], "e"),
+            (7, texts[3], "f"), (7, texts[4], "g"), (7, texts[4], "h"), (9, texts[4], "i"), (9, texts[5], "j"), (None, None, "k"), (None, "", "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    got = got.collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got if r["text"]), key=str) == sorted([(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[5])], key=str)
+    assert len(got) == 7
