@@ -11,6 +11,7 @@ labels; closed-class words are fixed lists.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, byte_rows, write_table
+from .common import byte_rows, write_table
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED, STOP = "o", "insult", "threat", "target", "negation", "reported", "|"
 
@@ -32,7 +33,17 @@ CLOSED = {
     THREAT: "kill hurt destroy murder stab beat tuer frapper töten umbringen schlagen matar golpear".split(),
 }
 
-_CUT = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;:\n]")
+#: Combining marks, which belong to the word that they stand in.
+_MARKS = "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.category(chr(c)) in ("Mn", "Mc"))
+#: Words of the closed classes that have an apostrophe stay whole; others end at it ("l'imbécile").
+_WHOLE = "|".join(sorted((re.escape(w) for words in CLOSED.values() for w in words if "'" in w), key=len, reverse=True))
+_CUT = re.compile(rf"(?:{_WHOLE})(?![^\W_])|[^\W_]+(?:[{_MARKS}]+[^\W_]*)*|[.!?;:\n]")
+
+
+def cut(text: str) -> Iterator[str]:
+    """The words (runs of letters and digits of any script) and clause ends of a text, for learning and scoring alike."""
+    lowered = unicodedata.normalize("NFC", text.lower()).replace("\u2019", "'")
+    return map(re.Match.group, _CUT.finditer(lowered))
 
 
 @dataclass
@@ -122,7 +133,7 @@ class Lexicon:
 
     stems: dict[str, float]
     cache: int
-    known: dict[bytes, tuple[str, float] | None] = field(default_factory=dict)
+    known: dict[str, tuple[str, float] | None] = field(default_factory=dict)
 
     def __post_init__(self):
         self.lengths = sorted({len(s) for s in self.stems}, reverse=True)
@@ -139,27 +150,24 @@ class Lexicon:
         kind = self.closed.get(word)
         return (kind, 1.0) if kind else None
 
-    def any_match(self, lowered: bytes) -> bool:
+    def any_match(self, words: set[str]) -> bool:
         """Does any word read as insult or threat?"""
-        words = set(lowered.translate(WORD_TABLE).split())
         new = words.difference(self.known)
         if len(self.known) + len(new) > self.cache:
             self.known.clear()
             new = words
         for w in new:
-            self.known[w] = self.look(w.decode())
+            self.known[w] = self.look(w)
         return any(x is not None and x[0] in (INSULT, THREAT) for x in map(self.known.__getitem__, words))
 
 
 def matched(text: str, lexicon: Lexicon, machine: Transducer) -> np.ndarray:
     """The best clause weight of each pattern in a text, whole, clause by clause."""
     best = np.zeros(len(PATTERNS))
-    lowered = text.lower()
-    if not lexicon.any_match(lowered.encode()):
+    if not lexicon.any_match(set(cut(text))):
         return best
     state = machine.start
-    for m in _CUT.finditer(lowered):
-        word = m.group()
+    for word in cut(text):
         found = (STOP, 0.0) if word in ".!?;:\n" else lexicon.look(word) or (OTHER, 0.0)
         state, out, weight = machine.step(state, found[0])
         if out in _PLACE:
@@ -173,7 +181,7 @@ _PLACE = {p: k for k, p in enumerate(PATTERNS)}
 
 def terms_of(text: str, stem: tuple[int, int]) -> set[str]:
     """Words and their stems."""
-    words = {w.decode() for w in text.lower().encode().translate(WORD_TABLE).split()}
+    words = set(cut(text)).difference(".!?;:\n")
     return {w[:n] for w in words for n in range(stem[0], min(stem[1], len(w)) + 1) if not w[:n].isdigit()} | {w for w in words if 3 <= len(w) < stem[0]}
 
 

@@ -217,3 +217,15 @@ def test_components_of_a_long_chain(spark):
     links = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(100, 101), (7, 7)], "a long, b long"))
     got = {r["node"]: r["component"] for r in components(links).collect()}
     assert all(got[i] == 0 for i in range(1, 41)) and got[101] == 100
+
+
+def test_toxicity_cuts_words_alike_everywhere():
+    t = toxicity
+    lexicon, machine = t.Lexicon({"idiot": 2.0, "imbécil": 2.0, "मूर्ख": 2.0}, 100), t.grammar()
+    for text in ("¡idiota!", "“Idiot”", "a —idiot— b", "「idiot」", "«\u00a0idiot\u00a0»", "espèce d'idiot", "espèce d\u2019idiot", "l'imbécile", "l'imbe\u0301cile", "तुम मूर्ख।", "an_idiot"):
+        assert t.matched(text, lexicon, machine).max() >= 2.0, text
+        assert any(w in lexicon.stems for w in t.terms_of(text, (4, 9))), text
+    assert t.matched("“kill", lexicon, machine).max() >= 1.0
+    assert not t.matched("un ami, l'ami", lexicon, machine).any()
+    for text in ("you aren't idiot", "you aren\u2019t idiot"):
+        assert np.flatnonzero(t.matched(text, lexicon, machine)).tolist() == [t.PATTERNS.index("insult:negated")]
