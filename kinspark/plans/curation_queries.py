@@ -156,7 +156,7 @@ def change_set_apply(fx):
 
 @query()
 def natural_sort_pick(fx):
-    return curation.natural_sort_pick(fx.node_variant.where("node_id % 5 = 0 and variant_id % 2 = 0").select("node_id", F.concat(F.lit("M"), "variant_id").alias("name")).where("node_id < 100"))
+    return curation.natural_sort_pick(fx.node_variant.select("node_id", F.concat(F.lit("M"), "variant_id").alias("name")))
 
 
 @query()
@@ -231,6 +231,6 @@ def snp_age_propagate(fx):
     from ..operators import ages
 
     snps = fx.node_variant.groupBy(F.col("node_id").alias("child_id")).agg((F.count("*") % 8).alias("snps"))
-    branches = fx.edge.where("child_id < 300").join(snps, "child_id", "left").select("child_id", "parent_id", F.coalesce("snps", F.lit(0)).cast("int").alias("snps"), F.lit(15e6).alias("bp"))
-    testers = fx.sample.where("terminal < 300").groupBy(F.col("terminal").alias("node_id")).agg((F.max("mt") % 12).cast("int").alias("snps")).withColumn("bp", F.lit(12e6))
+    branches = fx.edge.join(snps, "child_id", "left").select("child_id", "parent_id", F.coalesce("snps", F.lit(0)).cast("int").alias("snps"), F.lit(15e6).alias("bp"))
+    testers = fx.sample.groupBy(F.col("terminal").alias("node_id")).agg((F.max("mt") % 12).cast("int").alias("snps")).withColumn("bp", F.lit(12e6))
     return rounded(ages.snp_age_propagate(branches, testers), "mean", "median", "lo", "hi")

@@ -62,3 +62,21 @@ def test_combined_ages_are_causal(spark):
     # node 4 has no age, so node 5's does not reach node 1
     assert got[1]["tmrca"] == got[2]["tmrca"] == got[3]["tmrca"] and got[2]["formed"] == got[2]["tmrca"] + 200
     assert (got[6]["tmrca"], got[6]["formed"]) == (77.0, 88.0) and all(r["lo"] < r["hi"] for r in got.values())
+
+
+def test_age_and_name_queries_take_all_ids(spark):
+    """The same small tree under low and high ids gives the same rows."""
+    from types import SimpleNamespace
+
+    from kinspark.plans import curation_queries as q
+
+    def fx(at):
+        return SimpleNamespace(
+            edge=spark.createDataFrame([(at + 1, at), (at + 2, at), (at + 3, at + 1)], "child_id long, parent_id long"),
+            sample=spark.createDataFrame([(at + 3, 5), (at + 2, 2), (at + 3, 4)], "terminal long, mt long"),
+            node_variant=spark.createDataFrame([(at + 1, 7), (at + 1, 8), (at + 2, 7), (at + 3, 8), (at + 3, 11)], "node_id long, variant_id long"))
+
+    low, high = ({(r["node_id"] - at, *r[1:]) for r in q.snp_age_propagate(fx(at)).collect()} for at in (10, 1000))
+    assert low == high and {r[0] for r in high} == {0, 1, 2, 3}
+    for at in (10, 1000):
+        assert {(r["node_id"] - at, r["name"]) for r in q.natural_sort_pick(fx(at)).collect()} == {(1, "M7"), (3, "M8")}
