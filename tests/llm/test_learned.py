@@ -55,11 +55,12 @@ def brute_ctw(train, text, depth):
     return total
 
 
-def test_ctw_matches_definition(spark):
+@pytest.mark.parametrize("settings", [ctw.Settings(depth=3, chunk_bytes=60), ctw.Settings(depth=3, chunk_bytes=60, bucket_bytes=10, most_cut=8, block=5)])
+def test_ctw_matches_definition(spark, settings):
     texts = [None, "", "The cat sat on the mat", "the cat sat", "é the dog", "a cat", "zebra"] + ["the mat the cat"] * 3
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = F.col("doc_id").isin(3, 5, 6)
-    got = {r["doc_id"]: r for r in ctw.score(docs, out, settings=ctw.Settings(depth=3, chunk_bytes=60)).collect()}
+    got = {r["doc_id"]: r for r in ctw.score(docs, out, settings=settings).collect()}
     train = [(t or "").encode() for i, t in enumerate(texts) if i not in (3, 5, 6)]
     for i, t in enumerate(texts):
         assert got[i]["score"] == pytest.approx(brute_ctw(train, (t or "").encode(), 3), abs=1e-4)
