@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Chunk, chunk_rows, chunked, pack_numbers, squeeze, unpack_numbers, unsqueeze, write_table
+from .common import Chunk, chunk_rows, chunked, pack_numbers, squeeze, unpack_numbers, unsqueeze, write_table
 
 END = b"\n"
 
@@ -41,7 +41,9 @@ END = b"\n"
 @dataclass(frozen=True)
 class Settings:
     depth: int = 6
-    chunk_bytes: int = CHUNK_BYTES
+    chunk_bytes: int = 16 << 20
+    #: bytes of a chunk that are taken apart at once, but for a single text that has more
+    piece_bytes: int = 4 << 20
     #: bytes of text for each part of a bucket
     bucket_bytes: int = 8 << 20
     #: contexts above the cuts, at most, for each depth; more buckets than that come in parts
@@ -75,6 +77,17 @@ def stream(texts: Iterable[bytes], depth: int) -> tuple[np.ndarray, np.ndarray,
     return key[real], sizes, starts, words
 
 
+def pieces(chunk: Chunk, size: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """A chunk's texts in runs of about `size` bytes: (first row, row after the last, texts)."""
+    at = 0
+    while at < len(chunk):
+        begun = int(chunk.ends[at] - chunk.lengths[at])
+        stop = max(at + 1, int(np.searchsorted(chunk.ends, begun + size, side="right")))
+        cuts = [begun, *chunk.ends[at:stop].tolist()]
+        yield at, stop, [chunk.blob[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        at = stop
+
+
 def tally(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams, ascending, and how often each stands in training."""
     seen, n = np.unique(keys[training], return_counts=True)
@@ -98,29 +111,32 @@ def context_of(keys: np.ndarray, depth: int, length: int) -> np.ndarray:
 
 
 def frequent(settings: Settings, share: float):
-    """For each chunk its contexts of 2 to depth-1 bytes that precede at least `share` of its bytes."""
+    """For each piece of text its contexts of 2 to depth-1 bytes that precede at least `share` of its bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in chunk_rows(batches):
-            keys = stream(Chunk(row).texts(), settings.depth)[0]
-            least = max(1, share * len(keys))
-            lengths, contexts, counts = [], [], []
-            pair = context_of(keys, settings.depth, 1).astype(np.int64)
-            above = np.arange(256, dtype=np.uint64)
-            for length in range(2, settings.depth):
-                step = pair * 256 + (context_of(keys, settings.depth, length) & np.uint64(0xFF)).astype(np.int64)
-                n = np.bincount(step, minlength=256 * len(above))
-                some = np.flatnonzero(n >= least)
-                if not len(some):
-                    break
-                above = (above[some >> 8] << np.uint64(8)) | (some & 255).astype(np.uint64)
-                lengths += [length] * len(some)
-                contexts += above.astype(np.int64).tolist()
-                counts += n[some].tolist()
-                number = np.full(len(n), -1)
-                number[some] = np.arange(len(some))
-                held = number[step]
-                keys, pair = keys[held >= 0], held[held >= 0]
+            lengths: list[int] = []
+            contexts: list[int] = []
+            counts: list[int] = []
+            for _, _, texts in pieces(Chunk(row), settings.piece_bytes):
+                keys = stream(texts, settings.depth)[0]
+                least = max(1, share * len(keys))
+                pair = context_of(keys, settings.depth, 1).astype(np.int32)
+                above = np.arange(256, dtype=np.uint64)
+                for length in range(2, settings.depth):
+                    step = pair * 256 + (context_of(keys, settings.depth, length) & np.uint64(0xFF)).astype(np.int32)
+                    n = np.bincount(step, minlength=256 * len(above))
+                    some = np.flatnonzero(n >= least)
+                    if not len(some):
+                        break
+                    above = (above[some >> 8] << np.uint64(8)) | (some & 255).astype(np.uint64)
+                    lengths += [length] * len(some)
+                    contexts += above.astype(np.int64).tolist()
+                    counts += n[some].tolist()
+                    number = np.full(len(n), -1, dtype=np.int32)
+                    number[some] = np.arange(len(some))
+                    held = number[step]
+                    keys, pair = keys[held >= 0], held[held >= 0]
             yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int32()), pa.array(contexts, pa.int64()), pa.array(counts, pa.int64())], names=["length", "context", "n"])
 
     return run
@@ -158,6 +174,21 @@ def cuts_of(rows: list, depth: int, least: float) -> Cuts:
     return Cuts(tuple(split))
 
 
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ascending grams with counts as one; they join pair by pair."""
+    while len(parts) > 1:
+        joined = []
+        for k in range(0, len(parts) - 1, 2):
+            keys = np.concatenate([parts[k][0], parts[k + 1][0]])
+            counts = np.concatenate([parts[k][1], parts[k + 1][1]])
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            joined.append((keys[first], np.add.reduceat(counts, first)))
+        parts = joined + parts[len(parts) - len(parts) % 2 :]
+    return parts[0]
+
+
 ASK = "kind string, bucket int, chunk long, names binary, counts binary"
 ASK_SCHEMA = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("names", pa.binary()), ("counts", pa.binary())])
 
@@ -175,9 +206,19 @@ def asks(settings: Settings, cuts: Cuts, buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in chunk_rows(batches):
             chunk = Chunk(row)
-            keys, sizes, _, words = stream(chunk.texts(), settings.depth)
-            names, counts = tally(keys, np.repeat(~chunk.marks, sizes))
-            del keys
+            lists = []
+            learned: Counter[bytes] = Counter()
+            others: set[bytes] = set()
+            for at, stop, texts in pieces(chunk, settings.piece_bytes):
+                keys, sizes, _, words = stream(texts, settings.depth)
+                lists.append(tally(keys, np.repeat(~chunk.marks[at:stop], sizes)))
+                for w, held in zip(words, chunk.marks[at:stop], strict=True):
+                    if held:
+                        others.update(w)
+                    else:
+                        learned.update(w)
+                del keys, words
+            names, counts = summed(lists)
             order, where = by_bucket(names, settings, cuts, buckets)
             names, counts = names[order], counts[order]
             out: dict[str, list] = {name: [] for name in ASK_SCHEMA.names}
@@ -188,13 +229,6 @@ def asks(settings: Settings, cuts: Cuts, buckets: int):
 
             for part in np.split(np.arange(len(where)), np.flatnonzero(np.diff(where)) + 1) if len(where) else []:
                 add("gram", int(where[part[0]]), pack_numbers(names[part].view(np.int64)), counts[part])
-            learned: Counter[bytes] = Counter()
-            others: set[bytes] = set()
-            for w, held in zip(words, chunk.marks, strict=True):
-                if held:
-                    others.update(w)
-                else:
-                    learned.update(w)
             shares: dict[int, list[bytes]] = {}
             for w in sorted(learned.keys() | others):
                 shares.setdefault(zlib.crc32(w) % buckets, []).append(w)
@@ -218,19 +252,7 @@ def merged_words(asked: list[dict]) -> Counter[bytes]:
 
 
 def merged_grams(asked: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams of some lists, ascending, with summed counts; lists join one pair at a time, the shortest first."""
-    parts = sorted(((unpack_numbers(x["names"]).view(np.uint64), counts_of(x["counts"])) for x in asked), key=lambda p: len(p[0]))
-    while len(parts) > 1:
-        nxt = []
-        for k in range(0, len(parts) - 1, 2):
-            keys = np.concatenate([parts[k][0], parts[k + 1][0]])
-            counts = np.concatenate([parts[k][1], parts[k + 1][1]])
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            nxt.append((keys[first], np.add.reduceat(counts, first)))
-        parts = nxt + parts[len(parts) - len(parts) % 2 :]
-    return parts[0]
+    return summed([(unpack_numbers(x["names"]).view(np.uint64), counts_of(x["counts"])) for x in asked])
 
 
 PART = "kind string, bucket int, part int, names binary, counts binary"
@@ -497,23 +519,28 @@ def scores(settings: Settings, cuts: Cuts, buckets: int, held):
                     logs.append(np.frombuffer(x["values"], dtype=np.float32))
                 else:
                     count.update(zip(words_of(x["names"]), counts_of(x["values"]).tolist(), strict=True))
-            keys, sizes, _, words = stream(chunk.texts(), settings.depth)
-            names, back = np.unique(keys, return_inverse=True)
-            del keys
+            found = []
+            for _, _, texts in pieces(chunk, settings.piece_bytes):
+                keys, some, _, _ = stream(texts, settings.depth)
+                names, back = np.unique(keys, return_inverse=True)
+                found.append((names, back.astype(np.int32), some))
+                del keys, back
+            names = summed([(x, np.ones(len(x), dtype=np.int8)) for x, _, _ in found])[0]
             value = np.empty(len(names), dtype=np.float32)
             value[by_bucket(names, settings, cuts, buckets)[0]] = np.concatenate(logs)
-            ends = np.cumsum(sizes)
-            score = np.add.reduceat(value[back].astype(np.float64), ends - sizes)
-            end_count = root.texts
-            n_tokens, n_known, base = [], [], []
-            for w in words:
-                c = np.fromiter(map(count.__getitem__, w), dtype=np.int64, count=len(w))
-                c = np.append(c, end_count)
-                n_tokens.append(len(c))
-                n_known.append(int((c > 0).sum()))
-                base.append(float(np.log10((c + 1) / (root.total + root.distinct + 1)).sum()))
+            score, sizes, n_tokens, n_known, base = [], [], [], [], []
+            for (own, back, some), (_, _, texts) in zip(found, pieces(chunk, settings.piece_bytes), strict=True):
+                each = value[np.searchsorted(names, own)].astype(np.float64)[back]
+                score.append(np.add.reduceat(each, np.cumsum(some) - some))
+                sizes.append(some)
+                for w in map(lowered, texts):
+                    c = np.fromiter(map(count.__getitem__, w), dtype=np.int64, count=len(w))
+                    c = np.append(c, root.texts)
+                    n_tokens.append(len(c))
+                    n_known.append(int((c > 0).sum()))
+                    base.append(float(np.log10((c + 1) / (root.total + root.distinct + 1)).sum()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(chunk.doc_ids(), pa.int64()), pa.array(chunk.marks), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sizes), pa.array(base), pa.array(score)],
+                [pa.array(chunk.doc_ids(), pa.int64()), pa.array(chunk.marks), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.concatenate(sizes)), pa.array(base), pa.array(np.concatenate(score))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base_score", "score"],
             )
 
@@ -530,9 +557,11 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", settings: Setti
     """
     settings = settings or Settings()
     context = docs.sparkSession.sparkContext
-    chunks = chunked(docs, F.coalesce(held_out, F.lit(False)), text, settings.chunk_bytes)
     size = docs.agg(F.sum(F.octet_length(text)).alias("n"), F.sum((~F.coalesce(held_out, F.lit(False))).cast("long")).alias("texts"), F.count("*").alias("rows")).first()
     bytes_ = (size["n"] or 0) + size["rows"]  # no stream is longer: words, blanks and ends
+    # chunks are filled across small files, as long as every core has some
+    full = docs.coalesce(int(max(context.defaultParallelism, -(-bytes_ // settings.chunk_bytes))))
+    chunks = chunked(full, F.coalesce(held_out, F.lit(False)), text, settings.chunk_bytes)
     buckets = int(min(1 << 16, max(16, -(-bytes_ // settings.bucket_bytes))))
     share = 1 / min(buckets, settings.most_cut)
     # a context reported by the chunks where it is frequent; so at most 1 / share of each length pass
