@@ -26,6 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -56,25 +57,40 @@ def lowered(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def stream(texts: Iterable[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Gram numbers of all texts in a row, text by text; how many each has; and the words.
-
-    A text is its words, joined by one blank, and an end byte; ends stand before it as context.
-    A gram number has the nearest context byte highest and the byte itself lowest.
-    """
-    pad = END * depth
+@dataclass
+class Stream:
+    """Texts in a row: each its words, joined by one blank, and an end byte; ends stand before it as context."""
+
+    data: bytes
+    #: bytes that count, text by text
+    sizes: np.ndarray
+    depth: int
+
+    def keys(self) -> np.ndarray:
+        """Gram numbers, the nearest context byte highest and the byte itself lowest."""
+        depth, data = self.depth, np.frombuffer(self.data, dtype=np.uint8)
+        ends = np.cumsum(self.sizes + depth)
+        real = np.ones(len(data), dtype=bool)
+        real[((ends - self.sizes - depth)[:, None] + np.arange(depth)).ravel()] = False
+        key = np.zeros(len(data), dtype=np.uint64)
+        for k in range(1, depth + 1):
+            key[k:] |= data[: len(data) - k].astype(np.uint64) << np.uint64(8 * (depth + 1 - k))
+        key |= data
+        return key[real]
+
+
+def stream(texts: Iterable[bytes], depth: int) -> tuple[Stream, list[list[bytes]]]:
     words = [lowered(t) for t in texts]
+    pad = END * depth
     parts = [pad + b" ".join(w) + END for w in words]
-    sizes = np.array([len(p) - depth for p in parts], dtype=np.int64)
-    data = np.frombuffer(b"".join(parts), dtype=np.uint8)
-    starts = np.cumsum(sizes + depth) - (sizes + depth)
-    real = np.ones(len(data), dtype=bool)
-    real[(starts[:, None] + np.arange(depth)).ravel()] = False
-    key = np.zeros(len(data), dtype=np.uint64)
-    for k in range(1, depth + 1):
-        key[k:] |= data[: len(data) - k].astype(np.uint64) << np.uint64(8 * (depth + 1 - k))
-    key |= data
-    return key[real], sizes, starts, words
+    return Stream(b"".join(parts), np.array([len(p) - depth for p in parts], dtype=np.int64), depth), words
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending without repeats, and how often each stands there."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, dtype=np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 def pieces(chunk: Chunk, size: int) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -90,8 +106,8 @@ def pieces(chunk: Chunk, size: int) -> Iterator[tuple[int, int, list[bytes]]]:
 
 def tally(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams, ascending, and how often each stands in training."""
-    seen, n = np.unique(keys[training], return_counts=True)
-    other = np.unique(keys[~training])
+    seen, n = distinct(keys[training])
+    other = distinct(keys[~training])[0]
     other = other[~contains(seen, other)]
     both = np.concatenate([seen, other])
     order = np.argsort(both, kind="stable")
@@ -119,7 +135,7 @@ def frequent(settings: Settings, share: float):
             contexts: list[int] = []
             counts: list[int] = []
             for _, _, texts in pieces(Chunk(row), settings.piece_bytes):
-                keys = stream(texts, settings.depth)[0]
+                keys = stream(texts, settings.depth)[0].keys()
                 least = max(1, share * len(keys))
                 pair = context_of(keys, settings.depth, 1).astype(np.int32)
                 above = np.arange(256, dtype=np.uint64)
@@ -210,14 +226,14 @@ def asks(settings: Settings, cuts: Cuts, buckets: int):
             learned: Counter[bytes] = Counter()
             others: set[bytes] = set()
             for at, stop, texts in pieces(chunk, settings.piece_bytes):
-                keys, sizes, _, words = stream(texts, settings.depth)
-                lists.append(tally(keys, np.repeat(~chunk.marks[at:stop], sizes)))
+                text, words = stream(texts, settings.depth)
+                lists.append(tally(text.keys(), np.repeat(~chunk.marks[at:stop], text.sizes)))
                 for w, held in zip(words, chunk.marks[at:stop], strict=True):
                     if held:
                         others.update(w)
                     else:
                         learned.update(w)
-                del keys, words
+                del text, words
             names, counts = summed(lists)
             order, where = by_bucket(names, settings, cuts, buckets)
             names, counts = names[order], counts[order]
@@ -492,7 +508,7 @@ def part_answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = [squeeze(np.array([count[w] for w in some], dtype=np.int64).tobytes()) for some in lists]
         else:
             lists = [unpack_numbers(x["names"]).view(np.uint64) for x in row["asked"]]
-            keys = np.unique(np.concatenate(lists))
+            keys = distinct(np.concatenate(lists))[0]
             logs = np.frombuffer(row["told"], dtype=np.float32)
             for some in lists:
                 names.append(None)
@@ -508,6 +524,41 @@ ANSWER = "chunk long, kind string, bucket int, names binary, values binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double"
 
 
+class Lookup:
+    """Sparse hash table of gram numbers, probed for whole arrays."""
+
+    FREE = np.uint64(2**64 - 1)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(len(keys) * 2).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
+        self.keys = np.full(1 << bits, self.FREE)
+        self.values = np.zeros(1 << bits, dtype=np.float32)
+        at, left = self.slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at] == self.FREE
+            self.keys[at[free]] = keys[left[free]]
+            mine = self.keys[at] == keys[left]
+            self.values[at[mine]] = values[left[mine]]
+            left, at = left[~mine], (at[~mine] + np.uint64(1)) & self.mask
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys that the table holds."""
+        at = self.slot(keys)
+        out = self.values[at]
+        wrong = np.flatnonzero(self.keys[at] != keys)
+        at = at[wrong]
+        while len(wrong):
+            at = (at + np.uint64(1)) & self.mask
+            hit = self.keys[at] == keys[wrong]
+            out[wrong[hit]] = self.values[at[hit]]
+            wrong, at = wrong[~hit], at[~hit]
+        return out
+
+
 def scores(settings: Settings, cuts: Cuts, buckets: int, held):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root = held.value
@@ -519,28 +570,28 @@ def scores(settings: Settings, cuts: Cuts, buckets: int, held):
                     logs.append(np.frombuffer(x["values"], dtype=np.float32))
                 else:
                     count.update(zip(words_of(x["names"]), counts_of(x["values"]).tolist(), strict=True))
-            found = []
+            found, names, n_tokens, n_known, base = [], [], [], [], []
             for _, _, texts in pieces(chunk, settings.piece_bytes):
-                keys, some, _, _ = stream(texts, settings.depth)
-                names, back = np.unique(keys, return_inverse=True)
-                found.append((names, back.astype(np.int32), some))
-                del keys, back
-            names = summed([(x, np.ones(len(x), dtype=np.int8)) for x, _, _ in found])[0]
+                text, words = stream(texts, settings.depth)
+                names.append(distinct(text.keys())[0])
+                found.append(text)
+                long = np.array([len(w) for w in words])
+                c = np.fromiter(map(count.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(long.sum()))
+                c = np.insert(c, np.cumsum(long), root.texts)
+                at = np.cumsum(long + 1) - long - 1
+                n_tokens.append(long + 1)
+                n_known.append(np.add.reduceat((c > 0).astype(np.int64), at))
+                base.append(np.add.reduceat(np.log10((c + 1) / (root.total + root.distinct + 1)), at))
+                del words, c
+            names = distinct(np.concatenate(names))[0]
             value = np.empty(len(names), dtype=np.float32)
             value[by_bucket(names, settings, cuts, buckets)[0]] = np.concatenate(logs)
-            score, sizes, n_tokens, n_known, base = [], [], [], [], []
-            for (own, back, some), (_, _, texts) in zip(found, pieces(chunk, settings.piece_bytes), strict=True):
-                each = value[np.searchsorted(names, own)].astype(np.float64)[back]
-                score.append(np.add.reduceat(each, np.cumsum(some) - some))
-                sizes.append(some)
-                for w in map(lowered, texts):
-                    c = np.fromiter(map(count.__getitem__, w), dtype=np.int64, count=len(w))
-                    c = np.append(c, root.texts)
-                    n_tokens.append(len(c))
-                    n_known.append(int((c > 0).sum()))
-                    base.append(float(np.log10((c + 1) / (root.total + root.distinct + 1)).sum()))
+            table = Lookup(names, value)
+            del logs, names, value
+            score = [np.add.reduceat(table.get(text.keys()).astype(np.float64), np.cumsum(text.sizes) - text.sizes) for text in found]
+            sizes = [text.sizes for text in found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(chunk.doc_ids(), pa.int64()), pa.array(chunk.marks), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.concatenate(sizes)), pa.array(base), pa.array(np.concatenate(score))],
+                [pa.array(chunk.doc_ids(), pa.int64()), pa.array(chunk.marks), *[pa.array(np.concatenate(x)) for x in (n_tokens, n_known, sizes, base, score)]],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base_score", "score"],
             )
 
