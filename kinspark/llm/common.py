@@ -29,14 +29,26 @@ WORD_TABLE = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made for this session."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir().rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session (one machine, as in tests) gets a folder of its own; a
+    cluster is an error, since its machines would each write into their own.
+    """
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not told:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        told = spark.sparkContext.getCheckpointDir()
+    return told.rstrip("/")
+
+
+def free_name(columns: Iterable[str], name: str) -> str:
+    """A column name like `name` that none of the columns has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def write_table(df: DataFrame, tag: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A text is the mean of the embeddings of its hashed byte n-grams; a linear layer and a softmax
 give language probabilities.  Both are trained by stochastic gradient descent in numpy on a
-bounded sample of labelled rows; a temperature and a rejection threshold are calibrated on a
-part of the sample that training did not see.
+bounded sample of labelled rows.  A temperature and a rejection threshold are calibrated on a
+part of the sample that training did not see, and on decoys: its texts with their letters
+shuffled, which are no language.
 """
 
 from __future__ import annotations
@@ -24,20 +25,21 @@ _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: at most about so many labelled rows are fitted, dealt evenly to the languages."""
+    """sample: at most about so many labelled rows are fitted, dealt evenly to the languages.
+
+    languages: the commonest labels, so many at most, are learned; rarer ones are never told.
+    """
 
     sample: int = 2400
-    languages: int = 200
+    languages: int = 400
     buckets: int = 1 << 14
     dim: int = 16
     orders: tuple[int, ...] = (2, 3, 4)
     epochs: int = 12
     batch: int = 64
     rate: float = 0.4
-    decoys: float = 0.25
-    reject: float = 0.002
-    #: no rejection from this confidence on, whatever calibration says
-    sure: float = 0.4
+    #: how many texts that are no language, or told wrong, are let through rather than reject a right one
+    price: float = 10.0
     seed: int = 7
 
 
@@ -123,21 +125,31 @@ def labelled_sample(rows: DataFrame, settings: Settings):
                 k = spin_.as_py()
                 words = text.split()
                 first, second = k % len(words), (k * 7919 + 13) % len(words)
-                for piece in (text, b" " + b" ".join(words[first : first + 2]) + b" ", b" " + b" ".join(words[second : second + 6]) + b" "):
+                pieces = [(lang.as_py(), x) for x in (text, b" " + b" ".join(words[first : first + 2]) + b" ", b" " + b" ".join(words[second : second + 6]) + b" ")]
+                if k % 5 == 0:
+                    pieces.append((None, shuffled(text[:4096], k)))
+                for told, piece in pieces:
                     if found := features(piece, settings):
-                        out["lang"].append(lang.as_py()), out["spin"].append(k)
+                        out["lang"].append(told), out["spin"].append(k)
                         out["at"].append(found[0].astype(np.int32).tobytes())
                         out["share"].append(found[1].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("lang", pa.string()), ("spin", pa.int64()), ("at", pa.binary()), ("share", pa.binary())]))
 
     got = chosen.mapInArrow(profile, "lang string, spin long, at binary, share binary").collect()
-    return sorted(got, key=lambda r: (r["spin"], r["lang"], bytes(r["at"]))), sorted(counts)
+    return sorted(got, key=lambda r: (r["spin"], r["lang"] or "", bytes(r["at"]))), sorted(counts)
+
+
+def shuffled(text: bytes, seed: int) -> bytes:
+    """A text's characters in any order: its letters, but no language."""
+    letters = np.array(list(text.decode("utf-8", "ignore")))
+    return b" " + b" ".join("".join(np.random.default_rng(seed).permutation(letters)).encode().split()) + b" "
 
 
 def train(rows: DataFrame, settings: Settings | None = None) -> Model:
     """Fit on labelled rows (doc_id, text, lang; null langs are left out)."""
     settings = settings or Settings()
     found, languages = labelled_sample(rows.where("lang is not null and text is not null"), settings)
+    decoys, found = [r for r in found if r["lang"] is None], [r for r in found if r["lang"] is not None]
     size = len(languages)
     if not found:
         return Model(languages or ["und"], np.zeros((settings.buckets, max(1, size)), dtype=np.float32), np.zeros(max(1, size)), 1.0, 0.0, settings)
@@ -185,32 +197,47 @@ def train(rows: DataFrame, settings: Settings | None = None) -> Model:
     table = embedding @ layer
     model = Model(languages, table.astype(np.float32), bias.astype(np.float64), 1.0, 0.0, settings)
     which = np.flatnonzero(held) if held.any() else np.arange(len(found))
-    logits = np.stack([sparse[i][1] @ table[sparse[i][0]] + bias for i in which]).astype(np.float64)
-    model.temperature, model.threshold = calibrate(logits, y[which], settings.reject, settings.sure)
+
+    def logits_of(sparse: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        return np.array([share @ table[at] + bias for at, share in sparse], dtype=np.float64).reshape(-1, size)
+
+    none = [(np.frombuffer(r["at"], dtype=np.int32), np.frombuffer(r["share"], dtype=np.float32)) for r in decoys]
+    model.temperature, model.threshold = calibrate(logits_of([sparse[i] for i in which]), y[which], logits_of(none), settings.price)
     return model
 
 
-def calibrate(logits: np.ndarray, y: np.ndarray, reject: float, sure: float) -> tuple[float, float]:
-    """The temperature of least log loss, and the confidence below which at most a share `reject` of right answers falls."""
+def calibrate(logits: np.ndarray, y: np.ndarray, none: np.ndarray, price: float) -> tuple[float, float]:
+    """The temperature of least log loss, and the confidence below which rejection costs least.
+
+    A wrong answer or an answer to a decoy costs 1, a right answer that is rejected costs `price`.
+    """
 
-    def probabilities(t: float) -> np.ndarray:
+    def probabilities(t: float, logits: np.ndarray = logits) -> np.ndarray:
         z = logits / t
-        e = np.exp(z - z.max(axis=1, keepdims=True))
+        e = np.exp(z - z.max(axis=1, keepdims=True, initial=-np.inf))
         return e / e.sum(axis=1, keepdims=True)
 
     grid = np.geomspace(0.02, 20, 60)
     loss = [-np.log(np.maximum(probabilities(t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     best = float(grid[int(np.argmin(loss))])
     p = probabilities(best)
-    right = p.max(axis=1)[p.argmax(axis=1) == y]
-    return best, float(min(np.quantile(right, reject), sure)) if len(right) else 0.0
+    right = p.argmax(axis=1) == y
+    sure = np.concatenate([p.max(axis=1), probabilities(best, none).max(axis=1)])
+    cost = np.concatenate([np.where(right, price, -1.0), np.full(len(none), -1.0)])
+    order = np.argsort(sure, kind="stable")
+    # what rejecting all below the k-th confidence costs; the lowest of equal ones
+    total = np.append(0.0, np.cumsum(cost[order]))
+    k = int(np.argmin(total))
+    return best, float(sure[order[k]]) if k < len(sure) else float(np.nextafter(sure[order[-1]], 2))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """docs' doc_id (or the columns of `keep`) with lang_pred, score and rejected.
 
-    Whole texts are read.  Null texts and texts without a letter are `und` with score 0 and
-    rejected; others get a learned language, rejected below the calibrated confidence.
+    Whole texts are read.  Null and empty texts and texts without a letter are `und` with score
+    0 and rejected; others get a learned language, rejected below the calibrated confidence.
+    Repeated rows are told alike.  Other columns of docs play no part; `keep` must not name the
+    three that are added (a struct can hold any columns).
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     columns = keep or [F.col("doc_id").cast("long").alias("doc_id")]

@@ -72,12 +72,30 @@ class Ids(dict):
         return ids
 
 
+def splits_words(tokenizer) -> bool:
+    """Does this tokenizer work word by word, as WordEncoder does?  Tried on its own normaliser, split and model."""
+    if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None:
+        return False
+    normal, split = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
+    try:
+        lowered = normal("Abc \u00c9t\u00e9 X.") == "abc \u00e9t\u00e9 x."
+        parts = [x for x, _ in split(normal("Abc, \u00c9t\u00e9\t(x)"))]
+        letters = byte_letters()
+        apart = parts == ["abc", ",", "\u00e9t\u00e9".encode().decode("latin-1").translate(letters), "(", "x", ")"]
+        words = "Hello, World \u00fcber 42nd x-ray\n don't"
+        whole = tokenizer.encode(words, add_special_tokens=False).ids
+        return lowered and apart and whole == [i for w in words.split() for i in tokenizer.encode(w, add_special_tokens=False).ids]
+    except Exception:  # a tokenizer of another kind may refuse such probes
+        return False
+
+
 class WordEncoder:
     """Ids of whole texts, word by word.
 
     The tokenizer drops white space and no token spans it, so the ids of a text are those of
     its blank-separated words in a row.  A word that is a run of letters and a run of signs is
     these two tokens of the tokenizer's first split; others go through the whole tokenizer.
+    A tokenizer that doesn't work so (`splits_words`) gets whole texts.
     """
 
     #: A run of letters that lower() maps one to one, and a run of signs.
@@ -88,6 +106,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.apart = splits_words(self.tokenizer)
         self.letters = byte_letters()
         self.words, self.cores, self.signs = Ids(self.word, cache), Ids(self.merge, 2 * cache), Ids(self.whole, cache)
 
@@ -113,6 +132,8 @@ class WordEncoder:
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian 32-bit ids of a text."""
+        if not self.apart:
+            return self.whole(text.decode())
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
@@ -292,7 +313,9 @@ def pack(docs: DataFrame, tokenizer: str, settings: Settings | None = None, text
         if 2 * n > before:
             slack = max(8, 8 * slack)
     placed = done.groupBy("bin").agg(F.array_sort(F.collect_list(F.struct(-F.col("length"), "copy", "piece", "length"))).alias("held"))  # at most a sequence's tokens
-    placed = placed.select(F.xxhash64("bin").alias("sequence_id"), "held", F.posexplode("held").alias("at", "x"))
+    # numbers are written with their bins, so each bin keeps its own however often a task runs
+    placed = write_table(placed.select(F.monotonically_increasing_id().alias("sequence_id"), "held"), "sequences")
+    placed = placed.select("sequence_id", "held", F.posexplode("held").alias("at", "x"))
     offset = F.aggregate(F.slice("held", 1, F.col("at")), F.lit(0).cast("long"), lambda acc, x: acc + x["length"])
     placed = placed.select("sequence_id", "x.copy", "x.piece", offset.alias("offset"))
     return cut.join(placed, ["copy", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

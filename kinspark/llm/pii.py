@@ -9,7 +9,8 @@ exactly the a*b values of the format, and equal values stay equal in all documen
     phone      the digits after the country code
     ssn        valid area, group and serial numbers go to valid ones
     ip         four octets
-    date       valid days from 1800 to 2199 (one Gregorian cycle, 146 097 days), layout stays
+    date       valid days from 1800 to 2199 (one Gregorian cycle, 146 097 days); order, sign and padding
+               stay, so unpadded days and months may change between one and two digits
     email      letters and digits of all but the top domain, each within its class
     secret     the value after token/password/secret/key, and access key ids
 
@@ -21,9 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 ROUNDS = 8
 KEY_SETTING = "spark.kinspark.pii.key"
-DEFAULT_KEY = "not-a-secret"
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _DAY, _MONTH, _YEAR = r"(?:0?[1-9]|[12][0-9]|3[01])", r"(?:0?[1-9]|1[0-2])", r"(?:1[89]|2[01])[0-9]{2}"
@@ -199,7 +201,10 @@ def date(text: Column, key: str) -> Column:
     day_ = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
     moved = feistel(F.datediff(day_, F.lit(EPOCH).cast("date")).cast("long"), F.lit(CYCLE[0]), F.lit(CYCLE[1]), key, "date")
     new = F.date_add(F.lit(EPOCH).cast("date"), moved.cast("int"))
-    y, m, d = F.year(new).cast("string"), F.lpad(F.month(new).cast("string"), 2, "0"), F.lpad(F.day(new).cast("string"), 2, "0")
+    # a part of one digit shows that the writer doesn't pad
+    bare = text.rlike("(?:^|[-/.])[1-9](?:[-/.]|$)")
+    y = F.year(new).cast("string")
+    m, d = (F.when(bare, x.cast("string")).otherwise(F.lpad(x.cast("string"), 2, "0")) for x in (F.month(new), F.day(new)))
     made = F.when(year_first, F.array(y, m, d)).when(day_first, F.array(d, m, y)).otherwise(F.array(m, d, y))
     sign = F.regexp_extract(text, "([-/.])", 1)
     return F.when(day_.isNotNull(), F.concat(made[0], sign, made[1], sign, made[2]))
@@ -247,27 +252,33 @@ def pseudonym(found: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """docs with `text` pseudonymised, and columns n_pii (values replaced) and pii_kinds (their kinds, sorted).
 
-    Null texts stay null with n_pii 0; texts without a valid value stay unchanged.  The key is
-    taken from the session's spark.kinspark.pii.key where none is given.
+    Null texts stay null with n_pii 0; empty texts and texts without a valid value stay
+    unchanged.  Repeated rows change alike.  Columns of docs that are named n_pii or pii_kinds
+    give way to these; all others stay.  The key is taken from the session's
+    spark.kinspark.pii.key where none is given; without a key there are no pseudonyms, so that
+    is an error.
     """
-    key = key if key is not None else docs.sparkSession.conf.get(KEY_SETTING, DEFAULT_KEY)
+    key = key if key is not None else docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"pseudonyms need a secret key: pass one or set {KEY_SETTING}")
+    found_, made_ = free_name(docs.columns, "_found"), free_name(docs.columns, "_made")
     some = F.col(text).rlike(HINT)
     found = F.when(some, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
-    rows = docs.withColumn("_found", found)
-    any_found = F.size("_found") > 0
-    rows = rows.withColumn("_made", F.when(any_found, F.transform("_found", lambda m: pseudonym(m, key))))
+    rows = docs.withColumn(found_, found)
+    any_found = F.size(found_) > 0
+    rows = rows.withColumn(made_, F.when(any_found, F.transform(found_, lambda m: pseudonym(m, key))))
     pieces = F.split(F.col(text), ANY, -1)
     joined = F.array_join(
         F.transform(
             pieces,
-            lambda p, i: F.concat(p, F.when(i < F.size("_found"), F.coalesce(F.get("_made", i)["value"], F.get("_found", i))).otherwise("")),
+            lambda p, i: F.concat(p, F.when(i < F.size(found_), F.coalesce(F.get(made_, i)["value"], F.get(found_, i))).otherwise("")),
         ),
         "",
     )
-    kinds = F.transform(F.filter("_made", lambda m: m["value"].isNotNull()), lambda m: m["kind"])
+    kinds = F.transform(F.filter(made_, lambda m: m["value"].isNotNull()), lambda m: m["kind"])
     rows = rows.withColumns({
         "n_pii": F.when(any_found, F.size(kinds)).otherwise(0).cast("long"),
         "pii_kinds": F.when(any_found, F.array_join(F.array_sort(F.array_distinct(kinds)), ",")).otherwise(""),
         text: F.when(any_found, joined).otherwise(F.col(text)),
     })
-    return rows.drop("_found", "_made")
+    return rows.drop(found_, made_)

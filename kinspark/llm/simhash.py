@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, byte_rows, components, union_roots, write_table
+from .common import body, byte_rows, components, free_name, union_roots, write_table
 
 BITS = 64
 FULL = (1 << BITS) - 1
@@ -169,9 +169,10 @@ def one_of_each(docs: DataFrame, text: str = "text", radius: int = 3, shingle: i
     Row numbers are written with the rows, so neither null nor repeated ids join unlike rows, and
     a task that runs again keeps the same rows.
     """
-    rows = write_table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = write_table(fingerprints(rows, text, shingle, seed, ["_row"]), "fingerprints")
+    number = free_name(docs.columns, "_row")
+    rows = write_table(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    found = write_table(fingerprints(rows.select("doc_id", text, F.col(number).alias("_row")), text, shingle, seed, ["_row"]), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "fp", "_row")
     distinct = write_table(found.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
     stay = labelled(distinct, radius, limit).groupBy("component").agg(F.min("first").alias("first")).select("first._row")
-    return rows.join(stay, "_row", "left_semi").drop("_row")
+    return rows.join(stay.withColumnRenamed("_row", number), number, "left_semi").drop(number)

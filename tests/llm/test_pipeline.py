@@ -105,3 +105,32 @@ def test_near_duplicates_keep_unlike_rows_whatever_their_ids(spark):
     got = got.collect()
     assert sorted(((r["doc_id"], r["text"]) for r in got if r["text"]), key=str) == sorted([(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[5])], key=str)
     assert len(got) == 7
+
+
+def test_stages_with_clashing_and_missing_columns(spark, tmp_path, rows):
+    """Columns named as the operators' own stay as they are; lang and n_chars may be absent."""
+    sf_dir = table(spark, tmp_path, rows)
+    clash = ["score", "rejected", "lang_pred", "n_pii", "pii_kinds", "_found", "_made", "_row", "row", "fp", "chunk", "component", "body", "_body"]
+    data = [(r[0], r[1], r[2], *[f"{c}{i}" for c in clash]) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame(data, ", ".join(["doc_id long", "text string", "lang string", *[f"{c} string" for c in clash]])).repartition(3)
+    left = {c: {r[3 + k] for r in data} for k, c in enumerate(clash)}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.columns
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == before
+        got = docs.collect()
+        assert len(got) > 40 and all(r[c] in left[c] for r in got for c in clash)
+        docs = spark.createDataFrame(got, docs.schema)
+    assert corpus_pipeline.packed(spark, docs, sf_dir).count() == len(got)
+    bare = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        bare = stage(spark, bare, sf_dir)
+        assert bare.columns == ["doc_id", "text"] and bare.count() > 40, name
+    assert corpus_pipeline.language(spark, bare, sf_dir).columns == ["doc_id", "text"]
+
+
+def test_stages_keep_empty_tables_empty(spark, tmp_path, rows):
+    sf_dir = table(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0
