@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from .tree import numbered
 
 
 def with_site(variants: DataFrame) -> DataFrame:
@@ -35,11 +36,16 @@ def site_twin(variants: DataFrame, most: int = 10) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("id", "twin_id", "twin_name", "rank")
 
 
-def catalog_representatives(variants: DataFrame) -> DataFrame:
-    """Named rows never beaten at their site (unscoped first, then authority rank, then id)."""
-    s = with_site(variants).where("name is not null")
-    w = Window.partitionBy("c", "position", "canon").orderBy(F.col("branch_id").isNotNull(), dna.name_rank(F.col("name")), "id")
-    return s.withColumn("rn", F.row_number().over(w)).select("id", (F.col("rn") == 1).alias("representative"))
+def catalog_representatives(variants: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(id, representative) of named rows: never beaten at a token (unscoped first, then authority rank, then id).
+
+    tokens: (id, token), one for each build that places a row; rows without one stand alone.
+    """
+    named = variants.where("name is not null").select("id", F.struct(F.col("branch_id").isNotNull().alias("scoped"), dna.name_rank(F.col("name")).alias("rank"), F.col("id").alias("k")).alias("order"))
+    placed = tokens.join(named, "id")
+    best = placed.groupBy("token").agg(F.min("order").alias("best")).select("token", F.col("best.k").alias("first"))
+    beaten = placed.join(best, "token").where("id <> first").select("id").distinct()
+    return named.join(beaten.withColumn("_b", F.lit(True)), "id", "left").select("id", F.col("_b").isNull().alias("representative"))
 
 
 def catalog_resolve(wanted: DataFrame, variants: DataFrame) -> DataFrame:
@@ -89,13 +95,8 @@ def mint_names(variants: DataFrame, prefix: str = "DU", first: int = 1) -> DataF
     sites = with_site(variants).groupBy("c", "position", "canon").agg(
         F.max((~dna.is_placeholder_name(F.col("name"))).cast("int")).alias("named"), F.count("branch_id").alias("scoped"), F.count_distinct("branch_id").alias("branches"), F.count("*").alias("rows"))
     novel = sites.where("named = 0 and scoped = branches").select("c", "position", "canon", "rows")
-    # numbers by one total order: ranges are counted, then offset, so no task holds all sites
-    ordered = novel.repartitionByRange("c", "position", "canon").sortWithinPartitions("c", "position", "canon").withColumn("part", F.spark_partition_id())
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = ordered.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("c", "position", "canon")))
-    number = F.col("k") + F.col("before") + (first - 1)
-    return local.join(F.broadcast(before), "part").select("c", "position", "canon", "rows", F.concat(F.lit(prefix), F.lpad(number.cast("string"), 5, "0")).alias("new_name"))
+    found = numbered(novel, "_number", first - 1, "c", "position", "canon")
+    return found.select("c", "position", "canon", "rows", F.concat(F.lit(prefix), F.lpad(F.col("_number").cast("string"), 5, "0")).alias("new_name"))
 
 
 def alias_union(keep: DataFrame, drop: DataFrame) -> DataFrame:

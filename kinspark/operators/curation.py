@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from .tree import numbered
 
 # Claim predicates that may be stored.
 STORABLE = ["HAPLOGROUP_IS", "SAME_PERSON", "NOTE"]
@@ -39,17 +40,23 @@ def sample_files(files: DataFrame) -> DataFrame:
 
 
 def legacy_site_fold(rows: DataFrame) -> DataFrame:
-    """Rows of one name and build fold into sites by position; the first keeps the name, the id is the least."""
-    site = F.dense_rank().over(Window.partitionBy("name").orderBy("position"))
-    return rows.withColumn("site", site).groupBy("name", "site", "position").agg(F.min("id").alias("fold_id"), F.count("*").alias("rows"), F.array_join(F.array_sort(F.collect_set("build")), ",").alias("builds")).withColumn("owns_name", F.col("site") == 1)
+    """(name, site, fold_id, rows, builds, owns_name, aliases) of rows (id, name, build, position).
+
+    Positions of a name and build are its sites, in order; the same site of every build folds
+    into one row with the least id.  The first site owns the name, later ones keep it as alias.
+    """
+    places = rows.select("name", "build", "position").distinct()
+    site = places.withColumn("site", F.row_number().over(Window.partitionBy("name", "build").orderBy("position")))
+    folded = rows.join(site, ["name", "build", "position"]).groupBy("name", "site").agg(
+        F.min("id").alias("fold_id"), F.count("*").alias("rows"), F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "build", "position"))), ",").alias("builds"))
+    owns = F.col("site") == 1
+    return folded.select("*", owns.alias("owns_name"), F.when(~owns, F.col("name")).alias("alias"))
 
 
 def next_name(wanted: DataFrame, taken: int, key: str, prefix: str = "DU") -> DataFrame:
-    """Names after the greatest taken number, in key order inside ranges of keys."""
-    ordered = wanted.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
-    before = ordered.groupBy("_p").count().withColumn("_b", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    local = ordered.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(key))).join(F.broadcast(before), "_p")
-    return local.withColumn("new_name", F.concat(F.lit(prefix), F.lpad((F.col("_k") + F.col("_b") + taken).cast("string"), 5, "0"))).drop("_p", "_b", "_k")
+    """Names after the greatest taken number, in key order."""
+    found = numbered(wanted, "_number", taken, key)
+    return found.withColumn("new_name", F.concat(F.lit(prefix), F.lpad(F.col("_number").cast("string"), 5, "0"))).drop("_number")
 
 
 def study_source(accession: Column) -> Column:
@@ -84,11 +91,6 @@ def promote_candidates(candidates: DataFrame, publications: DataFrame) -> DataFr
     return out.select("candidate", "publication", F.when(F.col("publication").isNull(), "INSERT").otherwise("REUSE").alias("how"))
 
 
-def promote_branches(proposals: DataFrame, first_id: int) -> DataFrame:
-    """Accepted proposals as nodes under their parents, numbered by name."""
-    return proposals.where("status = 'ACCEPTED'").select((F.dense_rank().over(Window.partitionBy("parent_id").orderBy("name")) + first_id + F.col("parent_id") * 1000).alias("node_id"), "name", "parent_id", "evidence")
-
-
 def points_under(closure: DataFrame, points: DataFrame) -> DataFrame:
     """Every clade's points (column terminal), without those at 0, 0."""
     real = points.where("not (lat = 0 and lon = 0)").withColumnRenamed("terminal", "descendant_id")

@@ -27,7 +27,8 @@ def coverage_by_build(coverage: DataFrame) -> DataFrame:
 
 
 def coverage_by_lab_test(coverage: DataFrame) -> DataFrame:
-    return coverage.groupBy(F.coalesce("lab", "facility").alias("lab"), "test_type").agg(F.countDistinct("run_id").alias("libraries"), F.avg("depth").alias("avg_depth"))
+    """Libraries, mean depth and mean share at 10x of each lab, test type and expected depth (null is one of its own)."""
+    return coverage.groupBy(F.coalesce("lab", "facility").alias("lab"), "test_type", "expected_depth").agg(F.countDistinct("run_id").alias("libraries"), F.avg("depth").alias("avg_depth"), F.avg("pct_10x").alias("avg_10x"))
 
 
 SNP_RATE = 8.33e-10
@@ -53,12 +54,19 @@ def contig_benchmark_options(coverage: DataFrame) -> DataFrame:
     return rows.select("x.*").where("value is not null").distinct()
 
 
-def coverage_norms(coverage: DataFrame) -> DataFrame:
-    """Quartiles of depth and the median share at 30x, per test type."""
-    return coverage.groupBy("test_type").agg(
+def coverage_norms(coverage: DataFrame, markers: DataFrame | None = None) -> DataFrame:
+    """Per test type: n, quartiles of depth, median shares at 10x, 20x and 30x, and, in full, median marker counts.
+
+    markers: (test_type, y_markers, mt_markers) of genotypes; test types that only one side has stay.
+    """
+    norms = coverage.groupBy("test_type").agg(
         F.count("*").alias("n"), *[F.expr(f"percentile_cont({p}) WITHIN GROUP (ORDER BY depth)").alias(f"p{int(100 * p)}") for p in (0.25, 0.5, 0.75)],
-        F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY pct_30x)").alias("median_30x"),
+        *[F.expr(f"percentile_cont(0.5) WITHIN GROUP (ORDER BY {c})").alias(f"median_{c[4:]}") for c in ("pct_10x", "pct_20x", "pct_30x") if c in coverage.columns],
     )
+    if markers is None:
+        return norms
+    counts = markers.groupBy("test_type").agg(*[F.expr(f"percentile_cont(0.5) WITHIN GROUP (ORDER BY {c})").alias(f"median_{c}") for c in ("y_markers", "mt_markers")])
+    return norms.join(counts, "test_type", "full_outer")
 
 
 def test_type_catalog(tests: DataFrame, norms: DataFrame) -> DataFrame:

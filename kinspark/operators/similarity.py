@@ -129,9 +129,24 @@ def combine_inverse_variance(terms: DataFrame) -> DataFrame:
 
 
 def str_distance(profiles: DataFrame, motifs: DataFrame) -> DataFrame:
-    """(sample_id, node_id, distance, compared) over shared markers; meets on the marker, never on all pairs."""
-    both = profiles.select("sample_id", "marker", F.col("repeats").alias("r")).join(motifs.select("node_id", "marker", "modal"), "marker")
-    return both.groupBy("sample_id", "node_id").agg(F.sum(F.abs(F.col("r") - F.col("modal"))).alias("distance"), F.count("*").alias("compared"))
+    """(sample_id, node_id, distance, compared) over shared markers, for every sample and node that share one.
+
+    Values (repeats, modal) are numbers, or arrays where markers have several copies: then copies
+    are compared in order of size, and markers whose copies differ in number are left out.
+    Samples with equal profiles are compared once.
+    """
+    own, their = profiles.select("sample_id", "marker", F.col("repeats").alias("r")), motifs.select("node_id", "marker", "modal")
+    several = own.schema["r"].dataType.simpleString().startswith("array")
+    alike = own.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("marker", "r"))).alias("profile"))  # one sample's markers
+    kinds = alike.groupBy("profile").agg(F.min("sample_id").alias("kind"))
+    markers = kinds.select("kind", F.explode("profile").alias("m")).select("kind", "m.marker", "m.r")
+    both = markers.join(their, "marker")
+    if several:
+        both = both.where(F.size("r") == F.size("modal")).withColumn("_d", F.aggregate(F.zip_with(F.array_sort("r"), F.array_sort("modal"), lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda x, y: x + y))
+    else:
+        both = both.withColumn("_d", F.abs(F.col("r") - F.col("modal")))
+    near = both.groupBy("kind", "node_id").agg(F.sum("_d").alias("distance"), F.count("*").alias("compared"))
+    return alike.join(kinds, "profile").select("sample_id", "kind").join(near, "kind").select("sample_id", "node_id", "distance", "compared")
 
 
 def str_predict(profiles: DataFrame, motifs: DataFrame, most: int = 3) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from . import ages
 from .similarity import combine_inverse_variance
-from .tree import current_rows, cut_lineage, tree_closure
+from .tree import current_rows, cut_lineage, node_depth, tree_closure
 
 GENERATION = 33.0
-MOST_MUTATIONS = 30
+MOST_MUTATIONS = 40
 #: Years by which the SNP rate is uncertain at 95 %, as a share of the age.
 RATE_ERROR = 0.096
 # The published P(g | m), rows g and columns m, both 0 to 10.
@@ -66,7 +66,7 @@ def str_marker_age(distances: DataFrame, steps: DataFrame, key: list[str], resol
     """(*key, g, bin, mass) of distinct distances (key, g, rate per generation): Poisson ages of m mutations, mixed by P(g | m)."""
     rows = distances.select(*key, "g", "rate").distinct().where("rate > 0")
     named = rows.withColumn("_id", F.concat_ws("|", *[F.col(k).cast("string") for k in key], "g"))
-    comps = named.join(F.broadcast(steps), "g").select("_id", "m", "p", (F.col("rate") / GENERATION).alias("rate"))  # steps: 31 x 41 rows at most
+    comps = named.join(F.broadcast(steps), "g").select("_id", "m", "p", (F.col("rate") / GENERATION).alias("rate"))  # steps: 41 x 41 rows at most
     part = ages.pdf_poisson(comps.withColumn("_c", F.concat_ws("#", "_id", "m")), "_c", resolution, bins)
     weighed = part.join(comps.select(F.concat_ws("#", "_id", "m").alias("_c"), "_id", "p"), "_c")
     return ages.pdf_mixture(weighed, "_id", "p").join(named.select("_id", *key, "g"), "_id").select(*key, "g", "bin", "mass")
@@ -88,6 +88,61 @@ def str_star_age(testers: DataFrame, modal: DataFrame, marker_ages: DataFrame, r
     return ages.pdf_stats(ages.normalised(logs, "node_id", "lw"), "node_id", resolution).join(facts.drop("_n"), "node_id")
 
 
+def motif_pair_age(pairs: DataFrame, marker_ages: DataFrame, key: str) -> DataFrame:
+    """(key, bin, mass) of the time between two motifs: the product over rows (key, marker, g) of their markers' ages.
+
+    Rows whose marker and distance have no age are left out; equal rows are counted first.
+    """
+    counts = pairs.groupBy(key, "marker", "g").agg(F.count("*").alias("n")).join(marker_ages.select("marker", "g").distinct(), ["marker", "g"], "left_semi")
+    need = counts.groupBy(key).agg(F.sum("n").alias("_n"))
+    logs = counts.join(marker_ages.where("mass > 0"), ["marker", "g"]).groupBy(key, "bin").agg(F.sum(F.col("n") * F.log("mass")).alias("lw"), F.sum("n").alias("_c"))
+    return ages.normalised(logs.join(need, key).where("_c = _n"), key, "lw")
+
+
+def str_propagate(motifs: DataFrame, edges: DataFrame, testers: DataFrame, marker_ages: DataFrame, resolution: float, bins: int) -> DataFrame:
+    """(node_id, bin, mass): the age of each node that testers below it date, from its children up.
+
+    motifs: reconstructed (node_id, marker, value); testers: (node_id, sample_id, marker,
+    repeats); marker_ages: (marker, g, bin, mass).  A node's age is the product of its children's
+    ages, each with the time between the child's and its own motif added, and of its testers'
+    times to its motif.  A child that shares no marker adds no time.  All branch and tester times
+    are made at once; then a round for each level.  Evidence that excludes itself dates nothing.
+    """
+    marker_ages = cut_lineage(marker_ages)
+    motifs = cut_lineage(motifs.select("node_id", "marker", "value"))
+    links = cut_lineage(current_rows(edges).select("child_id", "parent_id").distinct())
+    child = motifs.select(F.col("node_id").alias("child_id"), "marker", F.col("value").alias("a"))
+    above = motifs.select(F.col("node_id").alias("parent_id"), "marker", F.col("value").alias("b"))
+    pairs = child.join(links, "child_id").join(above, ["parent_id", "marker"]).select("child_id", "marker", F.abs(F.col("a") - F.col("b")).cast("int").alias("g"))
+    branch = cut_lineage(motif_pair_age(pairs, marker_ages, "child_id"))
+    tips = testers.join(motifs, ["node_id", "marker"]).select("node_id", "marker", F.abs(F.col("repeats") - F.col("value")).cast("int").alias("g"))
+    own = cut_lineage(motif_pair_age(tips, marker_ages, "node_id").withColumn("part", F.lit(-1).cast("long")))
+    tree = links.withColumn("valid_until", F.lit(None).cast("timestamp"))
+    depth = node_depth(tree_closure(tree))
+    depth = cut_lineage(depth.union(own.select("node_id").distinct().join(depth, "node_id", "left_anti").withColumn("depth", F.lit(0))))
+    deepest = depth.agg(F.max("depth")).first()[0] or 0
+    below = out = None
+    for d in range(deepest, -1, -1):
+        here = depth.where(F.col("depth") == d).select("node_id")
+        rows = own.join(here, "node_id", "left_semi").select("node_id", "part", "bin", "mass")
+        if below is not None:
+            old = below.withColumnRenamed("node_id", "child_id")
+            moved = ages.pdf_convolve(old.join(branch.select("child_id").distinct(), "child_id", "left_semi"), branch.join(old.select("child_id").distinct(), "child_id", "left_semi"), "child_id", bins)
+            still = old.join(branch.select("child_id").distinct(), "child_id", "left_anti").select("child_id", "bin", "mass")
+            up = moved.unionByName(still).join(links, "child_id")
+            rows = rows.union(up.select(F.col("parent_id").alias("node_id"), F.col("child_id").alias("part"), "bin", "mass"))
+        below = cut_lineage(ages.pdf_multiply(cut_lineage(rows), "node_id", "part"))
+        out = below if out is None else out.union(below)
+    return out
+
+
+def str_signatures(modal: DataFrame, manual: DataFrame) -> DataFrame:
+    """(node_id, marker, value, confidence, n, method): modal rows but where a curator set a value."""
+    by_hand = manual.select("node_id", "marker", "value", F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("long").alias("n"), F.lit("MANUAL").alias("method"))
+    free = modal.join(manual.select("node_id", "marker"), ["node_id", "marker"], "left_anti")
+    return free.select("node_id", "marker", F.col("modal").alias("value"), "confidence", "n", F.lit("MODAL").alias("method")).unionByName(by_hand)
+
+
 def nrr_prior(t, nrr: float):
     """Weight of an age of t years before a population that multiplies by nrr each generation."""
     return F.exp(t / GENERATION * F.log(F.lit(nrr)))

@@ -5,15 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir) and read again."""
+    """df written to the shared folder (spark.checkpoint.dir) and read again; without one, local sessions get a folder of their own."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/closure-{uuid.uuid4().hex}"
@@ -21,10 +23,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, column: str, after: int, *order: str) -> DataFrame:
+    """rows with `column`, numbers from after + 1 on in the order of some columns.
+
+    Ranges of the order are written once with their number; each is then counted and numbered by
+    itself, so no task orders all rows and numbers don't depend on how an exchange is used again.
+    """
+    ranges = cut_lineage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_size"))  # a row for each shuffle partition
+    before = sizes.select("_range", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.join(F.broadcast(before), "_range").withColumn(column, (place + F.col("_before") + after).cast("long")).drop("_range", "_before")
+
+
 def current_rows(df: DataFrame, as_of: str | None = None) -> DataFrame:
-    """Rows that are valid now, or were at a time."""
-    open_ = F.col("valid_until").isNull()
-    return df.where(open_ if as_of is None else open_ | (F.col("valid_until") > F.lit(as_of).cast("timestamp")))
+    """Rows that are valid now, or were at a time: begun by then (column valid_from, where there is one; null is always) and not over."""
+    if as_of is None:
+        return df.where(F.col("valid_until").isNull())
+    at = F.lit(as_of).cast("timestamp")
+    begun = F.col("valid_from").isNull() | (F.col("valid_from") <= at) if "valid_from" in df.columns else F.lit(True)
+    return df.where(begun & (F.col("valid_until").isNull() | (F.col("valid_until") > at)))
 
 
 def tree_closure(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

@@ -129,10 +129,6 @@ def site_twin(fx):
     return catalog.site_twin(fx.variant)
 
 
-@query(f"""SELECT id, row_number() OVER (PARTITION BY position, canon ORDER BY branch_id IS NOT NULL, CASE WHEN name LIKE 'chr%' THEN 50 ELSE {RANK.format('name')} END, id) = 1 AS representative FROM ({SITE}) WHERE name IS NOT NULL""")
-def catalog_representatives(fx):
-    return catalog.catalog_representatives(fx.variant)
-
 
 @query(f"""WITH s AS (SELECT *, list_sort(string_split(canon, '>')) AS al FROM ({SITE})), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY position, al ORDER BY {PLACE}, id) AS rn FROM s WHERE id % 3 <> 0) WHERE rn = 1)
     SELECT s.id, b.id AS variant_id, coalesce(b.name, s.c || ':' || s.position::VARCHAR || ':' || s.canon) AS resolved, CASE WHEN b.id IS NULL THEN 'MINTED' ELSE 'FOUND' END AS how FROM s LEFT JOIN b ON s.position = b.position AND s.al = b.al WHERE s.id % 2 = 0""")
@@ -353,11 +349,6 @@ def str_branch_mutations(fx):
     return similarity.str_branch_mutations(reports.modal_haplotype(fx.str), fx.edge)
 
 
-@query("""SELECT sample_id, max(CASE WHEN marker = 1 THEN repeats END) AS top, count(*) AS markers FROM fx_str GROUP BY sample_id HAVING count(*) >= 5""")
-def keep_most_complete(fx):
-    """Profiles with at least as many markers as the five stored."""
-    return fx.str.groupBy("sample_id").agg(F.max(F.when(F.col("marker") == 1, F.col("repeats"))).alias("top"), F.count("*").alias("markers")).where("markers >= 5")
-
 
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
 def ingest_if_absent(fx):

@@ -51,14 +51,6 @@ def sample_files(fx):
     return curation.sample_files(rows)
 
 
-@query("SELECT name, site, position, min(id) AS fold_id, count(*) AS rows, string_agg(DISTINCT build, ',' ORDER BY build) AS builds, site = 1 AS owns_name FROM (SELECT 'N' || (p_partkey % 90)::VARCHAR AS name, p_partkey AS id, p_size % 4 AS position, 'B' || (p_partkey % 2)::VARCHAR AS build, dense_rank() OVER (PARTITION BY p_partkey % 90 ORDER BY p_size % 4) AS site FROM part) GROUP BY 1, 2, 3")
-def legacy_site_fold(fx):
-    return curation.legacy_site_fold(fx.table("part").select(F.concat(F.lit("N"), F.col("p_partkey") % 90).alias("name"), F.col("p_partkey").alias("id"), (F.col("p_size") % 4).alias("position"), F.concat(F.lit("B"), F.col("p_partkey") % 2).alias("build")))
-
-
-@query("SELECT p_partkey AS id, 'DU' || lpad((row_number() OVER (ORDER BY p_partkey) + 41)::VARCHAR, 5, '0') AS new_name FROM part WHERE p_partkey % 3 = 0")
-def next_du_name(fx):
-    return curation.next_name(fx.table("part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id")), 41, "id")
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'ENA' WHEN 1 THEN 'NCBI' WHEN 2 THEN 'DDBJ' WHEN 3 THEN 'EGA' ELSE 'OTHER' END AS source FROM orders")
@@ -97,11 +89,6 @@ def promote_candidates(fx):
     return curation.promote_candidates(candidates, pubs)
 
 
-@query("SELECT row_number() OVER (PARTITION BY parent_id ORDER BY child_id::VARCHAR) + 5000 + parent_id * 1000 AS node_id, child_id::VARCHAR AS name, parent_id, 1 AS evidence FROM fx_edge WHERE child_id % 2 = 0")
-def promote_branches(fx):
-    rows = fx.edge.select(F.col("child_id").cast("string").alias("name"), "parent_id", F.when(F.col("child_id") % 2 == 0, "ACCEPTED").otherwise("PENDING").alias("status"), F.lit(1).alias("evidence"))
-    return curation.promote_branches(rows, 5000)
-
 
 @query(CLOSURE + "SELECT ancestor_id AS node_id, sample_id, lat, lon FROM c JOIN (SELECT sample_id, terminal, nation AS lat, nation * 2 AS lon FROM fx_sample) s ON c.descendant_id = s.terminal WHERE lat <> 0")
 def geo_under(fx):
@@ -196,26 +183,7 @@ def ancestry_blocks(fx):
     return similarity.ancestry_blocks(fx.table("customer").select(F.col("c_custkey").alias("sample_id"), F.col("c_mktsegment").alias("dominant"), F.col("c_custkey").cast("double").alias("x"), F.col("c_nationkey").cast("double").alias("y")))
 
 
-@query(f"SELECT m.node_id, max(m.n) AS testers FROM ({MODAL}) m GROUP BY 1 HAVING max(m.n) >= 20")
-def str_combine_gate(fx):
-    """Nodes with enough direct testers for their STR age to count."""
-    return reports.modal_haplotype(fx.str).groupBy("node_id").agg(F.max("n").alias("testers")).where("testers >= 20")
-
-
-@query("SELECT a, b, cm, row_number() OVER (ORDER BY cm DESC, segments DESC, a, b) AS place FROM fx_pair ORDER BY cm DESC, segments DESC, a, b LIMIT 100")
-def triage_queues(fx):
-    """The hundred pairs that a curator sees first."""
-    top = fx.pair.orderBy(F.desc("cm"), F.desc("segments"), "a", "b").limit(100)
-    from pyspark.sql import Window
-
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("cm"), F.desc("segments"), "a", "b"))).select("a", "b", "cm", "place")
-
 
-@query("SELECT id, CASE WHEN id % 4 = 0 AND b.id2 IS NOT NULL THEN true ELSE false END AS covered FROM fx_variant v LEFT JOIN (SELECT DISTINCT variant_id AS id2 FROM fx_node_variant) b ON v.id = b.id2")
-def branch_covering_twin(fx):
-    """Which of every fourth variants already define a branch."""
-    on = fx.node_variant.select(F.col("variant_id").alias("id")).distinct().withColumn("_b", F.lit(True))
-    return fx.variant.join(on, "id", "left").select("id", ((F.col("id") % 4 == 0) & F.col("_b").isNotNull()).alias("covered"))
 
 
 @query("SELECT id, CASE WHEN position % 4 = 0 THEN NULL ELSE position + 3 END AS rotated FROM fx_variant")

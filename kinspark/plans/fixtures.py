@@ -34,7 +34,7 @@ VIEWS = {
     "fx_coverage": """SELECT l_orderkey AS run_id, CASE l_orderkey % 3 WHEN 0 THEN 'GRCh38' WHEN 1 THEN 'hs1' ELSE 'GRCh37' END AS build, CASE l_suppkey % 4 WHEN 0 THEN NULL ELSE 'LAB' || CAST(l_suppkey % 4 AS VARCHAR(20)) END AS lab,
         'F' || CAST(l_suppkey % 3 AS VARCHAR(20)) AS facility, CASE l_partkey % 3 WHEN 0 THEN 'WGS' WHEN 1 THEN 'BIG_Y' ELSE 'HIFI' END AS test_type,
         CASE l_linenumber WHEN 1 THEN 'chr1' WHEN 2 THEN '1' WHEN 3 THEN 'Y' WHEN 4 THEN 'chrY' WHEN 5 THEN 'MT' WHEN 6 THEN 'chrX_hs1' ELSE 'chrUn_1' END AS contig,
-        l_quantity AS depth, CAST(l_partkey * 1000 AS DOUBLE) AS callable, CAST(l_suppkey AS DOUBLE) AS poor_mq, CAST(l_partkey * 3 AS DOUBLE) AS length, CAST(l_suppkey * 2 AS DOUBLE) AS ref_n, l_discount AS pct_30x FROM lineitem""",
+        l_quantity AS depth, CAST(l_partkey * 1000 AS DOUBLE) AS callable, CAST(l_suppkey AS DOUBLE) AS poor_mq, CAST(l_partkey * 3 AS DOUBLE) AS length, CAST(l_suppkey * 2 AS DOUBLE) AS ref_n, l_discount AS pct_30x, l_tax AS pct_10x, l_tax / 2 AS pct_20x, CASE l_partkey % 4 WHEN 0 THEN 30 WHEN 1 THEN 15 END AS expected_depth FROM lineitem""",
     "fx_instrument": """SELECT user_id % 20 AS instrument, CASE WHEN event_id % 17 = 0 THEN 'Self' WHEN user_id % 20 < 10 THEN 'LabA' ELSE 'Lab' || CAST(CAST(floor(user_id / 20) AS BIGINT) % 3 AS VARCHAR(20)) END AS lab,
         user_id AS citizen, CASE event_id % 3 WHEN 0 THEN 'KNOWN' WHEN 1 THEN 'INFERRED' ELSE 'GUESSED' END AS confidence, ts AS observed_at FROM events""",
     "fx_str": """SELECT o_custkey AS sample_id, l_linenumber AS marker, CAST(min(l_quantity) AS INT) AS repeats, o_custkey % 50 AS node_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, l_linenumber""",

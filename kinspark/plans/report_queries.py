@@ -46,10 +46,6 @@ def coverage_by_build(fx):
     return rounded(reports.coverage_by_build(fx.coverage), "avg_depth", "avg_30x")
 
 
-@query("""SELECT coalesce(lab, facility) AS lab, test_type, count(DISTINCT run_id) AS libraries, round(avg(depth), 6) AS avg_depth FROM fx_coverage GROUP BY 1, 2""")
-def coverage_by_lab_test(fx):
-    return rounded(reports.coverage_by_lab_test(fx.coverage), "avg_depth")
-
 
 @query(f"""WITH x AS (SELECT coalesce(lab, facility) AS vendor, test_type, build, {CANON.format('contig')} AS contig, callable, depth, poor_mq, length - ref_n AS usable FROM fx_coverage),
     g AS (SELECT vendor, test_type, build, contig, count(*) AS n, avg(callable) AS a1, stddev_samp(callable) AS s1, avg(depth) AS a2, stddev_samp(depth) AS s2, avg(poor_mq) AS a3, stddev_samp(poor_mq) AS s3, avg(usable) AS a4, stddev_samp(usable) AS s4 FROM x GROUP BY 1, 2, 3, 4)
@@ -69,10 +65,6 @@ def contig_benchmark_options(fx):
 NORMS = """SELECT test_type, count(*) AS n, quantile_cont(depth, 0.25) AS p25, quantile_cont(depth, 0.5) AS p50, quantile_cont(depth, 0.75) AS p75, quantile_cont(pct_30x, 0.5) AS median_30x FROM fx_coverage GROUP BY test_type"""
 
 
-@query(NORMS)
-def coverage_norms(fx):
-    return reports.coverage_norms(fx.coverage)
-
 
 @query(f"""WITH n AS ({NORMS}) SELECT t.test_type, n.n, n.p50 FROM (SELECT DISTINCT test_type FROM fx_coverage UNION ALL SELECT 'PANEL') t LEFT JOIN n ON t.test_type = n.test_type""")
 def test_type_catalog(fx):

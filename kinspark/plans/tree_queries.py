@@ -108,11 +108,6 @@ def pathway(fx):
     return tree.pathway(fx.sample, fx.node, closure(fx), TOKENS)
 
 
-@query(CLOSURE + "SELECT m.node_id, m.new_parent, CASE WHEN c.ancestor_id IS NOT NULL THEN 'REFUSED' ELSE 'MOVED' END AS how FROM (SELECT node_id, node_id * 3 % 2000 AS new_parent FROM fx_node WHERE node_id % 2 = 0) m LEFT JOIN c ON c.ancestor_id = m.node_id AND c.descendant_id = m.new_parent")
-def restructure(fx):
-    moves = fx.node.where("node_id % 2 = 0").select("node_id", (F.col("node_id") * 3 % 2000).alias("new_parent"))
-    return tree.restructure_check(moves, closure(fx))
-
 
 @query()
 def tree_revision(fx):
@@ -124,18 +119,6 @@ def recruit_cohort(fx):
     return tree.recruit_cohort(fx.sample, closure(fx), 5, fx.sample.where("donor_id % 4 = 0").select("donor_id").distinct())
 
 
-@query("SELECT parent_id AS node_id, least(0.99, 0.1 * count(*)) AS confidence, count(*) AS evidence FROM fx_edge GROUP BY 1")
-def pool_proposals(fx):
-    """Pooled evidence per node: confidence a tenth of each, up to 0.99."""
-    pooled = fx.edge.groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("evidence"))
-    return pooled.withColumn("confidence", F.least(F.lit(0.99), 0.1 * F.col("evidence")))
-
-
-@query("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 7 = 0 THEN 'ADDED' WHEN p_partkey % 7 = 1 THEN 'REMOVED' WHEN p_partkey % 7 = 2 THEN 'REPARENTED' ELSE 'MODIFIED' END AS kind FROM part WHERE p_size % 9 <> 0) GROUP BY 1")
-def change_set_diff(fx):
-    """Changes that were not rejected, by what they do."""
-    op = F.when(F.col("p_partkey") % 7 == 0, "ADDED").when(F.col("p_partkey") % 7 == 1, "REMOVED").when(F.col("p_partkey") % 7 == 2, "REPARENTED").otherwise("MODIFIED")
-    return fx.table("part").where("p_size % 9 <> 0").groupBy(op.alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT node_id, count(DISTINCT variant_id) AS snps FROM fx_node_variant n JOIN fx_variant v ON n.variant_id = v.id WHERE length(anc) = 1 AND length(der) = 1 AND joint_confirmed AND (reverse_polarity OR monophyletic) AND NOT EXISTS (SELECT 1 FROM fx_region r WHERE region_type IN ('heterochromatin', 'inverted_repeat') AND v.position BETWEEN r.start_pos AND r.end_pos) GROUP BY 1")
