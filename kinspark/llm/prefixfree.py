@@ -14,7 +14,14 @@ Spark works on triggers, not on windows:
 2. only the others, at the edges of repeated passages, send their bytes.  Those that share a
    right meet in one bucket, where the dictionary's suffixes (phrases read backwards) and the
    parse (what follows) are sorted, and their common-prefix arrays are combined: window x of a
-   trigger is repeated where both orders put it beside another at depths x and window - x.
+   trigger is repeated where both orders put it beside another at depths x and window - x;
+3. a right that very many different triggers share (a passage between ever new surroundings)
+   would fill one bucket: the windows of those are named by their content and counted, distinct
+   in each chunk first, over all buckets.
+
+Only the edges build both orders; most triggers are settled by equality.  Equality in 1 is that
+of two 64-bit hashes (right and whole, of different bytes), in 3 that of a 128-bit hash: among
+10**12 triggers the odds that any two unequal ones agree are about 10**-14.  2 compares bytes.
 """
 
 from __future__ import annotations
@@ -40,6 +47,8 @@ class Settings:
     chunk_bytes: int = CHUNK_BYTES
     #: bytes of text for each bucket of triggers
     bucket_bytes: int = 16 << 20
+    #: distinct triggers of one right, beyond which their windows are counted one by one
+    hot: int = 2048
 
     @property
     def gram(self) -> int:
@@ -105,17 +114,23 @@ def triggers(blob: bytes, lengths: np.ndarray, settings: Settings) -> tuple[np.n
     return place[first], first, last
 
 
-ASK = "bucket int, chunk long, rights binary, wholes binary"
+ASK = "bucket int, chunk long, rights binary, wholes binary, twice binary, places binary"
 
 
 def split_by(bucket: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
 
 
-def ordered(rights: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each trigger, and the order in which a chunk sends them: by bucket, then by right hash."""
-    bucket = ((rights >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
-    return bucket, np.lexsort((rights, bucket))
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
+
+
+def ordered(rights: np.ndarray, wholes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which a chunk sends its triggers, by bucket, right and whole hash; and how many are equal in a row."""
+    order = np.lexsort((wholes, rights, bucket_of(rights, buckets)))
+    r, w = rights[order], wholes[order]
+    first = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1]))) if len(r) else np.empty(0, dtype=np.int64)
+    return order, np.diff(np.append(first, len(r)))
 
 
 def found(chunk: Chunk, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -128,62 +143,79 @@ def found(chunk: Chunk, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def asks(settings: Settings, buckets: int):
+    """A chunk's distinct triggers by bucket, with a bit for those that it has twice; and, in bucket -1, where they are."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in chunk_rows(batches):
             chunk = Chunk(row)
             place, first, last, rights, wholes = found(chunk, settings)
-            bucket, order = ordered(rights, buckets)
-            out: dict[str, list] = {k: [] for k in ("bucket", "chunk", "rights", "wholes", "places")}
-            out["bucket"].append(-1), out["chunk"].append(chunk.number), out["rights"].append(b""), out["wholes"].append(b"")
-            out["places"].append(pack_numbers(np.concatenate([place[order] - first[order], last[order] - first[order], first[order]])))
-            for part in split_by(bucket, order):
-                out["bucket"].append(int(bucket[part[0]])), out["chunk"].append(chunk.number), out["places"].append(None)
-                out["rights"].append(pack_numbers(rights[part].view(np.int64))), out["wholes"].append(wholes[part].tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("rights", pa.binary()), ("wholes", pa.binary()), ("places", pa.binary())]))
+            order, runs = ordered(rights, wholes, buckets)
+            out: dict[str, list] = {k: [] for k in ("bucket", "chunk", "rights", "wholes", "twice", "places")}
+            places = pack_numbers(np.concatenate([place[order] - first[order], last[order] - first[order], first[order]]))
+            for name, value in zip(out, (-1, chunk.number, None, None, squeeze(runs.astype(np.int32).tobytes()), places), strict=True):
+                out[name].append(value)
+            at = order[np.cumsum(runs) - runs]
+            rights, wholes = rights[at], wholes[at]
+            for part in split_by(bucket_of(rights, buckets), np.arange(len(rights))):
+                bucket = int(bucket_of(rights[part[:1]], buckets)[0])
+                for name, value in zip(out, (bucket, chunk.number, pack_numbers(rights[part].view(np.int64)), wholes[part].tobytes(), np.packbits(runs[part] > 1).tobytes(), None), strict=True):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int64())] + [(k, pa.binary()) for k in ("rights", "wholes", "twice", "places")]))
 
     return run
 
 
-NONE, ALL, EDGE, SHOWN = 0, 1, 2, 3
-
-
-def judged(group: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk a code per trigger: no repeat, all repeats, edge, or all repeats and shown to the edges."""
-    rights = [unpack_numbers(x).view(np.uint64) for x in group["rights"]]
-    sizes = [len(r) for r in rights]
-    right = np.concatenate(rights)
-    whole = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in group["wholes"]])
-    order = np.lexsort((whole, right))
-    r, w = right[order], whole[order]
-    new_right = np.append(True, r[1:] != r[:-1])
-    new_whole = new_right | np.append(True, w[1:] != w[:-1])
-    right_at, whole_at = np.cumsum(new_right) - 1, np.cumsum(new_whole) - 1
-    n_whole = np.bincount(whole_at)
-    kinds = np.bincount(right_at, weights=new_whole)  # distinct wholes of a right
-    alone = n_whole[whole_at] == 1
-    edges = np.bincount(right_at, weights=alone & (kinds[right_at] > 1)) > 0
-    code = np.where(~alone, ALL, np.where(kinds[right_at] > 1, EDGE, NONE)).astype(np.uint8)
-    code[(code == ALL) & new_whole & edges[right_at]] = SHOWN  # the first of each whole stands for it
-    back = np.empty(len(code), dtype=np.uint8)
-    back[order] = code
-    cuts = np.cumsum(sizes)[:-1]
-    return pd.DataFrame({"bucket": group["bucket"], "chunk": group["chunk"], "codes": [squeeze(x.tobytes()) for x in np.split(back, cuts)]})
+NONE, ALL, EDGE, SHOWN, HOT, HOT_SHOWN = range(6)
+
+
+def judged(hot: int):
+    """For each chunk a code per distinct trigger.
+
+    NONE no repeat, ALL all repeats, EDGE at an edge of repeats, SHOWN all repeats and shown to
+    the edges.  Where more than `hot` distinct triggers share a right, the last two are HOT and
+    HOT_SHOWN: their windows are counted by content, spread over all buckets.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rights = [unpack_numbers(x).view(np.uint64) for x in group["rights"]]
+        sizes = [len(r) for r in rights]
+        right = np.concatenate(rights)
+        whole = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in group["wholes"]])
+        twice = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=n) for x, n in zip(group["twice"], sizes, strict=True)])
+        order = np.lexsort((whole, right))
+        r, w = right[order], whole[order]
+        new_right = np.append(True, r[1:] != r[:-1])
+        new_whole = new_right | np.append(True, w[1:] != w[:-1])
+        right_at, whole_at = np.cumsum(new_right) - 1, np.cumsum(new_whole) - 1
+        n_whole = np.bincount(whole_at, weights=1 + twice[order])
+        kinds = np.bincount(right_at, weights=new_whole)[right_at]  # distinct wholes of a right
+        alone = n_whole[whole_at] == 1
+        edges = np.bincount(right_at, weights=alone & (kinds > 1))[right_at] > 0
+        code = np.where(~alone, ALL, np.where(kinds > 1, EDGE, NONE)).astype(np.uint8)
+        code[(code == ALL) & new_whole & edges] = SHOWN  # the first of each whole stands for it
+        code[(code >= EDGE) & (kinds > hot)] += HOT - EDGE
+        back = np.empty(len(code), dtype=np.uint8)
+        back[order] = code
+        return pd.DataFrame({"bucket": group["bucket"], "chunk": group["chunk"], "codes": [squeeze(x.tobytes()) for x in np.split(back, np.cumsum(sizes)[:-1])]})
+
+    return run
 
 
 def contexts(settings: Settings, buckets: int):
-    """The bytes of edge triggers and of those shown to them, by bucket."""
+    """The bytes of edge triggers and of those shown to them, by bucket; of groups that are not hot."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in chunk_rows(batches):
             code = codes_of(row)
-            at = np.flatnonzero(code >= EDGE)
+            at = np.flatnonzero((code == EDGE) | (code == SHOWN))
             if not len(at):
                 continue
             left, span, first = places_of(row)
             blob = unsqueeze(row["blob"])
             digest, right, window = xxhash.xxh3_64_intdigest, settings.right, settings.window
             rights = np.fromiter((digest(blob[p : p + right]) for p in (first[at] + left[at]).tolist()), dtype=np.uint64, count=len(at))
-            bucket, order = ordered(rights, buckets)
+            bucket = bucket_of(rights, buckets)
+            order = np.argsort(bucket, kind="stable")
             out: dict[str, list] = {k: [] for k in ("bucket", "chunk", "numbers", "lefts", "spans", "edges", "held")}
             for part in split_by(bucket, order):
                 some = at[part]
@@ -200,9 +232,70 @@ CONTEXT = "bucket int, chunk long, numbers binary, lefts binary, spans binary, e
 
 
 def codes_of(row: dict) -> np.ndarray:
-    """Codes of a chunk's triggers, in the order sent."""
+    """Codes of a chunk's triggers, in the order sent; of equal triggers the first alone is shown."""
     parts = sorted(((x["bucket"], x["codes"]) for x in row["codes"] or []), key=lambda x: x[0])
-    return np.concatenate([np.frombuffer(unsqueeze(c), dtype=np.uint8) for _, c in parts]) if parts else np.empty(0, dtype=np.uint8)
+    if not parts:
+        return np.empty(0, dtype=np.uint8)
+    code = np.concatenate([np.frombuffer(unsqueeze(c), dtype=np.uint8) for _, c in parts])
+    runs = np.frombuffer(unsqueeze(row["runs"]), dtype=np.int32)
+    out = np.repeat(code, runs)
+    again = np.ones(len(out), dtype=bool)
+    again[np.cumsum(runs) - runs] = False
+    out[again & ((out == SHOWN) | (out == HOT_SHOWN))] = ALL
+    return out
+
+
+def hot_windows(row: dict, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of a chunk's hot triggers: (start, 128-bit content name as two numbers, is it an edge's?)."""
+    code = codes_of(row)
+    at = np.flatnonzero(code >= HOT)
+    _, span, first = places_of(row)
+    blob, window, digest = unsqueeze(row["blob"]), settings.window, xxhash.xxh3_128_digest
+    size = span[at] + 1
+    start = np.repeat(first[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    names = np.frombuffer(b"".join([digest(blob[a : a + window]) for a in start.tolist()]), dtype="<u8").reshape(-1, 2)
+    return start, names, np.repeat(code[at] == HOT, size)
+
+
+HOT_ASK = "bucket int, chunk long, names binary, twice binary"
+
+
+def ask_hot(settings: Settings, buckets: int):
+    """Distinct windows of hot triggers by content, with a bit for those that the chunk has twice."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in chunk_rows(batches):
+            if not (codes_of(row) >= HOT).any():
+                continue
+            names, _, counts = distinct_names(hot_windows(row, settings)[1])
+            where = bucket_of(names[:, 0], buckets)
+            out: dict[str, list] = {k: [] for k in ("bucket", "chunk", "names", "twice")}
+            for part in split_by(where, np.arange(len(where))):
+                for name, value in zip(out, (int(where[part[0]]), row["chunk"], names[part].tobytes(), np.packbits(counts[part] > 1).tobytes()), strict=True):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("names", pa.binary()), ("twice", pa.binary())]))
+
+    return run
+
+
+def distinct_names(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, ascending; each row's place among them; and how often each stands there."""
+    order = np.lexsort((names[:, 1], names[:, 0]))
+    x = names[order]
+    new = np.append(True, (x[1:] != x[:-1]).any(axis=1))[: len(x)]
+    back = np.empty(len(x), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return x[new], back, np.bincount(back, minlength=int(new.sum()))
+
+
+def judge_hot(group: pd.DataFrame) -> pd.DataFrame:
+    """For each chunk a bit per window: does it start elsewhere too?"""
+    names = [np.frombuffer(x, dtype="<u8").reshape(-1, 2) for x in group["names"]]
+    sizes = [len(x) for x in names]
+    twice = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=n) for x, n in zip(group["twice"], sizes, strict=True)])
+    _, back, _ = distinct_names(np.concatenate(names))
+    more = np.bincount(back, weights=1 + twice)[back] > 1
+    return pd.DataFrame({"bucket": group["bucket"], "chunk": group["chunk"], "told": [np.packbits(x).tobytes() for x in np.split(more, np.cumsum(sizes)[:-1])], "size": sizes})
 
 
 def places_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -296,13 +389,20 @@ def cut_out(settings: Settings, digest: bool):
             code = codes_of(row)
             _, span, first = places_of(row)
             change = np.zeros(len(chunk.blob) + 1, dtype=np.int32)
-            whole = (code == ALL) | (code == SHOWN)
+            whole = (code == ALL) | (code == SHOWN) | (code == HOT_SHOWN)
             np.add.at(change, first[whole], 1)
             np.add.at(change, first[whole] + span[whole] + window, -1)
             for x in row["edges"] or []:
                 starts = first[np.frombuffer(x["numbers"], dtype=np.int64)] + np.frombuffer(x["offsets"], dtype=np.int64)
                 np.add.at(change, starts, 1)
                 np.add.at(change, starts + window, -1)
+            if row["hot"]:
+                starts, names, edge = hot_windows(row, settings)
+                _, back, _ = distinct_names(names)
+                parts = sorted(row["hot"], key=lambda x: x["bucket"])
+                more = np.concatenate([np.unpackbits(np.frombuffer(x["told"], dtype=np.uint8), count=x["size"]) for x in parts]).astype(bool)[back] & edge
+                np.add.at(change, starts[more], 1)
+                np.add.at(change, starts[more] + window, -1)
             gone = np.cumsum(change[:-1]) > 0
             out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept")}
             data = np.frombuffer(chunk.blob, dtype=np.uint8)
@@ -330,13 +430,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", settings: Settings | Non
     chunks = chunked(docs, None, text, settings.chunk_bytes)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = int(min(1 << 20, max(24, -(-size // settings.bucket_bytes))))
-    asked = write_table(chunks.mapInArrow(asks(settings, buckets), ASK + ", places binary"), "asked")
-    places = asked.where("bucket < 0").select("chunk", "places")
-    codes = asked.where("bucket >= 0").drop("places").groupBy("bucket").applyInPandas(judged, "bucket int, chunk long, codes binary")
+    asked = write_table(chunks.mapInArrow(asks(settings, buckets), ASK), "asked")
+    places = asked.where("bucket < 0").select("chunk", "places", F.col("twice").alias("runs"))
+    codes = asked.where("bucket >= 0").drop("places").groupBy("bucket").applyInPandas(judged(settings.hot), "bucket int, chunk long, codes binary")
     codes = codes.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "codes")).alias("codes"))  # a byte for each trigger of the chunk
     known = write_table(places.join(codes, "chunk", "left"), "codes")
-    sent = chunks.select("chunk", "blob").join(known, "chunk").mapInArrow(contexts(settings, buckets), CONTEXT)
+    coded = chunks.select("chunk", "blob").join(known, "chunk")
+    sent = coded.mapInArrow(contexts(settings, buckets), CONTEXT)
     edges = sent.groupBy("bucket").applyInPandas(resolve(settings), "chunk long, numbers binary, offsets binary")
     edges = edges.groupBy("chunk").agg(F.collect_list(F.struct("numbers", "offsets")).alias("edges"))  # windows of the chunk's own triggers
-    edges = write_table(known.join(edges, "chunk", "left"), "edges")
+    told = coded.mapInArrow(ask_hot(settings, buckets), HOT_ASK).groupBy("bucket").applyInPandas(judge_hot, "bucket int, chunk long, told binary, size int")
+    told = told.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "told", "size")).alias("hot"))  # a bit for each window of the chunk's own
+    edges = write_table(known.join(edges, "chunk", "left").join(told, "chunk", "left"), "edges")
     return chunks.join(edges, "chunk").mapInArrow(cut_out(settings, digest), SCHEMA)

@@ -25,7 +25,7 @@ def removed_bytes(texts, window):
     return out
 
 
-@pytest.mark.parametrize("settings", [prefixfree.Settings(), prefixfree.Settings(window=60, reach=30, chunk_bytes=4000)])
+@pytest.mark.parametrize("settings", [prefixfree.Settings(), prefixfree.Settings(window=60, reach=30, chunk_bytes=4000), prefixfree.Settings(window=60, reach=30, chunk_bytes=4000, hot=1)])
 def test_prefixfree(docs, rows, settings):
     found = prefixfree.remove_repeats(docs, settings=settings, digest=True).collect()
     got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in found), key=str)
@@ -33,6 +33,22 @@ def test_prefixfree(docs, rows, settings):
     assert got == sorted(((i, *w) for (i, _), w in zip(rows, want)), key=str)
 
 
+def test_prefixfree_hot_passage(spark):
+    """One passage between ever new surroundings, some of which agree for a while."""
+    import random
+
+    def invented(seed, n):
+        rng = random.Random(seed)
+        return ["".join(rng.choices("the ing on er ti re an".split(), k=rng.randint(1, 3))) for _ in range(n)]
+
+    passage = " ".join(invented(1, 80))
+    rows = [(i, f"{' '.join(invented(100 + i, 9))} {' '.join(invented(50 + i % 5, 6))} {passage} {' '.join(invented(70 + i % 7, 7))} {' '.join(invented(300 + i, 9))}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    settings = prefixfree.Settings(window=120, reach=60, chunk_bytes=3000, hot=5)
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in prefixfree.remove_repeats(docs, settings=settings, digest=True).collect())
+    assert got == [(i, *w) for (i, _), w in zip(rows, removed_bytes([t.encode() for _, t in rows], 120))]
+
+
 def late_words(rows, window):
     far = float("inf")
     words = [(i, (t or "").encode().split()) for i, t in rows]
