@@ -290,7 +290,10 @@ def pack(docs: DataFrame, tokenizer: str, settings: Settings | None = None, text
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row.
 
     A null or empty text is its end id alone.  Repeated rows are packed each for itself; a null
-    doc_id stays null.  An empty table gives no rows.
+    doc_id stays null.  An empty table gives no rows.  Bins that are full but for `slack` tokens
+    are done; the others' pieces meet again in fewer shards.  Where a round leaves more than half
+    of its pieces the slack widens eightfold, so that rounds end: a bin closed in such a round
+    can waste that slack, the price of never holding all pieces in one task.
     """
     settings = settings or Settings()
     cut = write_table(pieces(docs, tokenizer, settings, text), "pieces")

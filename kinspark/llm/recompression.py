@@ -8,8 +8,12 @@ carries its support: the words that decide it.  A window is attached to the symb
 hash among those of the highest round whose support it holds, which equal windows share.
 
 Spark then (1) groups attached symbols over the corpus: windows whose symbol occurs in one
-document only have no repeat; (2) verifies the windows of shared symbols by their whole word
-sequence and finds the smallest document of each; (3) cuts the words of later ones.
+document only have no repeat; (2) names the windows of shared symbols by their whole word
+sequence and finds the smallest document of each name; (3) cuts the words of later ones.
+
+A window's last name is a 64-bit hash of its words' 64-bit hashes, which is not compared word by
+word: among 10**8 windows the odds that any two unequal ones agree are about 3 in 10**4, among
+10**10 about three pairs do.
 """
 
 from __future__ import annotations
