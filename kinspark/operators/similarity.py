@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from .tree import cut_lineage
 
 
 def shared_counts(sets: DataFrame, block: list[str]) -> DataFrame:
@@ -31,9 +32,36 @@ def jaccard_pairs(sets: DataFrame, block: list[str], least: float = 0.0) -> Data
     return out.where(F.col("jaccard") >= least) if least else out
 
 
+def similar_pairs(sets: DataFrame, block: str, shared: int, least: float) -> DataFrame:
+    """(a, b, shared, jaccard) of samples of one block that share `shared` variants at least, at a Jaccard of `least` or more.
+
+    sets: (block, sample_id, variant_id), distinct, a sample in one block.  Equal sets are
+    compared once, by their least sample.  Sets that similar agree on one of their rarest
+    variants (a prefix of the set in order of rarity), so only those meet: a variant that
+    everyone has, as a branch's founding one, is in no prefix but of sets that hold little else.
+    """
+    seen = sets.groupBy(block, "variant_id").agg(F.count("*").alias("_n"))
+    held = sets.join(seen, [block, "variant_id"]).groupBy(block, "sample_id").agg(F.array_sort(F.collect_list(F.struct("_n", "variant_id"))).alias("v"))  # one sample's variants
+    held = cut_lineage(held.select(block, "sample_id", F.transform("v", lambda x: x["variant_id"]).alias("v")))
+    kinds = cut_lineage(held.groupBy(block, "v").agg(F.min("sample_id").alias("kind"), F.count("*").alias("members")).withColumn("n", F.size("v")).where(F.col("n") >= shared))
+    members = held.join(kinds.select(block, "v", "kind"), [block, "v"]).select("kind", "sample_id")
+    need = F.greatest(F.lit(shared), F.ceil(F.col("n") * least).cast("int"))
+    tokens = kinds.select(block, "kind", "n", F.explode(F.slice("v", F.lit(1), F.col("n") - need + 1)).alias("token"))
+    x = tokens.select(block, "token", F.col("kind").alias("x"), F.col("n").alias("nx"))
+    y = tokens.select(block, "token", F.col("kind").alias("y"), F.col("n").alias("ny"))
+    fits = (F.col("x") < F.col("y")) & (F.col("nx") >= least * F.col("ny")) & (F.col("ny") >= least * F.col("nx"))
+    near = x.join(y, [block, "token"]).where(fits).select("x", "y").distinct()
+    near = near.join(kinds.select(F.col("kind").alias("x"), F.col("v").alias("vx")), "x").join(kinds.select(F.col("kind").alias("y"), F.col("v").alias("vy")), "y")
+    near = near.select("x", "y", F.size(F.array_intersect("vx", "vy")).cast("long").alias("shared"), F.size("vx").alias("nx"), F.size("vy").alias("ny")).withColumn("jaccard", scalars.jaccard(F.col("shared"), F.col("nx"), F.col("ny")))
+    near = near.where((F.col("shared") >= shared) & (F.col("jaccard") >= least)).select("x", "y", "shared", "jaccard")
+    same = kinds.where("members > 1").select(F.col("kind").alias("x"), F.col("kind").alias("y"), F.col("n").cast("long").alias("shared"), scalars.jaccard(F.col("n"), F.col("n"), F.col("n")).alias("jaccard"))
+    pairs = near.unionByName(same).join(members.select(F.col("kind").alias("x"), F.col("sample_id").alias("p")), "x").join(members.select(F.col("kind").alias("y"), F.col("sample_id").alias("q")), "y")
+    return pairs.where("x <> y or p < q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared", "jaccard")
+
+
 def duplicate_candidates(sets: DataFrame, mt: DataFrame) -> DataFrame:
     """Pairs of one terminal that share 3 variants at Jaccard 0.5, scored 0.6 J + 0.4 for equal mt."""
-    pairs = jaccard_pairs(sets, ["terminal"]).where("shared >= 3 and jaccard >= 0.5")
+    pairs = similar_pairs(sets, "terminal", 3, 0.5)
     both = pairs.join(mt.select(F.col("sample_id").alias("a"), F.col("mt").alias("ma")), "a").join(mt.select(F.col("sample_id").alias("b"), F.col("mt").alias("mb")), "b")
     same = (F.col("ma") == F.col("mb")).cast("double")
     return both.select("a", "b", "shared", "jaccard", F.least(F.lit(1.0), 0.4 * same + 0.6 * F.col("jaccard")).alias("score"))

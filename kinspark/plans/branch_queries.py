@@ -235,7 +235,7 @@ def str_star_age(fx):
 
 @query()
 def combined_age(fx):
-    n = fx.node.select("node_id", "support", "curated").where("node_id % 11 <> 0")
+    n = fx.node.select("node_id", "support", "curated")
     terms = n.select("node_id", F.lit("snp").alias("term"), (F.col("support") * 100.0).alias("mean"), F.lit(250.0).alias("sigma"))
     terms = terms.union(n.where("node_id % 3 = 0").select("node_id", F.lit("anchor"), F.col("node_id") % 9000 + 0.0, F.lit(80.0)))
     key = F.concat_ws("|", "node_id", "term")
