@@ -28,7 +28,7 @@ def test_private_nodes_hand_their_samples_up(spark):
 
 def test_step_table_sums_to_one(spark):
     sums = {r["m"]: r["s"] for r in strages.str_step_table(spark).groupBy("m").agg({"p": "sum"}).withColumnRenamed("sum(p)", "s").collect()}
-    assert len(sums) == 31 and all(abs(v - 1) < 0.02 for v in sums.values())
+    assert len(sums) == strages.MOST_MUTATIONS + 1 and all(abs(v - 1) < 0.02 for v in sums.values())
     table = strages.folded(strages.step_shares(0.05), 0.5, 10, 100)
     assert np.allclose(table.sum(axis=1), 1) and np.abs(strages.folded(strages.step_shares(), 0.5, 10, 10) - np.array(strages.PUBLISHED).T).max() < 0.12
 
@@ -39,9 +39,9 @@ def test_star_age_is_the_product_of_marker_ages(spark):
     modal = spark.createDataFrame([(1, 1, 10), (1, 2, 10)], "node_id int, marker int, modal int")
     g = spark.createDataFrame([(m, d, 0.003) for m in (1, 2) for d in (0, 1, 2)], "marker int, g int, rate double")
     r = strages.str_star_age(testers, modal, strages.str_marker_age(g, strages.str_step_table(spark), ["marker"], res, bins), res).first()
-    p = strages.folded(strages.step_shares(), 0.5, 30, 10)
+    p = strages.folded(strages.step_shares(), 0.5, strages.MOST_MUTATIONS, 10)
     p[:11, :11] = np.array(strages.PUBLISHED).T
-    mass = {d: sum(p[m, d] * (ages.poisson_mass(m, 0.003 / 33, res, bins) if m else np.exp(-np.arange(bins) * res * 0.003 / 33) / np.exp(-np.arange(bins) * res * 0.003 / 33).sum()) for m in range(31) if p[m, d] > 1e-9) for d in (0, 1, 2)}
+    mass = {d: sum(p[m, d] * (ages.poisson_mass(m, 0.003 / 33, res, bins) if m else np.exp(-np.arange(bins) * res * 0.003 / 33) / np.exp(-np.arange(bins) * res * 0.003 / 33).sum()) for m in range(strages.MOST_MUTATIONS + 1) if p[m, d] > 1e-9) for d in (0, 1, 2)}
     want = mass[0] * mass[1] * mass[2] * mass[0]
     want /= want.sum()
     assert r["mean"] == pytest.approx((want * np.arange(bins)).sum() * res, rel=1e-6)
