@@ -131,26 +131,42 @@ def tester_mass(m: int, rate: float, resolution: float, bins: int) -> np.ndarray
     return convolved(w / w.sum(), birth / birth.sum(), bins)
 
 
-def snp_age_propagate(branches: DataFrame, testers: DataFrame, resolution: float = 50.0, bins: int = 400) -> DataFrame:
-    """(node_id, mean, median) of every node that descendants or testers date, bottom-up.
+def product(rows: list[np.ndarray], bins: int) -> np.ndarray | None:
+    """Normalised product of masses; None where they have no bin in common."""
+    out = np.ones(bins)
+    for r in rows:
+        out = out * r
+        total = out.sum()
+        if total <= 0:
+            return None
+        out = out / total
+    return out
+
+
+def refined(child: np.ndarray, parent: np.ndarray, branch: np.ndarray, bins: int) -> np.ndarray:
+    """A child's age given its parent's: their product, or what the parent implies where the two are disjoint.
+
+    A branch longer than any age of the parent implies nothing; then the child keeps its age.
+    """
+    implied = convolved(parent, branch, bins, subtract=True)
+    if implied.sum() <= 0:
+        return child
+    both = product([child, implied], bins)
+    return implied if both is None else both
+
 
-    branches: (child_id, parent_id, snps, bp); testers: (node_id, snps, bp).  A node's age is the
-    product over its children (their age and their branch's time) and its testers.  A round per
-    level; a group holds one node's children, as arrays of `bins` masses; evidence that
-    excludes itself leaves the node undated.
+def snp_age_propagate(branches: DataFrame, testers: DataFrame, resolution: float = 50.0, bins: int = 400) -> DataFrame:
+    """(node_id, mean, median, lo, hi, formed) of every node that descendants or testers date.
+
+    branches: (child_id, parent_id, snps, bp); testers: (node_id, snps, bp).  Upwards, a node's age
+    is the product over its children (their age and their branch's time) and its testers; evidence
+    that excludes itself leaves the node undated.  Downwards, the children of a node with two dated
+    ones or more are refined by its age less their branch's time.  formed is the median of the age
+    with the node's own branch added.  A round per level each way; a group upwards holds one
+    node's children, as arrays of `bins` masses, and downwards every child is a row.
     """
     from .tree import cut_lineage, node_depth, tree_closure
 
-    def product(rows: list[np.ndarray]) -> np.ndarray | None:
-        out = np.ones(bins)
-        for r in rows:
-            out = out * r
-            total = out.sum()
-            if total <= 0:
-                return None
-            out = out / total
-        return out
-
     def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         terms = []
         for r in rows.itertuples(index=False):
@@ -159,24 +175,66 @@ def snp_age_propagate(branches: DataFrame, testers: DataFrame, resolution: float
                 terms.append(tester_mass(int(r.snps), rate, resolution, bins))
             else:
                 terms.append(convolved(np.asarray(r.mass), poisson_mass(int(r.snps), rate, resolution, bins), bins))
-        out = product(terms)
+        out = product(terms, bins)
         return pd.DataFrame({"node_id": [key[0]], "mass": [out.tolist()]} if out is not None else {"node_id": [], "mass": []})
 
-    edges = cut_lineage(branches.select("child_id", "parent_id", "snps", "bp").distinct())
+    def refine(frames):
+        for frame in frames:
+            out = [
+                np.asarray(r.mass) if r.above is None else refined(np.asarray(r.mass), np.asarray(r.above), poisson_mass(int(r.snps), r.bp * SNP_RATE, resolution, bins), bins)
+                for r in frame.itertuples(index=False)]
+            yield pd.DataFrame({"node_id": frame["node_id"], "mass": [x.tolist() for x in out]})
+
+    def form(frames):
+        for frame in frames:
+            out = [convolved(np.asarray(r.mass), poisson_mass(int(r.snps), r.bp * SNP_RATE, resolution, bins), bins) for r in frame.itertuples(index=False)]
+            yield pd.DataFrame({"node_id": frame["node_id"], "mass": [x.tolist() for x in out]})
+
+    edges = cut_lineage(branches.select("child_id", "parent_id", F.col("snps").cast("long").alias("snps"), F.col("bp").cast("double").alias("bp")).distinct())
     closed = tree_closure(edges.withColumn("valid_until", F.lit(None).cast("timestamp")))
     depth = cut_lineage(node_depth(closed).union(testers.select("node_id", F.lit(0)).join(closed.select(F.col("descendant_id").alias("node_id")), "node_id", "left_anti")).distinct())
     deepest = depth.agg(F.max("depth")).first()[0] or 0
     own = testers.select("node_id", F.col("snps").cast("long").alias("snps"), F.col("bp").cast("double").alias("bp"), F.lit(None).cast("array<double>").alias("mass"))
-    below, out = None, None
+    levels: dict[int, DataFrame] = {}
     for d in range(deepest, -1, -1):
         rows = own.join(depth.where(F.col("depth") == d).select("node_id"), "node_id", "left_semi")
-        if below is not None:
-            up = below.withColumnRenamed("node_id", "child_id").join(edges, "child_id")
-            rows = rows.union(up.select(F.col("parent_id").alias("node_id"), F.col("snps").cast("long"), F.col("bp").cast("double"), "mass"))
-        below = cut_lineage(rows.groupBy("node_id").applyInPandas(join, "node_id long, mass array<double>"))
-        out = below if out is None else out.union(below)
-    masses = out.select("node_id", F.posexplode("mass").alias("bin", "mass"))
-    return pdf_stats(masses, "node_id", resolution).select("node_id", "mean", "median", "lo", "hi")
+        if d + 1 in levels:
+            up = levels[d + 1].withColumnRenamed("node_id", "child_id").join(edges, "child_id")
+            rows = rows.union(up.select(F.col("parent_id").alias("node_id"), "snps", "bp", "mass"))
+        levels[d] = cut_lineage(rows.groupBy("node_id").applyInPandas(join, "node_id long, mass array<double>"))
+    out = levels[0]
+    for d in range(1, deepest + 1):
+        here = levels[d].join(edges.withColumnRenamed("child_id", "node_id"), "node_id")
+        several = here.groupBy("parent_id").agg(F.count("*").alias("_n")).where("_n > 1").select("parent_id")
+        above = levels[d - 1].select(F.col("node_id").alias("parent_id"), F.col("mass").alias("above")).join(several, "parent_id", "left_semi")
+        levels[d] = cut_lineage(here.join(above, "parent_id", "left").select("node_id", "mass", "above", "snps", "bp").mapInPandas(refine, "node_id long, mass array<double>"))
+        out = out.union(levels[d])
+    own_branch = edges.select(F.col("child_id").alias("node_id"), "snps", "bp")
+    born = out.join(own_branch, "node_id", "left").select("node_id", "mass", F.coalesce("snps", F.lit(0)).alias("snps"), F.coalesce("bp", F.lit(1.0)).alias("bp"))
+    formed = born.mapInPandas(form, "node_id long, mass array<double>")
+    stats = [pdf_stats(t.select("node_id", F.posexplode("mass").alias("bin", "mass")), "node_id", resolution) for t in (out, formed)]
+    return stats[0].join(stats[1].select("node_id", F.col("median").alias("formed")), "node_id").select("node_id", "mean", "median", "lo", "hi", "formed")
+
+
+#: The year that "before present" counts from.
+PRESENT_YEAR = 1950
+
+
+def anchor_term(anchors: DataFrame) -> DataFrame:
+    """(node_id, mean, sigma, lo, hi, anchors): the Gaussian of each node's dated anchors and its 95 % interval.
+
+    anchors: (node_id, carbon_bp, date_ce, uncertainty).  A carbon date comes before a calendar
+    year; anchors without either and those after the present are left out.  Without a positive
+    uncertainty, sigma is a tenth of the age, 25 years at least.  A node's anchors are weighted
+    by inverse variance; `pdf_gaussian` puts mean and sigma on the grid.
+    """
+    from .similarity import combine_inverse_variance
+
+    ybp = F.coalesce(F.col("carbon_bp").cast("double"), F.lit(float(PRESENT_YEAR)) - F.col("date_ce"))
+    sigma = F.when(F.col("uncertainty") > 0, F.col("uncertainty").cast("double")).otherwise(F.greatest(F.col("ybp") * 0.1, F.lit(25.0)))
+    dated = anchors.withColumn("ybp", ybp).where("ybp >= 0").select("node_id", "ybp", sigma.alias("sigma"))
+    out = combine_inverse_variance(dated).withColumnsRenamed({"ybp": "mean", "n": "anchors"})
+    return out.select("node_id", "mean", "sigma", F.greatest(F.col("mean") - 1.96 * F.col("sigma"), F.lit(0.0)).alias("lo"), (F.col("mean") + 1.96 * F.col("sigma")).alias("hi"), "anchors")
 
 
 def str_combine_gate(ages: DataFrame, least: int = 2, most_years: float = 10_000.0) -> DataFrame:

@@ -119,16 +119,52 @@ def identifier_adjudicate(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("a", "b", "relation", F.when(F.col("relation") == "NO_PLACEMENT", "UNPLACED").when(F.col("relation") == "DISTANT", "DISPUTED").otherwise("CONFIRMED").alias("disposition"), F.when(F.col("relation") == "NO_PLACEMENT", 0.60).when(F.col("relation") == "DISTANT", 0.50).otherwise(0.98).alias("score"))
 
 
-def relative_suggestions(overlaps: DataFrame, terminals: DataFrame, shared: DataFrame, most: int = 50) -> DataFrame:
-    """Three signals (columns a, b, score) weighted .4, .3 and .3; the strongest is primary, ties in that order; the best of each sample."""
+def terminal_scores(samples: DataFrame, depth: DataFrame, half: float = 8.0) -> DataFrame:
+    """(sample_id, terminal, score): (1 - n/N) d / (d + half), .01 at least, for terminals of two samples or more.
+
+    n of all N samples have the terminal, d is its depth; one that the tree lacks counts as 3 deep.
+    """
+    n = samples.groupBy("terminal").agg(F.count("*").alias("_n")).where("_n > 1 and terminal is not null")
+    total = samples.agg(F.count("*").alias("_total"))
+    d = F.coalesce(F.col("depth"), F.lit(3)).cast("double")
+    score = F.greatest((1 - F.col("_n") / F.col("_total")) * d / (d + half), F.lit(0.01))
+    scored = n.join(depth.select(F.col("node_id").alias("terminal"), "depth"), "terminal", "left").crossJoin(F.broadcast(total)).select("terminal", score.alias("score"))
+    return samples.select("sample_id", "terminal").join(scored, "terminal").select("sample_id", "terminal", "score")
+
+
+def relative_suggestions(overlaps: DataFrame, terminals: DataFrame, shared: DataFrame, dismissed: DataFrame, most: int = 50) -> DataFrame:
+    """(a, b, score, primary, rank): the best `most` relatives b of each sample a; dismissed ones (a, b) are taken out after the cut.
+
+    overlaps and shared: (a, b, score) once for a pair, weighted .4 and .3; terminals: (sample_id,
+    terminal, score), one for a sample, weighted .3 for samples of one terminal.  primary is the
+    strongest signal, ties in the order overlap, terminal, shared.
+
+    Pairs that share nothing but a terminal all score alike, so ties decide by the lesser b: of
+    those a sample needs its terminal's first `most` members, and one more for itself and for each
+    relative that it has by another signal.  Only these are made, never all pairs of a terminal.
+    """
+    from .tree import cut_lineage
+
     signals = None
-    for k, (df, weight, name) in enumerate(((overlaps, 0.4, "POPULATION_OVERLAP"), (terminals, 0.3, "HAPLOGROUP"), (shared, 0.3, "SHARED_MATCH"))):
-        one = df.select("a", "b", (F.col("score") * weight).alias("part"), F.lit(k).alias("order"), F.lit(name).alias("signal"))
+    for k, (df, weight) in enumerate(((overlaps, 0.4), (shared, 0.3))):
+        one = df.select("a", "b", *[(F.col("score") * weight if k == at else F.lit(0.0)).alias(name) for at, name in enumerate(("p0", "p2"))])
+        one = one.union(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "p0", "p2"))
         signals = one if signals is None else signals.union(one)
-    pairs = signals.groupBy("a", "b").agg(F.sum("part").alias("score"), F.max_by("signal", F.struct("part", -F.col("order"))).alias("primary"))
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score", "primary"))
+    other = cut_lineage(signals.groupBy("a", "b").agg(F.sum("p0").alias("p0"), F.sum("p2").alias("p2")))
+    partners = other.groupBy("a").agg(F.count("*").alias("m"))
+    reach = most + 1 + (partners.agg(F.max("m")).first()[0] or 0)
+    place = F.row_number().over(Window.partitionBy("terminal").orderBy("sample_id"))
+    heads = terminals.select("terminal", F.col("sample_id").alias("b"), place.alias("place")).where(F.col("place") <= reach)
+    seekers = terminals.select("terminal", "score", F.col("sample_id").alias("a")).join(partners, "a", "left").withColumn("need", most + 1 + F.coalesce("m", F.lit(0)))
+    alone = seekers.join(heads, "terminal").where("place <= need and a <> b").select("a", "b").join(other, ["a", "b"], "left_anti").select("a", "b", F.lit(0.0).alias("p0"), F.lit(0.0).alias("p2"))
+    at = terminals.select("sample_id", "terminal", "score")
+    both = other.unionByName(alone).join(at.select(F.col("sample_id").alias("a"), F.col("terminal").alias("ta"), "score"), "a", "left").join(at.select(F.col("sample_id").alias("b"), F.col("terminal").alias("tb")), "b", "left")
+    both = both.select("a", "b", "p0", F.when(F.col("ta") == F.col("tb"), F.col("score") * 0.3).otherwise(0.0).alias("p1"), "p2")
+    best = F.greatest("p0", "p1", "p2")
+    primary = F.when(F.col("p0") == best, "POPULATION_OVERLAP").when(F.col("p1") == best, "HAPLOGROUP").otherwise("SHARED_MATCH")
     w = Window.partitionBy("a").orderBy(F.desc(F.round("score", 9)), "b")  # sums that differ in rounding alone are ties
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    ranked = both.select("a", "b", (F.col("p0") + F.col("p1") + F.col("p2")).alias("score"), primary.alias("primary")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return ranked.join(dismissed.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def change_set_apply(nodes: DataFrame, changes: DataFrame, at: str) -> DataFrame:

@@ -90,3 +90,12 @@ def liftover_join(variants: DataFrame, chain: DataFrame) -> DataFrame:
     lifted = hits.select("id", F.when(F.col("strand") == "-", F.col("q_start") + (F.col("t_end") - 1 - F.col("position"))).otherwise(F.col("q_start") + F.col("position") - F.col("t_start")).alias("lifted"), "strand")
     flip = F.col("strand") == "-"
     return variants.join(lifted, "id", "left").select("id", "lifted", F.when(flip, dna.revcomp(F.col("anc"))).otherwise(F.col("anc")).alias("anc"), F.when(flip, dna.revcomp(F.col("der"))).otherwise(F.col("der")).alias("der"), F.when(F.col("lifted").isNull(), "UNMAPPED").otherwise("LIFTED").alias("how"))
+
+
+def mt_rotation_lift(variants: DataFrame, rotation: DataFrame) -> DataFrame:
+    """(id, anc, der, rotated, how): positions through a rotation map (position, rotated), alleles as they are.
+
+    A position that the map lacks, or has without a target, is UNMAPPED.
+    """
+    at = rotation.where("rotated is not null").groupBy("position").agg(F.min("rotated").alias("rotated"))
+    return variants.join(at, "position", "left").select("id", "anc", "der", "rotated", F.when(F.col("rotated").isNull(), "UNMAPPED").otherwise("LIFTED").alias("how"))

@@ -74,6 +74,23 @@ def population_overlap(shares: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, ["b", "population"]).groupBy("a", "b").agg(F.sum(F.least("pa", "pb")).alias("overlap"))
 
 
+def overlap_pairs(shares: DataFrame, blocks: DataFrame, least: float) -> DataFrame:
+    """(a, b, overlap) of samples of one block whose common shares come to `least` or more.
+
+    shares: (sample_id, population, pct); blocks: (sample_id, block).  With populations in one
+    order, rare first, the first that two samples have in common bounds their overlap by what
+    each holds from there on.  So only samples meet that agree on a population from which on both
+    hold `least`; the last ones, which everyone has a little of, bring nobody together.
+    """
+    seen = shares.groupBy("population").agg(F.count("*").alias("_n"))
+    rest = F.sum("pct").over(Window.partitionBy("sample_id").orderBy(F.desc("_n"), F.desc("population")))
+    # sums that miss the bound by rounding alone still meet; the overlap itself decides
+    prefix = shares.join(seen, "population").withColumn("_rest", rest).where(F.col("_rest") >= least - 1e-9).join(blocks, "sample_id").select("block", "population", "sample_id")
+    x, y = prefix.withColumnRenamed("sample_id", "a"), prefix.withColumnRenamed("sample_id", "b")
+    near = x.join(y, ["block", "population"]).where("a < b").select("a", "b").distinct()
+    return population_overlap(shares, near).where(F.col("overlap") >= least)
+
+
 def symmetric_edges(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
 

@@ -5,22 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir) and read again; without one, local sessions get a folder of their own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share (spark.checkpoint.dir); without one, local sessions get a folder of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/closure-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/closure-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(rows: DataFrame, column: str, after: int, *order: str) -> DataFrame:
@@ -138,6 +142,41 @@ def restructure_check(moves: DataFrame, closure: DataFrame) -> DataFrame:
     return moves.join(inside, ["node_id", "new_parent"], "left").select("node_id", "new_parent", F.when(F.col("cycle"), "REFUSED").otherwise("MOVED").alias("how"))
 
 
+def merge_into_parent(merged: DataFrame, edges: DataFrame, closure: DataFrame, links: DataFrame) -> dict[str, DataFrame]:
+    """The tree after some nodes (node_id) went into their parents.
+
+    edge: (child_id, parent_id) of the nodes that stay; link: (node_id, variant_id), each once;
+    closed: nodes that are over.  Where a parent goes too, children and variants move on to the
+    nearest ancestor that stays.  A node without a parent stays.
+    """
+    closed = merged.select("node_id").distinct().join(current_rows(edges).select(F.col("child_id").alias("node_id")), "node_id", "left_semi")
+    above = closure.where("distance > 0").join(closed.select(F.col("node_id").alias("ancestor_id")), "ancestor_id", "left_anti")
+    home = cut_lineage(above.groupBy(F.col("descendant_id").alias("node_id")).agg(F.min_by("ancestor_id", "distance").alias("home")))
+    edge = current_rows(edges).select(F.col("child_id").alias("node_id")).distinct().join(closed, "node_id", "left_anti").join(home, "node_id").select(F.col("node_id").alias("child_id"), F.col("home").alias("parent_id"))
+    moved = links.join(closed.join(home, "node_id"), "node_id", "left")
+    return {"edge": edge, "link": moved.select(F.coalesce("home", "node_id").alias("node_id"), "variant_id").distinct(), "closed": closed}
+
+
+def split_node(splits: DataFrame, moves: DataFrame, nodes: DataFrame, links: DataFrame) -> dict[str, DataFrame]:
+    """New children that take some of a node's variants.
+
+    splits: (split_id, node_id, name); moves: (split_id, variant_id).  A name that is empty, that a
+    current node of the same kind of DNA has, or that an earlier split takes, is refused.
+    Variants that the node doesn't hold are left out; one asked for twice goes to the first.
+    Returns node (split_id, node_id, name, parent_id), numbered after the greatest id, and link.
+    """
+    now = current_rows(nodes).select("node_id", "name", "dna_type")
+    asked = splits.withColumn("name", F.trim("name")).where("name <> ''").join(now.select("node_id", "dna_type"), "node_id")
+    free = asked.join(now.select("name", "dna_type").distinct(), ["name", "dna_type"], "left_anti")
+    first = free.groupBy("name", "dna_type").agg(F.min_by(F.struct("split_id", F.col("node_id").alias("parent_id")), "split_id").alias("s")).select("name", "s.*")
+    after = nodes.agg(F.max("node_id")).first()[0] or 0
+    node = cut_lineage(numbered(first, "node_id", after, "split_id").select("split_id", "node_id", "name", "parent_id"))
+    held = links.select("node_id", "variant_id").distinct()
+    goes = moves.join(node.select("split_id", F.col("node_id").alias("child"), F.col("parent_id").alias("node_id")), "split_id").join(held, ["node_id", "variant_id"], "left_semi")
+    goes = goes.groupBy("node_id", "variant_id").agg(F.min_by("child", "split_id").alias("child"))
+    return {"node": node, "link": held.join(goes, ["node_id", "variant_id"], "left").select(F.coalesce("child", "node_id").alias("node_id"), "variant_id")}
+
+
 def tree_revision(*tables: DataFrame) -> DataFrame:
     """A fingerprint of tables' rows, whatever their order."""
     out = None

@@ -118,10 +118,10 @@ def merge_subjects(fx):
 
 
 @query("""WITH s AS (SELECT DISTINCT did, did * 7 + rkey AS identifier FROM fx_commit WHERE did % 3 <> 0), d AS (SELECT did, 'S' || lpad((row_number() OVER (ORDER BY did))::VARCHAR, 5, '0') AS donor FROM (SELECT DISTINCT did FROM s))
-    SELECT s.did, s.identifier, donor, CASE WHEN o.owner IS NULL THEN 'REGISTERED' ELSE 'DUPLICATE' END AS how, owner FROM s JOIN d ON s.did = d.did LEFT JOIN (SELECT sample_id AS identifier, min(donor_id) AS owner FROM fx_sample WHERE sample_id % 2 = 0 GROUP BY 1) o ON o.identifier = s.identifier""")
+    SELECT s.did, s.identifier, donor, CASE WHEN o.owner IS NULL THEN 'REGISTERED' ELSE 'DUPLICATE' END AS how, owner FROM s JOIN d ON s.did = d.did LEFT JOIN (SELECT sample_id AS identifier, min(donor_id) AS owner FROM fx_sample GROUP BY 1) o ON o.identifier = s.identifier""")
 def anchor_subjects(fx):
     subjects = fx.commit.select("did", (F.col("did") * 7 + F.col("rkey")).alias("identifier"))
-    owners = fx.sample.where("sample_id % 2 = 0").select(F.col("sample_id").alias("identifier"), F.col("donor_id").alias("owner"))
+    owners = fx.sample.select(F.col("sample_id").alias("identifier"), F.col("donor_id").alias("owner"))
     return branches.anchor_subjects(subjects, subjects.where("did % 3 = 0").select("did"), owners)
 
 

@@ -93,13 +93,14 @@ def search_variants(fx):
 
 
 MIRROR = "SELECT id, name, contig, position, anc, der FROM fx_variant WHERE id % 2 = 0"
-KNOWN = "SELECT * FROM fx_variant WHERE id % 3 <> 0"
+KNOWN = "SELECT * FROM fx_variant WHERE id % 2 <> 0"
 
 
 def mirror_and_known(fx):
+    """Every variant on one side: even ids from a mirror, odd ones known."""
     v = fx.variant
     mirror = v.where("id % 2 = 0")
-    known = v.where("id % 3 <> 0").withColumn("aliases", F.array(F.concat(F.lit("M"), (F.col("id") + 1).cast("string"))))
+    known = v.where("id % 2 <> 0").withColumn("aliases", F.array(F.concat(F.lit("M"), (F.col("id") + 1).cast("string"))))
     return mirror, known
 
 
@@ -108,12 +109,12 @@ def name_alias_match(fx):
     return catalog.name_alias_match(*mirror_and_known(fx))
 
 
-@query(f"""SELECT DISTINCT m.name, k.id AS variant_id FROM (SELECT * FROM ({SITE}) WHERE id % 2 = 0) m JOIN (SELECT * FROM ({SITE}) WHERE id % 3 <> 0) k ON m.position = k.position AND m.canon = k.canon""")
+@query(f"""SELECT DISTINCT m.name, k.id AS variant_id FROM (SELECT * FROM ({SITE}) WHERE id % 2 = 0) m JOIN (SELECT * FROM ({SITE}) WHERE id % 2 <> 0) k ON m.position = k.position AND m.canon = k.canon""")
 def coord_match(fx):
     return catalog.coord_match(*mirror_and_known(fx))
 
 
-@query(f"""WITH m AS (SELECT * FROM ({SITE}) WHERE id % 2 = 0 AND name IS NOT NULL AND position > 1), k AS (SELECT * FROM ({SITE}) WHERE id % 3 <> 0),
+@query(f"""WITH m AS (SELECT * FROM ({SITE}) WHERE id % 2 = 0 AND name IS NOT NULL AND position > 1), k AS (SELECT * FROM ({SITE}) WHERE id % 2 <> 0),
     f AS (SELECT DISTINCT name, variant_id FROM (SELECT m.name, k.id AS variant_id FROM (SELECT * FROM ({SITE}) WHERE id % 2 = 0) m JOIN k ON m.position = k.position AND m.canon = k.canon UNION ALL
         SELECT m.name, k.variant_id FROM m JOIN (SELECT name, id AS variant_id FROM k UNION SELECT 'M' || (id + 1)::VARCHAR, id FROM k) k ON m.name = k.name)),
     x AS (SELECT m.c, m.position, m.canon, m.name, {RANK.format('m.name')} AS r, f.variant_id FROM m LEFT JOIN f ON m.name = f.name)
@@ -130,7 +131,7 @@ def site_twin(fx):
 
 
 
-@query(f"""WITH s AS (SELECT *, list_sort(string_split(canon, '>')) AS al FROM ({SITE})), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY position, al ORDER BY {PLACE}, id) AS rn FROM s WHERE id % 3 <> 0) WHERE rn = 1)
+@query(f"""WITH s AS (SELECT *, list_sort(string_split(canon, '>')) AS al FROM ({SITE})), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY position, al ORDER BY {PLACE}, id) AS rn FROM s WHERE id % 2 <> 0) WHERE rn = 1)
     SELECT s.id, b.id AS variant_id, coalesce(b.name, s.c || ':' || s.position::VARCHAR || ':' || s.canon) AS resolved, CASE WHEN b.id IS NULL THEN 'MINTED' ELSE 'FOUND' END AS how FROM s LEFT JOIN b ON s.position = b.position AND s.al = b.al WHERE s.id % 2 = 0""")
 def catalog_resolve(fx):
     mirror, known = mirror_and_known(fx)
@@ -162,9 +163,9 @@ def tree_full_links(fx):
     return catalog.tree_full_links(fx.node, fx.node_variant.select("node_id", "variant_id"), fx.variant)
 
 
-@query("""SELECT variant_id, node_id, CASE WHEN count(*) OVER (PARTITION BY variant_id) = 1 THEN 'SINGLE' ELSE 'SPLIT' END AS how, row_number() OVER (PARTITION BY variant_id ORDER BY node_id) AS k FROM (SELECT DISTINCT variant_id, node_id FROM fx_node_variant WHERE node_id % 7 = 0 OR variant_id % 5 = 0)""")
+@query("""SELECT variant_id, node_id, CASE WHEN count(*) OVER (PARTITION BY variant_id) = 1 THEN 'SINGLE' ELSE 'SPLIT' END AS how, row_number() OVER (PARTITION BY variant_id ORDER BY node_id) AS k FROM (SELECT DISTINCT variant_id, node_id FROM fx_node_variant)""")
 def site_name_backfill(fx):
-    return catalog.site_name_backfill(fx.node_variant.where("node_id % 7 = 0 or variant_id % 5 = 0"))
+    return catalog.site_name_backfill(fx.node_variant)
 
 
 @query("""SELECT id, coalesce(f.flags, '') AS flags FROM fx_variant v LEFT JOIN (SELECT v.id AS vid, string_agg(DISTINCT region_type || ':' || label, ',' ORDER BY region_type || ':' || label) AS flags FROM fx_variant v JOIN fx_region r ON v.position BETWEEN r.start_pos AND r.end_pos GROUP BY 1) f ON v.id = f.vid""")
@@ -189,16 +190,16 @@ def liftover_join(fx):
     return intervals.liftover_join(fx.variant, fx.chain)
 
 
-@query("""SELECT v.id, CASE WHEN r.base IS NULL THEN 'unchecked' WHEN r.base IN (v.anc, v.der) THEN 'validated' ELSE 'mismatch' END AS status FROM fx_variant v LEFT JOIN (SELECT position AS p, min(anc) AS base FROM fx_variant WHERE position % 3 <> 0 GROUP BY 1) r ON v.position = r.p""")
+@query("""SELECT v.id, CASE WHEN r.base IS NULL THEN 'unchecked' WHEN r.base IN (v.anc, v.der) THEN 'validated' ELSE 'mismatch' END AS status FROM fx_variant v LEFT JOIN (SELECT position AS p, min(CASE WHEN position % 3 <> 0 THEN anc END) AS base FROM fx_variant GROUP BY 1) r ON v.position = r.p""")
 def ref_base_check(fx):
     """Does the reference base at a position match either allele?"""
-    base = fx.variant.where("position % 3 <> 0").groupBy("position").agg(F.min("anc").alias("base"))
+    base = fx.variant.groupBy("position").agg(F.min(F.when(F.col("position") % 3 != 0, F.col("anc"))).alias("base"))
     rows = fx.variant.join(base, "position", "left")
     return rows.select("id", F.when(F.col("base").isNull(), "unchecked").when((F.col("base") == F.col("anc")) | (F.col("base") == F.col("der")), "validated").otherwise("mismatch").alias("status"))
 
 
 MERGED = """SELECT k, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= s THEN 0 ELSE 1 END AS new FROM ({0}) WHERE e > s)) GROUP BY k, i"""
-IV_A, IV_B = MERGED.format("SELECT * FROM fx_interval WHERE s % 3 = 0"), MERGED.format("SELECT * FROM fx_interval WHERE s % 3 = 1")
+IV_A, IV_B = MERGED.format("SELECT * FROM fx_interval WHERE s % 2 = 0"), MERGED.format("SELECT * FROM fx_interval WHERE s % 2 = 1")
 
 
 @query(MERGED.format("SELECT * FROM fx_interval"))
@@ -213,21 +214,21 @@ def interval_total_bp(fx):
 
 @query(f"SELECT a.k, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS bp FROM ({IV_A}) a JOIN ({IV_B}) b ON a.k = b.k AND a.s < b.e AND b.s < a.e GROUP BY a.k")
 def interval_intersect_bp(fx):
-    return intervals.interval_intersect_bp(fx.interval.where("s % 3 = 0"), fx.interval.where("s % 3 = 1"))
+    return intervals.interval_intersect_bp(fx.interval.where("s % 2 = 0"), fx.interval.where("s % 2 = 1"))
 
 
 @query(f"""WITH a AS ({IV_A}), b AS ({IV_B}), p AS (SELECT DISTINCT k, unnest(range(s, e)) AS x FROM a), q AS (SELECT DISTINCT k, unnest(range(s, e)) AS x FROM b), r AS (SELECT k, x FROM p EXCEPT SELECT k, x FROM q)
     SELECT k, min(x) AS s, max(x) + 1 AS e FROM (SELECT k, x, x - row_number() OVER (PARTITION BY k ORDER BY x) AS g FROM r) GROUP BY k, g""")
 def interval_subtract(fx):
     """Adjoining pieces are merged again, as the oracle counts positions."""
-    return intervals.interval_merge(intervals.interval_subtract(fx.interval.where("s % 3 = 0"), fx.interval.where("s % 3 = 1")))
+    return intervals.interval_merge(intervals.interval_subtract(fx.interval.where("s % 2 = 0"), fx.interval.where("s % 2 = 1")))
 
 
 @query(f"""WITH a AS ({IV_A}), b AS ({IV_B}), i AS (SELECT a.k, sum(least(a.e, b.e) - greatest(a.s, b.s)) AS bp FROM a JOIN b ON a.k = b.k AND a.s < b.e AND b.s < a.e GROUP BY a.k)
     SELECT t.k, CAST(t.bp AS BIGINT) AS total, CAST(coalesce(i.bp, 0) AS BIGINT) AS inside, CAST(t.bp - coalesce(i.bp, 0) AS BIGINT) AS outside FROM (SELECT k, sum(e - s) AS bp FROM a GROUP BY k) t LEFT JOIN i ON t.k = i.k""")
 def callable_partition(fx):
     """Callable bases per sample, inside and outside a region set."""
-    a, b = fx.interval.where("s % 3 = 0"), fx.interval.where("s % 3 = 1")
+    a, b = fx.interval.where("s % 2 = 0"), fx.interval.where("s % 2 = 1")
     total = intervals.interval_total_bp(intervals.interval_merge(a)).withColumnRenamed("bp", "total")
     inside = intervals.interval_intersect_bp(a, b).withColumnRenamed("bp", "inside")
     return total.join(inside, "k", "left").select("k", "total", F.coalesce("inside", F.lit(0)).alias("inside"), (F.col("total") - F.coalesce("inside", F.lit(0))).alias("outside"))
@@ -280,23 +281,23 @@ def attestation_consensus(fx):
     return rounded(similarity.attestation_consensus(one.union(two)), "cm")
 
 
-@query("""WITH d AS (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 3 <> 0), e AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN p_size + 1 ELSE p_size END AS v, p_partkey % 7 <> 0 AS owned FROM part WHERE p_partkey % 2 = 0)
+@query("""WITH d AS (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 3 <> 0), e AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN p_size + 1 ELSE p_size END AS v, p_partkey % 7 <> 0 AS owned FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0)
     SELECT coalesce(d.k, e.k) AS k, CASE WHEN e.k IS NULL THEN d.v WHEN NOT e.owned OR d.v IS NOT DISTINCT FROM e.v THEN e.v WHEN d.k IS NULL THEN e.v ELSE d.v END AS v,
     CASE WHEN e.k IS NULL THEN 'I' WHEN NOT e.owned OR (d.k IS NOT NULL AND d.v IS NOT DISTINCT FROM e.v) THEN 'K' WHEN d.k IS NULL THEN 'D' ELSE 'U' END AS change FROM d FULL JOIN e ON d.k = e.k""")
 def assign_and_prune(fx):
     part = fx.table("part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"))
-    existing = part.where("k % 2 = 0").withColumn("v", F.when(F.col("k") % 4 == 0, F.col("v") + 1).otherwise(F.col("v")))
+    existing = part.where("k % 2 = 0 or k % 3 = 0").withColumn("v", F.when(F.col("k") % 4 == 0, F.col("v") + 1).otherwise(F.col("v")))
     return similarity.assign_and_prune(part.where("k % 3 <> 0"), existing, ["k"], ["v"], F.col("k") % 7 != 0)
 
 
 OLD = "SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_name END AS title, p_size AS pages FROM part WHERE p_partkey % 2 = 0"
-NEW = "SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_brand END AS title, p_size + 1 AS pages FROM part WHERE p_partkey % 3 = 0"
+NEW = "SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_brand END AS title, p_size + 1 AS pages FROM part WHERE p_partkey % 2 <> 0 OR p_partkey % 3 = 0"
 
 
 def old_new(fx):
     p = fx.table("part")
     old = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).alias("title"), F.col("p_size").alias("pages"))
-    new = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_brand")).alias("title"), (F.col("p_size") + 1).alias("pages"))
+    new = p.where("p_partkey % 2 <> 0 or p_partkey % 3 = 0").select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_brand")).alias("title"), (F.col("p_size") + 1).alias("pages"))
     return old, new
 
 

@@ -228,6 +228,32 @@ def restructure(fx):
     return tree.restructure_check(moves, tree.tree_closure(fx.edge, fx.node))
 
 
+MERGED_LINKS = "SELECT DISTINCT coalesce(home, l.node_id) AS node_id, variant_id FROM fx_node_variant l LEFT JOIN (SELECT * FROM up JOIN g USING (node_id)) m ON m.node_id = l.node_id"
+
+
+@query(CLOSURE + f""", g AS (SELECT n.node_id FROM fx_node n JOIN fx_edge e ON e.child_id = n.node_id WHERE support % 4 = 0), up AS (SELECT descendant_id AS node_id, arg_min(ancestor_id, distance) AS home FROM c WHERE distance > 0 AND ancestor_id NOT IN (SELECT node_id FROM g) GROUP BY 1)
+    SELECT 'edge' AS kind, child_id AS node_id, home AS other FROM fx_edge JOIN up ON up.node_id = child_id WHERE child_id NOT IN (SELECT node_id FROM g) UNION ALL SELECT 'link', node_id, variant_id FROM ({MERGED_LINKS})""")
+def restructure_merge(fx):
+    """Edges and variants after weakly supported nodes went into their parents."""
+    out = tree.merge_into_parent(fx.node.where("support % 4 = 0"), fx.edge, tree.tree_closure(fx.edge, fx.node), fx.node_variant.select("node_id", "variant_id").distinct())
+    return out["edge"].select(F.lit("edge").alias("kind"), F.col("child_id").alias("node_id"), F.col("parent_id").alias("other")).union(out["link"].select(F.lit("link"), "node_id", "variant_id"))
+
+
+@query("""WITH a AS (SELECT s_suppkey AS split_id, s_suppkey % 300 AS parent_id, CASE WHEN s_suppkey % 7 = 0 THEN 'N' || s_suppkey::VARCHAR WHEN s_suppkey % 11 = 0 THEN '' ELSE 'S' || (s_suppkey // 2)::VARCHAR END AS name FROM supplier),
+    k AS (SELECT a.*, n.dna_type FROM a JOIN fx_node n ON n.node_id = a.parent_id AND n.valid_until IS NULL WHERE a.name <> '' AND NOT EXISTS (SELECT 1 FROM fx_node x WHERE x.name = a.name AND x.dna_type = n.dna_type AND x.valid_until IS NULL)),
+    f AS (SELECT *, row_number() OVER (ORDER BY split_id) + (SELECT max(node_id) FROM fx_node) AS node_id FROM (SELECT *, row_number() OVER (PARTITION BY name, dna_type ORDER BY split_id) AS rn FROM k) WHERE rn = 1),
+    l AS (SELECT DISTINCT node_id, variant_id FROM fx_node_variant), m AS (SELECT l.node_id, l.variant_id, arg_min(f.node_id, f.split_id) AS child FROM f JOIN l ON l.node_id = f.parent_id AND l.variant_id % 3 = f.split_id % 3 GROUP BY 1, 2)
+    SELECT coalesce(m.child, l.node_id) AS node_id, f.name, f.parent_id, l.variant_id FROM l LEFT JOIN m ON m.node_id = l.node_id AND m.variant_id = l.variant_id LEFT JOIN f ON f.node_id = m.child""")
+def restructure_split(fx):
+    """Variants after some moved to new children; name and parent of those."""
+    k = F.col("s_suppkey")
+    splits = fx.table("supplier").select(k.alias("split_id"), (k % 300).alias("node_id"), F.when(k % 7 == 0, F.concat(F.lit("N"), k)).when(k % 11 == 0, F.lit(" ")).otherwise(F.concat(F.lit("S"), F.floor(k / 2))).alias("name"))
+    links = fx.node_variant.select("node_id", "variant_id").distinct()
+    moves = splits.join(links, "node_id").where("variant_id % 3 = split_id % 3").select("split_id", "variant_id")
+    out = tree.split_node(splits, moves, fx.node, links)
+    return out["link"].join(out["node"].select("node_id", "name", "parent_id"), "node_id", "left").select("node_id", "name", "parent_id", "variant_id")
+
+
 @query("SELECT p_partkey AS id, 'DU' || lpad((row_number() OVER (ORDER BY p_partkey) + 41)::VARCHAR, 5, '0') AS new_name FROM part")
 def next_du_name(fx):
     return curation.next_name(fx.table("part").select(F.col("p_partkey").alias("id")), 41, "id")

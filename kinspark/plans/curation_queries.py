@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
-from ..operators import catalog, curation, reports, similarity, tree
+from ..operators import catalog, curation, intervals, reports, similarity, tree
 from ..sources import formats
 from .catalog_queries import PAIRS, SITE
 from .report_queries import MODAL, rounded
@@ -33,9 +33,9 @@ def storable_predicate(fx):
     return fx.claim.select("claim_id", curation.storable_predicate(F.when(F.col("predicate") == "error", "NOTE").otherwise(F.col("predicate")), F.col("author") % 2 == 0, ["click", "NOTE"]).alias("storable"))
 
 
-@query("SELECT c_custkey AS sample_id, p.publication FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderkey, (CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey END)) AS publication FROM orders WHERE o_orderkey % 6 <> 0 GROUP BY 1) p ON c_custkey = o_custkey")
+@query("SELECT c_custkey AS sample_id, p.publication FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS publication FROM orders GROUP BY 1) p ON c_custkey = o_custkey")
 def latest_publication(fx):
-    pubs = fx.table("orders").where("o_orderkey % 6 <> 0").select(F.col("o_custkey").alias("sample_id"), F.col("o_orderkey").alias("publication"), F.col("o_orderkey").alias("published"))
+    pubs = fx.table("orders").select(F.col("o_custkey").alias("sample_id"), F.col("o_orderkey").alias("publication"), F.col("o_orderkey").alias("published"))
     return curation.latest_publication(fx.sample, pubs)
 
 
@@ -73,12 +73,11 @@ def jsonb_merge(fx):
     return fx.table("part").withColumn("m", curation.merge_maps(base, over)).select(F.col("p_partkey").alias("id"), F.try_element_at("m", F.lit("a")).alias("a"), F.try_element_at("m", F.lit("b")).alias("b"))
 
 
-@query("SELECT name, position FROM (SELECT p_brand AS name, p_partkey AS position, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_partkey % 2 = 0 THEN p_partkey ELSE -1 END DESC, p_partkey) AS rn FROM part WHERE p_partkey % 2 = 0) WHERE rn = 1")
+@query("SELECT name, position FROM (SELECT p_brand AS name, p_partkey AS position, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_partkey % 2 = 0 THEN p_partkey ELSE -1 END DESC, p_partkey) AS rn FROM part) WHERE rn = 1")
 def upsert_mirror(fx):
     rows = fx.table("part").where("p_partkey % 2 = 0").select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("position"), F.col("p_partkey").alias("line"))
     mirror = fx.table("part").where("p_partkey % 2 = 1").groupBy(F.col("p_brand").alias("name")).agg(F.min("p_partkey").alias("position"))
-    known = rows.select("name").distinct()
-    return curation.upsert_mirror(mirror.join(known, "name", "left_semi"), rows)
+    return curation.upsert_mirror(mirror, rows)
 
 
 @query("SELECT p_partkey AS candidate, CASE WHEN p_partkey % 4 = 0 THEN p_partkey WHEN p_partkey % 6 = 0 THEN p_partkey + 1 END AS publication, CASE WHEN p_partkey % 4 = 0 OR p_partkey % 6 = 0 THEN 'REUSE' ELSE 'INSERT' END AS how FROM part")
@@ -125,13 +124,25 @@ def identifier_adjudicate(fx):
     return curation.identifier_adjudicate(pairs, fx.edge)
 
 
-@query(f"""WITH s AS (SELECT a, b, 0.4 * least(cm / 100.0, 1.0) AS part, 0 AS o, 'POPULATION_OVERLAP' AS signal FROM fx_pair UNION ALL SELECT a, b, 0.3 * jaccard, 1, 'HAPLOGROUP' FROM ({PAIRS}) WHERE jaccard >= 0.5 UNION ALL SELECT a, b, 0.3 * segments, 2, 'SHARED_MATCH' FROM fx_pair WHERE segments >= 2),
-    p AS (SELECT a, b, sum(part) AS score, arg_max(signal, part - o * 1e-9) AS "primary" FROM s GROUP BY 1, 2), d AS (SELECT * FROM p UNION ALL SELECT b, a, score, "primary" FROM p)
-    SELECT a, b, round(score, 6) AS score, "primary", rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(score, 9) DESC, b) AS rank FROM d) WHERE rank <= 5""")
+@query(CLOSURE + """, h AS (SELECT sample_id, population, sum(pct) AS pct FROM (SELECT sample_id, split_part(population, ' ', 1) AS population, CAST(quantity AS DOUBLE) / sum(quantity) OVER (PARTITION BY sample_id) AS pct FROM fx_share) GROUP BY 1, 2),
+    k AS (SELECT c_custkey AS sample_id, c_mktsegment || ':' || c_nationkey::VARCHAR AS block FROM customer),
+    ov AS (SELECT x.sample_id AS a, y.sample_id AS b, sum(least(x.pct, y.pct)) AS score FROM h x JOIN h y ON x.population = y.population AND x.sample_id < y.sample_id JOIN k kx ON kx.sample_id = x.sample_id JOIN k ky ON ky.sample_id = y.sample_id AND kx.block = ky.block GROUP BY 1, 2 HAVING sum(least(x.pct, y.pct)) >= 0.6),
+    dp AS (SELECT descendant_id AS terminal, max(distance) AS depth FROM c GROUP BY 1), n AS (SELECT terminal, count(*) AS n FROM fx_sample GROUP BY 1),
+    hg AS (SELECT x.sample_id AS a, y.sample_id AS b, greatest((1 - n.n::DOUBLE / (SELECT count(*) FROM fx_sample)) * coalesce(dp.depth, 3)::DOUBLE / (coalesce(dp.depth, 3) + 8), 0.01::DOUBLE) AS score FROM fx_sample x JOIN fx_sample y ON x.terminal = y.terminal AND x.sample_id < y.sample_id JOIN n ON n.terminal = x.terminal LEFT JOIN dp ON dp.terminal = x.terminal),
+    e AS (SELECT a AS x, b AS y FROM fx_pair WHERE segments > 1 UNION SELECT b, a FROM fx_pair WHERE segments > 1), sh AS (SELECT p.x AS a, q.x AS b, count(*) AS score FROM e p JOIN e q ON p.y = q.y AND p.x < q.x GROUP BY 1, 2 HAVING count(*) >= 2),
+    s AS (SELECT a, b, 0.4::DOUBLE * score AS p0, 0.0::DOUBLE AS p1, 0.0::DOUBLE AS p2 FROM ov UNION ALL SELECT a, b, 0, 0.3::DOUBLE * score, 0 FROM hg UNION ALL SELECT a, b, 0, 0, 0.3::DOUBLE * score FROM sh),
+    p AS (SELECT a, b, sum(p0) AS p0, sum(p1) AS p1, sum(p2) AS p2 FROM s GROUP BY 1, 2), d AS (SELECT * FROM p UNION ALL SELECT b, a, p0, p1, p2 FROM p)
+    SELECT a, b, round(score, 6) AS score, CASE WHEN p0 >= greatest(p1, p2) THEN 'POPULATION_OVERLAP' WHEN p1 >= p2 THEN 'HAPLOGROUP' ELSE 'SHARED_MATCH' END AS "primary", rank
+    FROM (SELECT *, p0 + p1 + p2 AS score, row_number() OVER (PARTITION BY a ORDER BY round(p0 + p1 + p2, 9) DESC, b) AS rank FROM d) q WHERE rank <= 50 AND NOT EXISTS (SELECT 1 FROM fx_pair f WHERE f.a = least(q.a, q.b) AND f.b = greatest(q.a, q.b) AND f.segments % 5 = 0)""")
 def relative_suggestions(fx):
-    j = similarity.jaccard_pairs(fx.sample_variant, ["terminal"], 0.5).select("a", "b", F.col("jaccard").alias("score"))
-    one = fx.pair.select("a", "b", F.least(F.col("cm") / 100.0, F.lit(1.0)).alias("score"))
-    return rounded(curation.relative_suggestions(one, j, fx.pair.where("segments >= 2").select("a", "b", F.col("segments").cast("double").alias("score")), 5), "score")
+    """Overlap inside a block, shared terminals weighed by depth and rarity, and shared matches."""
+    h = reports.shares(fx.share).select("sample_id", F.split("population", " ")[0].alias("population"), (F.col("pct") / 100).alias("pct")).groupBy("sample_id", "population").agg(F.sum("pct").alias("pct"))
+    blocks = fx.table("customer").select(F.col("c_custkey").alias("sample_id"), F.concat_ws(":", "c_mktsegment", "c_nationkey").alias("block"))
+    overlaps = similarity.overlap_pairs(h, blocks, 0.6).select("a", "b", F.col("overlap").alias("score"))
+    terminals = curation.terminal_scores(fx.sample, tree.node_depth(tree.tree_closure(fx.edge, fx.node)))
+    shared = similarity.two_hop_join(fx.pair.where("segments > 1"), 2).select("a", "b", F.col("shared").cast("double").alias("score"))
+    dismissed = similarity.symmetric_edges(fx.pair.where("segments % 5 = 0")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return rounded(curation.relative_suggestions(overlaps, terminals, shared, dismissed, 50), "score")
 
 
 @query("""SELECT n.node_id, CASE WHEN node_id % 5 = 1 THEN 'X' || node_id::VARCHAR ELSE name END AS name, CASE WHEN node_id % 5 = 2 THEN coalesce(valid_until, TIMESTAMP '2024-02-01 00:00:00') ELSE valid_until END AS valid_until FROM fx_node n""")
@@ -186,11 +197,11 @@ def ancestry_blocks(fx):
 
 
 
-@query("SELECT id, CASE WHEN position % 4 = 0 THEN NULL ELSE position + 3 END AS rotated FROM fx_variant")
+@query("SELECT id, anc, der, CASE WHEN position % 4 <> 0 THEN position + 3 END AS rotated, CASE WHEN position % 4 <> 0 THEN 'LIFTED' ELSE 'UNMAPPED' END AS how FROM fx_variant")
 def mt_rotation_lift(fx):
-    """Positions through a rotation map; those not in it stay null."""
-    turned = fx.variant.where("position % 4 <> 0").select("position", (F.col("position") + 3).alias("rotated")).distinct()
-    return fx.variant.join(turned, "position", "left").select("id", "rotated")
+    """Positions through a rotation map, alleles as they are; those that it does not hold are told."""
+    turned = fx.variant.select("position", F.when(F.col("position") % 4 != 0, F.col("position") + 3).alias("rotated")).distinct()
+    return intervals.mt_rotation_lift(fx.variant, turned)
 
 
 @query()
@@ -201,4 +212,4 @@ def snp_age_propagate(fx):
     snps = fx.node_variant.groupBy(F.col("node_id").alias("child_id")).agg((F.count("*") % 8).alias("snps"))
     branches = fx.edge.join(snps, "child_id", "left").select("child_id", "parent_id", F.coalesce("snps", F.lit(0)).cast("int").alias("snps"), F.lit(15e6).alias("bp"))
     testers = fx.sample.groupBy(F.col("terminal").alias("node_id")).agg((F.max("mt") % 12).cast("int").alias("snps")).withColumn("bp", F.lit(12e6))
-    return rounded(ages.snp_age_propagate(branches, testers), "mean", "median", "lo", "hi")
+    return rounded(ages.snp_age_propagate(branches, testers), "mean", "median", "lo", "hi", "formed")

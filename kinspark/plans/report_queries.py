@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dna, scalars
-from ..operators import reports, similarity
+from ..operators import ages, reports, similarity
 
 AS_OF = "2024-01-31 00:00:00"
 REGISTERED: dict = {}
@@ -265,9 +265,14 @@ def combine_inverse_variance(fx):
     return rounded(similarity.combine_inverse_variance(fx.anchor.withColumnRenamed("ybp_raw", "ybp")), "ybp", "sigma")
 
 
-@query("""SELECT node_id, count(*) AS anchors, min(ybp_raw) AS youngest, max(ybp_raw) AS oldest FROM fx_anchor WHERE ybp_raw <> 0 GROUP BY node_id""")
+@query("""SELECT node_id, round(mean, 4) AS mean, round(sigma, 4) AS sigma, round(greatest(mean - 1.96 * sigma, 0.0), 4) AS lo, round(mean + 1.96 * sigma, 4) AS hi, anchors FROM (
+    SELECT node_id, sum(y / (s * s)) / sum(1 / (s * s)) AS mean, sqrt(1 / sum(1 / (s * s))) AS sigma, count(*) AS anchors FROM (
+    SELECT node_id, y, CASE WHEN sigma > 0 THEN sigma ELSE greatest(y / 10, 25.0) END AS s FROM (SELECT node_id, sigma, CASE WHEN CAST(ybp_raw AS BIGINT) % 3 = 0 THEN ybp_raw ELSE 1950 - ybp_raw END AS y FROM fx_anchor) WHERE y >= 0) GROUP BY node_id)""")
 def anchor_term(fx):
-    return fx.anchor.where("ybp_raw <> 0").groupBy("node_id").agg(F.count("*").alias("anchors"), F.min("ybp_raw").alias("youngest"), F.max("ybp_raw").alias("oldest"))
+    """Carbon dates and calendar years of each node as one Gaussian."""
+    carbon = F.col("ybp_raw").cast("long") % 3 == 0
+    anchors = fx.anchor.select("node_id", F.when(carbon, F.col("ybp_raw")).alias("carbon_bp"), F.when(~carbon, F.col("ybp_raw")).alias("date_ce"), F.col("sigma").alias("uncertainty"))
+    return ages.anchor_term(anchors).select("node_id", *[F.round(c, 4).alias(c) for c in ("mean", "sigma", "lo", "hi")], "anchors")
 
 
 @query("""SELECT id, coalesce(body LIKE '%@%' OR length(body) > 200, false) AS pii FROM fx_text""")
@@ -315,10 +320,10 @@ def latest_per_key(fx):
     return rounded(top, "pct")
 
 
-@query("""SELECT * FROM (SELECT sample_id, marker, repeats, 'fed' AS source FROM fx_str WHERE sample_id % 2 = 0 UNION ALL SELECT sample_id, marker, repeats, 'import' FROM fx_str WHERE sample_id % 3 = 0)""")
+@query("""SELECT * FROM (SELECT sample_id, marker, repeats, 'fed' AS source FROM fx_str WHERE sample_id % 2 = 0 UNION ALL SELECT sample_id, marker, repeats, 'import' FROM fx_str WHERE sample_id % 2 <> 0 OR sample_id % 3 = 0)""")
 def union_profiles(fx):
     s = fx.str.select("sample_id", "marker", "repeats")
-    return s.where("sample_id % 2 = 0").withColumn("source", F.lit("fed")).unionByName(s.where("sample_id % 3 = 0").withColumn("source", F.lit("import")))
+    return s.where("sample_id % 2 = 0").withColumn("source", F.lit("fed")).unionByName(s.where("sample_id % 2 <> 0 or sample_id % 3 = 0").withColumn("source", F.lit("import")))
 
 
 @query("""SELECT coalesce(max(CAST(o_orderdate AS DATE)) - 30, DATE '2024-01-31' - 365) AS from_date, greatest(DATE '1995-01-01', max(CAST(o_orderdate AS DATE))) AS watermark FROM orders""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -39,21 +39,30 @@ def apply_batch(mirror: DataFrame | None, changes: DataFrame) -> DataFrame:
 
 
 def mirror_stream(commits: DataFrame, path: str, checkpoint: str, collections: list[str]):
-    """Starts the mirror: every batch is folded into one Parquet table per collection.
+    """Starts the mirror: every batch adds its newest record of each key, by collection; others are skipped.
 
-    A batch writes a new version beside the old one, named by its number, so a replayed batch
-    writes the same version again and nothing is read while it is overwritten.
+    A batch writes one folder, named by its number and split by collection, and reads no other, so
+    its work grows with the batch alone and a replayed one writes the same folder again.
+    `mirror_rows` folds the batches when it reads, `compact_mirror` for good.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.persist()
-        for collection in collections:
-            before = None
-            if number:
-                before = spark.read.parquet(f"{path}/{collection}/v={number - 1}")
-            part = batch.where(F.col("collection") == collection)
-            apply_batch(before, part).write.mode("overwrite").parquet(f"{path}/{collection}/v={number}")
-        batch.unpersist()
+        apply_batch(None, batch.where(F.col("collection").isin(collections))).write.mode("overwrite").partitionBy("collection").parquet(f"{path}/batch={number}")
 
     return commits.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def mirror_rows(spark: SparkSession, path: str, schema: str, deleted: bool = False) -> DataFrame:
+    """The newest record of each key over the batches of a mirror; tombstones only if asked for.
+
+    schema: that of the commits.  Batches that held nothing, or a mirror without any, have no rows.
+    """
+    found = spark.read.schema(schema).option("basePath", path).parquet(path)
+    rows = apply_batch(None, found.select(*[f.name for f in spark.createDataFrame([], schema).schema]))
+    return rows if deleted else rows.where("operation <> 'delete'")
+
+
+def compact_mirror(spark: SparkSession, path: str, into: str, schema: str) -> DataFrame:
+    """The mirror as one batch of a new folder, tombstones kept; a stream may go on there under higher numbers."""
+    mirror_rows(spark, path, schema, deleted=True).write.partitionBy("collection").parquet(f"{into}/batch=-1")
+    return mirror_rows(spark, into, schema)

@@ -57,9 +57,9 @@ def test_last_writer_wins_batch_and_stream(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     q = mirror.mirror_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck"), ["cov", "none"]).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    last = max(int(p.name[2:]) for p in (tmp_path / "out" / "cov").iterdir())
-    got = {r["did"]: r["value"] for r in spark.read.parquet(str(tmp_path / "out" / "cov" / f"v={last}")).where("operation <> 'delete'").collect()}
-    assert got == latest
+    for rows_ in (mirror.mirror_rows(spark, str(tmp_path / "out"), schema), mirror.compact_mirror(spark, str(tmp_path / "out"), str(tmp_path / "one"), schema)):
+        assert {r["did"]: r["value"] for r in rows_.collect()} == latest
+    assert {r["did"] for r in mirror.mirror_rows(spark, str(tmp_path / "one"), schema, deleted=True).collect()} == {1, 2, 3}
     q = mirror.lww_state(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck2")).format("memory").queryName("wins").trigger(availableNow=True).start()
     q.awaitTermination(120)
     newest = {}
