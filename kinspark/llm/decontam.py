@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import WORD_TABLE, body, byte_rows
+from .common import WORD_TABLE, body, byte_rows, free_name, write_table
 
 #: Bytes of item text in one automaton; more items make more automata, streamed one after another.
 AUTOMATON_BYTES = 1 << 20
@@ -155,20 +156,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(items: DataFrame, block_bytes: int = AUTOMATON_BYTES) -> list[list[tuple[int, list[bytes]]]]:
-    """Items as word lists, in blocks of bounded size.
+def item_blocks(items: DataFrame, block_bytes: int = AUTOMATON_BYTES) -> Iterator[tuple[list[tuple[int, list[bytes]]], bool]]:
+    """Items as word lists, in blocks of bounded size, each with whether it is the last.
 
-    The benchmark is read to the driver block by block; each block is at most about
-    `block_bytes` of text (one item can be longer), which bounds what is broadcast.
+    The benchmark is read to the driver a block at a time, when the one before is done with; a
+    block is about `block_bytes` of text (one item can be longer), which bounds what the driver
+    holds and what is broadcast.
     """
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), body().alias("body")).where("item_id is not null")
     size = rows.agg(F.sum(F.length("body"))).first()[0] or 0
     count = max(1, -(-size // block_bytes))
-    blocks = []
     for k in range(count):
         part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k) if count > 1 else rows
-        blocks.append([(r["item_id"], bytes(r["body"]).translate(WORD_TABLE).split()) for r in part.collect()])
-    return blocks
+        yield [(r["item_id"], bytes(r["body"]).translate(WORD_TABLE).split()) for r in part.collect()], k == count - 1
 
 
 @dataclass(frozen=True)
@@ -189,7 +189,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, limits: Limits | None = Non
     Words are ASCII letters and digits and non-ASCII characters, A-Z lowered.  spans are hit
     word ranges; body the text's bytes.  Null or word-free texts have no words; items with a
     null id or no words never match; an empty benchmark leaves all clean; repeated rows give
-    repeated results.
+    repeated results.  Where items fill several blocks, texts go through one automaton at a time,
+    from one written table to the next.
     """
     limits = limits or Limits()
     window = limits.window
@@ -200,9 +201,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, limits: Limits | None = Non
     )
     context = docs.sparkSession.sparkContext
 
-    def stream(block):
-        held = context.broadcast(block)
-
+    def stream(held):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = SuffixAutomaton(held.value, window)
             for batch in batches:
@@ -226,8 +225,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, limits: Limits | None = Non
 
         return run
 
-    for block in item_blocks(items, block_bytes):
-        rows = rows.mapInArrow(stream(block), SCHEMA)
+    for block, last in item_blocks(items, block_bytes):
+        held = context.broadcast(block)
+        rows = rows.mapInArrow(stream(held), SCHEMA)
+        if not last:
+            rows = write_table(rows, "spans")
+            held.destroy()
     return rows
 
 
@@ -242,39 +245,63 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
-def cleaned(docs: DataFrame, items: DataFrame, limits: Limits | None = None, text: str = "text") -> DataFrame:
+def cleaned(docs: DataFrame, items: DataFrame, limits: Limits | None = None, text: str = "text", block_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """docs with contaminated spans cut out; documents hit to the coverage limit go.
 
-    All columns stay; n_chars, where present, is the new length of a changed text.
+    All columns stay; n_chars, where present, is the new length of a changed text.  Spans of
+    all blocks of items are gathered before any is cut, one automaton at a time.
     """
     limits = limits or Limits()
     context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(b) for b in item_blocks(items)]
     names = docs.columns
     window, least, coverage = limits.window, limits.span_words, limits.coverage
+    held_spans = free_name(names, "spans")
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+    def cut(batch: pa.RecordBatch, words_of: list[tuple[bytes, int]], found: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        texts, keep, changed = [], [], []
+        for value, (raw, n_words), spans in zip(batch.column(text), words_of, found, strict=True):
+            spans = [s for s in spans if s[1] - s[0] >= least]
+            hit = sum(b - a for a, b in spans)
+            keep.append(not hit or hit < coverage * n_words)
+            texts.append(without_spans(raw, spans).decode() if hit and keep[-1] else value.as_py())
+            changed.append(bool(hit))
+        columns = []
+        for name in names:
+            column = batch.column(name)
+            if name == text:
+                column = pa.array(texts, pa.string())
+            elif name == "n_chars":
+                column = pa.array([len(t) if c and t is not None else x.as_py() for t, c, x in zip(texts, changed, column, strict=True)], column.type)
+            columns.append(column)
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+    def stream(held, first: bool, last: bool):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = None
+            for batch in batches:
+                automaton = automaton or SuffixAutomaton(held.value, window)
+                words_of, found = [], []
+                for i, value in enumerate(batch.column(text)):
+                    raw = (value.as_py() or "").encode()
+                    words = raw.translate(WORD_TABLE).split()
+                    before = [] if first else [(s["start"], s["stop"]) for s in batch.column(held_spans)[i].as_py()]
+                    words_of.append((raw, len(words)))
+                    found.append(merged(before + automaton.matches(words)[0]))
+                if last:
+                    yield cut(batch, words_of, found)
+                else:
+                    spans = pa.array([[{"start": a, "stop": b} for a, b in x] for x in found], kind)
+                    yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [spans], names=[*names, held_spans])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = None
-        for batch in batches:
-            automata = automata or [SuffixAutomaton(b.value, window) for b in blocks]
-            texts, keep, changed = [], [], []
-            for value in batch.column(text):
-                raw = (value.as_py() or "").encode()
-                words = raw.translate(WORD_TABLE).split()
-                spans = merged([s for a in automata for s in a.matches(words)[0]])
-                spans = [s for s in spans if s[1] - s[0] >= least]
-                hit = sum(b - a for a, b in spans)
-                keep.append(not hit or hit < coverage * len(words))
-                texts.append(without_spans(raw, spans).decode() if hit and keep[-1] else value.as_py())
-                changed.append(bool(hit))
-            columns = []
-            for name in names:
-                column = batch.column(name)
-                if name == text:
-                    column = pa.array(texts, pa.string())
-                elif name == "n_chars":
-                    column = pa.array([len(t) if c and t is not None else x.as_py() for t, c, x in zip(texts, changed, column, strict=True)], column.type)
-                columns.append(column)
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+        return run
+
+    between = StructType([*docs.schema.fields, StructField(held_spans, ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())])))])
+    rows, first = docs, True
+    for block, last in item_blocks(items, block_bytes):
+        held = context.broadcast(block)
+        rows = rows.mapInArrow(stream(held, first, last), docs.schema if last else between)
+        if not last:
+            rows, first = write_table(rows, "spans"), False
+            held.destroy()
+    return rows

@@ -32,6 +32,8 @@ class Settings:
     rounds: int = 10
     recall: float = 0.95
     block: int = 4096
+    #: queries of a group; more meet each block of entries in several groups
+    queries: int = 16384
     seed: int = 11
 
 
@@ -118,11 +120,12 @@ def search(vectors: DataFrame, is_query: Column, settings: Settings | None = Non
     context = vectors.sparkSession.sparkContext
     k = settings.k
     rows = vectors.where(usable(vector) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
+    common = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("count"), F.count_if("is_query").alias("asked")).orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not common:
         return vectors.sparkSession.createDataFrame([], schema)
     total = common[0]["count"]
+    parties = max(1, -(-common[0]["asked"] // settings.queries))
     rows = rows.where(F.size("v") == common[0]["d"])
     spread = F.pmod(F.xxhash64("vec_id", F.lit(settings.seed)), F.lit(1 << 30))
     some = rows.where(spread <= int(min(1.0, settings.sample / total) * (1 << 30))).select("v").collect()
@@ -173,9 +176,10 @@ def search(vectors: DataFrame, is_query: Column, settings: Settings | None = Non
             yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(parts, pa.int64()), batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(marks, pa.binary())], names=["first", "block", "query_id", "v", "visited"])
 
     queries = rows.where("is_query").select("vec_id", "v")
-    wanted = queries.mapInArrow(visits, "first long, block long, query_id long, v array<double>, visited binary")
+    wanted = queries.mapInArrow(visits, "first long, block long, query_id long, v array<double>, visited binary").withColumn("party", F.pmod(F.xxhash64("query_id", F.lit(settings.seed)), F.lit(parties)))
     n_blocks = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), (F.col("cell") / width).cast("int") + 1)
     salted = placed.select(F.floor(F.col("cell") / width).alias("first"), F.pmod(F.xxhash64("v"), n_blocks).cast("long").alias("block"), (F.col("cell") % width).alias("second"), "v", "ids")
+    salted = salted.withColumn("party", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parties - 1).cast("long"))))
 
     def rerank(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         top: list[tuple[int, int, float]] = []
@@ -196,6 +200,6 @@ def search(vectors: DataFrame, is_query: Column, settings: Settings | None = Non
         found = pd.DataFrame(top, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         return found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
-    near = wanted.groupBy("first", "block").cogroup(salted.groupBy("first", "block")).applyInPandas(rerank, "query_id long, vec_id long, score double")
+    near = wanted.groupBy("first", "block", "party").cogroup(salted.groupBy("first", "block", "party")).applyInPandas(rerank, "query_id long, vec_id long, score double")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)  # k rows for each block visited
     return near.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))

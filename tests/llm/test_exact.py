@@ -159,9 +159,14 @@ def test_decontamination(spark):
         got = {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"])) for r in decontam.decontaminate(docs, items, block_bytes=block).collect()}
         assert got == {i: hits(t, ITEMS) for i, t in enumerate(texts)}
     kept = {r["doc_id"]: r["text"] for r in decontam.cleaned(docs, items).collect()}
+    more = docs.withColumn("spans", F.lit("mine")).withColumn("n_chars", F.length("text"))
+    for block in (1 << 20, 40):
+        out = decontam.cleaned(more, items, block_bytes=block).collect()
+        assert {r["doc_id"]: r["text"] for r in out} == kept and all(r["spans"] == "mine" and (r["text"] is None or r["n_chars"] == len(r["text"])) for r in out)
     assert kept[2] == "x  y" if 2 in kept else hits(texts[2], ITEMS)[1] >= 0.8 * 14
     assert kept[5] == "alpha beta gamma" and kept[0] is None and 3 not in kept
     assert decontam.decontaminate(docs, items.limit(0)).where("n_hit > 0").count() == 0
+    assert decontam.cleaned(docs, items.limit(0)).count() == docs.count() and decontam.cleaned(docs.limit(0), items).count() == 0
 
 
 def test_empty_tables(empty):

@@ -127,6 +127,8 @@ def test_multiindex_recall(spark):
     data = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2050, [0.0] * 16), (2100, [None] + [1.0] * 15), (2101, [float("nan")] * 16), (None, x[3].tolist()), (2102, [1.0, 2.0])]
     vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>")
     got = multiindex.search(vectors, F.col("vec_id") % 50 == 0, multiindex.Settings(centroids=8, block=200)).collect()
+    apart = multiindex.search(vectors, F.col("vec_id") % 50 == 0, multiindex.Settings(centroids=8, block=200, queries=7)).collect()
+    assert {(*r[:3], round(r[3], 12)) for r in apart} == {(*r[:3], round(r[3], 12)) for r in got}
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     hits = 0
     for q in range(0, 1500, 50):
