@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dna
 from .clusters import cluster_variant_sets
 from .curation import next_name
-from .similarity import repoint
+from .similarity import SLACK, repoint
 
 
 def is_private_name(name: Column) -> Column:
@@ -111,14 +111,16 @@ def branch_consensus(sets: DataFrame, reliability: DataFrame, submitters: DataFr
     in full.  Clusters of `accept` samples or more, all alike, are accepted at once.
     """
     bad = reliability.where((F.col("compatibility") == "INCOMPATIBLE") | (F.col("confidence") < floor)).select("sample_id")
-    clusters = cluster_variant_sets(sets.join(bad, "sample_id", "left_anti")).where(F.col("members") >= least)
-    members = clusters.select("terminal", "seed", F.explode("member_ids").alias("sample_id")).join(reliability, "sample_id", "left").join(submitters, "sample_id", "left")
+    found = cluster_variant_sets(sets.join(bad, "sample_id", "left_anti"))
+    clusters = found.summary.where(F.col("members") >= least)
+    members = found.members.join(clusters.select("terminal", "seed"), ["terminal", "seed"], "left_semi").join(reliability, "sample_id", "left").join(submitters, "sample_id", "left")
     score = members.groupBy("terminal", "seed").agg(F.avg(F.coalesce("confidence", F.lit(1.0))).alias("reliable"), F.countDistinct("did").alias("dids"))
     out = clusters.join(score, ["terminal", "seed"]).withColumn("submitters", F.greatest("dids", F.col("members").cast("long")))
     count, sent = F.least(F.col("members") / least, F.lit(1.0)), F.least(F.col("submitters") / least, F.lit(1.0))
     out = out.withColumn("confidence", F.least(0.35 * count + 0.2 * sent + 0.25 * F.col("consistency") + 0.2 * F.col("reliable"), F.lit(1.0)))
-    accepted = F.lit(False) if accept is None else (F.col("members") >= accept) & (F.col("confidence") >= ready) & (F.col("consistency") >= 0.999)
-    status = F.when(accepted, "ACCEPTED").when(F.col("split"), "SPLIT_CANDIDATE").when(F.col("confidence") >= ready, "READY_FOR_REVIEW").otherwise("PROPOSED")
+    sure = F.col("confidence") >= ready - SLACK  # the order of a sum decides nothing
+    accepted = F.lit(False) if accept is None else (F.col("members") >= accept) & sure & (F.col("consistency") >= 0.999)
+    status = F.when(accepted, "ACCEPTED").when(F.col("split"), "SPLIT_CANDIDATE").when(sure, "READY_FOR_REVIEW").otherwise("PROPOSED")
     key = F.md5(F.array_join(F.transform("variant_ids", lambda v: v.cast("string")), ","))
     return out.select("terminal", key.alias("cluster_key"), F.col("members").alias("evidence"), "submitters", "confidence", status.alias("status"))
 

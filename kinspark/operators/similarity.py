@@ -32,30 +32,58 @@ def jaccard_pairs(sets: DataFrame, block: list[str], least: float = 0.0) -> Data
     return out.where(F.col("jaccard") >= least) if least else out
 
 
+#: What rounding may take from a product of a size and a share.
+SLACK = 1e-9
+
+
+def rare_first(rows: DataFrame, seen: DataFrame, block: str, key: str) -> DataFrame:
+    """(block, key, v): each key's distinct variants, those first that few of the block hold, from rows (block, key, variant_id) and seen (block, variant_id, _n)."""
+    held = rows.join(seen, [block, "variant_id"]).groupBy(block, key).agg(F.array_sort(F.collect_set(F.struct("_n", "variant_id"))).alias("v"))  # one set's variants
+    return held.select(block, key, F.transform("v", lambda x: x["variant_id"]).alias("v"))
+
+
+def meeting(x: DataFrame, y: DataFrame, block: str, shared: int, least: float, apart: Column) -> DataFrame:
+    """(block, x, y, shared, nx, ny, jaccard) of sets (block, x, v) and (block, y, v) that share `shared` variants at least, at a Jaccard of `least` or more.
+
+    Both sides list variants in the same order, rare first.  Sets that similar agree on a variant
+    of their prefixes, so only those meet: a variant that everyone has, as a branch's founding
+    one, is in no prefix but of sets that hold little else.
+    """
+
+    def prefix(side: DataFrame, key: str) -> DataFrame:
+        n = F.size("v")
+        need = F.greatest(F.lit(shared), F.ceil(n * least - SLACK).cast("int"))
+        return side.where(n >= shared).select(block, key, n.alias(f"n{key}"), F.explode(F.slice("v", F.lit(1), n - need + 1)).alias("token"))
+
+    fits = apart & (F.col("nx") >= least * F.col("ny") - SLACK) & (F.col("ny") >= least * F.col("nx") - SLACK)
+    near = prefix(x, "x").join(prefix(y, "y"), [block, "token"]).where(fits).select(block, "x", "y").distinct()
+    near = near.join(x.withColumnRenamed("v", "vx"), [block, "x"]).join(y.withColumnRenamed("v", "vy"), [block, "y"])
+    near = near.select(block, "x", "y", F.size(F.array_intersect("vx", "vy")).cast("long").alias("shared"), F.size("vx").alias("nx"), F.size("vy").alias("ny"))
+    return near.withColumn("jaccard", scalars.jaccard(F.col("shared"), F.col("nx"), F.col("ny"))).where((F.col("shared") >= shared) & (F.col("jaccard") >= least))
+
+
+def set_kinds(sets: DataFrame, block: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kinds, members, seen): equal sets of a block go by their least sample.
+
+    kinds: (block, kind, v, members); members: (block, kind, sample_id); seen: (block, variant_id, _n).
+    """
+    seen = cut_lineage(sets.groupBy(block, "variant_id").agg(F.count("*").alias("_n")))
+    held = cut_lineage(rare_first(sets, seen, block, "sample_id"))
+    kinds = cut_lineage(held.groupBy(block, "v").agg(F.min("sample_id").alias("kind"), F.count("*").alias("members")))
+    return kinds, held.join(kinds.select(block, "v", "kind"), [block, "v"]).select(block, "kind", "sample_id"), seen
+
+
 def similar_pairs(sets: DataFrame, block: str, shared: int, least: float) -> DataFrame:
     """(a, b, shared, jaccard) of samples of one block that share `shared` variants at least, at a Jaccard of `least` or more.
 
-    sets: (block, sample_id, variant_id), distinct, a sample in one block.  Equal sets are
-    compared once, by their least sample.  Sets that similar agree on one of their rarest
-    variants (a prefix of the set in order of rarity), so only those meet: a variant that
-    everyone has, as a branch's founding one, is in no prefix but of sets that hold little else.
+    sets: (block, sample_id, variant_id), distinct.  Equal sets are compared once, by their least
+    sample; of the others only those meet that agree on one of their rarest variants.
     """
-    seen = sets.groupBy(block, "variant_id").agg(F.count("*").alias("_n"))
-    held = sets.join(seen, [block, "variant_id"]).groupBy(block, "sample_id").agg(F.array_sort(F.collect_list(F.struct("_n", "variant_id"))).alias("v"))  # one sample's variants
-    held = cut_lineage(held.select(block, "sample_id", F.transform("v", lambda x: x["variant_id"]).alias("v")))
-    kinds = cut_lineage(held.groupBy(block, "v").agg(F.min("sample_id").alias("kind"), F.count("*").alias("members")).withColumn("n", F.size("v")).where(F.col("n") >= shared))
-    members = held.join(kinds.select(block, "v", "kind"), [block, "v"]).select("kind", "sample_id")
-    need = F.greatest(F.lit(shared), F.ceil(F.col("n") * least).cast("int"))
-    tokens = kinds.select(block, "kind", "n", F.explode(F.slice("v", F.lit(1), F.col("n") - need + 1)).alias("token"))
-    x = tokens.select(block, "token", F.col("kind").alias("x"), F.col("n").alias("nx"))
-    y = tokens.select(block, "token", F.col("kind").alias("y"), F.col("n").alias("ny"))
-    fits = (F.col("x") < F.col("y")) & (F.col("nx") >= least * F.col("ny")) & (F.col("ny") >= least * F.col("nx"))
-    near = x.join(y, [block, "token"]).where(fits).select("x", "y").distinct()
-    near = near.join(kinds.select(F.col("kind").alias("x"), F.col("v").alias("vx")), "x").join(kinds.select(F.col("kind").alias("y"), F.col("v").alias("vy")), "y")
-    near = near.select("x", "y", F.size(F.array_intersect("vx", "vy")).cast("long").alias("shared"), F.size("vx").alias("nx"), F.size("vy").alias("ny")).withColumn("jaccard", scalars.jaccard(F.col("shared"), F.col("nx"), F.col("ny")))
-    near = near.where((F.col("shared") >= shared) & (F.col("jaccard") >= least)).select("x", "y", "shared", "jaccard")
-    same = kinds.where("members > 1").select(F.col("kind").alias("x"), F.col("kind").alias("y"), F.col("n").cast("long").alias("shared"), scalars.jaccard(F.col("n"), F.col("n"), F.col("n")).alias("jaccard"))
-    pairs = near.unionByName(same).join(members.select(F.col("kind").alias("x"), F.col("sample_id").alias("p")), "x").join(members.select(F.col("kind").alias("y"), F.col("sample_id").alias("q")), "y")
+    kinds, members, _ = set_kinds(sets, block)
+    near = meeting(kinds.select(block, F.col("kind").alias("x"), "v"), kinds.select(block, F.col("kind").alias("y"), "v"), block, shared, least, F.col("x") < F.col("y")).select(block, "x", "y", "shared", "jaccard")
+    n = F.size("v")
+    same = kinds.where((F.col("members") > 1) & (n >= shared)).select(block, F.col("kind").alias("x"), F.col("kind").alias("y"), n.cast("long").alias("shared"), scalars.jaccard(n, n, n).alias("jaccard"))
+    pairs = near.unionByName(same).join(members.select(block, F.col("kind").alias("x"), F.col("sample_id").alias("p")), [block, "x"]).join(members.select(block, F.col("kind").alias("y"), F.col("sample_id").alias("q")), [block, "y"])
     return pairs.where("x <> y or p < q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared", "jaccard")
 
 

@@ -9,7 +9,7 @@ from ..operators import ages, branches, curation, strages
 from ..sources import formats
 from .catalog_queries import EXP, PLACE, RANK, SITE
 from .report_queries import rounded
-from .source_queries import BINS, POISSON, RES, poisson
+from .source_queries import BINS, POISSON, RES, WALK, poisson
 from .tree_queries import CLOSURE, closure
 
 REGISTERED: dict = {}
@@ -139,7 +139,13 @@ def materialize_private(fx):
     return branches.materialize_private(published, fx.variant, fx.node, existing)
 
 
-@query()
+RELIABLE = "(SELECT v.* FROM fx_sample_variant v WHERE NOT EXISTS (SELECT 1 FROM fx_sample s WHERE s.sample_id = v.sample_id AND (s.sample_id % 13 = 0 OR s.sample_id % 10 / 10.0::DOUBLE + 0.1::DOUBLE < 0.5)))"
+
+
+@query(WALK.format(sets=RELIABLE) + """, r AS (SELECT m.terminal, m.ks, avg(coalesce(s.sample_id % 10 / 10.0::DOUBLE + 0.1::DOUBLE, 1)) AS reliable, count(DISTINCT s.donor_id) AS dids FROM m JOIN o ON o.terminal = m.terminal AND o.k = m.k LEFT JOIN fx_sample s ON s.sample_id = o.sample_id GROUP BY 1, 2),
+    f AS (SELECT c.terminal, md5(array_to_string(c.v, ',')) AS cluster_key, members AS evidence, greatest(dids, members) AS submitters, consistency, reliable, split FROM c JOIN r ON r.terminal = c.terminal AND r.ks = c.ks WHERE members >= 3),
+    g AS (SELECT *, least(0.35::DOUBLE * least(evidence / 3, 1) + 0.2::DOUBLE * least(submitters / 3, 1) + 0.25::DOUBLE * consistency + 0.2::DOUBLE * reliable, 1) AS confidence FROM f)
+    SELECT terminal, cluster_key, evidence, submitters, round(confidence, 6) AS confidence, CASE WHEN split THEN 'SPLIT_CANDIDATE' WHEN confidence >= 0.949999999 THEN 'READY_FOR_REVIEW' ELSE 'PROPOSED' END AS status FROM g""")
 def branch_consensus(fx):
     reliability = fx.sample.select("sample_id", (F.col("sample_id") % 10 / 10 + 0.1).alias("confidence"), F.when(F.col("sample_id") % 13 == 0, "INCOMPATIBLE").otherwise("COMPATIBLE").alias("compatibility"))
     return rounded(branches.branch_consensus(fx.sample_variant, reliability, fx.sample.select("sample_id", F.col("donor_id").alias("did"))), "confidence")

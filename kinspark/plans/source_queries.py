@@ -155,6 +155,28 @@ def pdf_convolve(fx):
     return rounded(out.where("mass > 1e-9"), "mass").where("bin >= 0")
 
 
-@query()
+#: The greedy order walked set by set, over sets (terminal, sample_id, variant_id) named {sets}: o(terminal, k, sample_id, v) in order, m(terminal, ks, k) members of the seed ks.
+WALK = """WITH RECURSIVE h AS (SELECT terminal, sample_id, list_sort(list(variant_id)) AS v FROM {sets} GROUP BY 1, 2),
+    o AS (SELECT *, row_number() OVER (PARTITION BY terminal ORDER BY len(v) DESC, v[1], sample_id) AS k FROM h),
+    j AS (SELECT a.terminal, a.k AS ka, b.k AS kb FROM o a JOIN o b ON a.terminal = b.terminal AND a.k < b.k WHERE len(list_intersect(a.v, b.v)) / len(list_distinct(list_concat(a.v, b.v))) >= 0.8),
+    n AS (SELECT o.terminal, o.k, list(j.ka) FILTER (j.ka IS NOT NULL) AS before FROM o LEFT JOIN j ON o.terminal = j.terminal AND o.k = j.kb GROUP BY 1, 2),
+    w AS (SELECT DISTINCT terminal, 0::BIGINT AS k, []::BIGINT[] AS seeds FROM o
+        UNION ALL SELECT w.terminal, n.k, CASE WHEN list_has_any(w.seeds, coalesce(n.before, [])) THEN w.seeds ELSE list_append(w.seeds, n.k) END FROM w JOIN n ON n.terminal = w.terminal AND n.k = w.k + 1),
+    z AS (SELECT terminal, unnest(arg_max(seeds, k)) AS ks FROM w GROUP BY 1),
+    m AS (SELECT o.terminal, coalesce(min(z.ks), o.k) AS ks, o.k FROM o LEFT JOIN j ON o.terminal = j.terminal AND o.k = j.kb LEFT JOIN z ON z.terminal = j.terminal AND z.ks = j.ka GROUP BY o.terminal, o.k),
+    u AS (SELECT m.terminal, m.ks, list_sort(list_distinct(flatten(list(o.v)))) AS v, count(*) AS members, sum(len(o.v)) AS held FROM m JOIN o ON o.terminal = m.terminal AND o.k = m.k GROUP BY 1, 2),
+    x AS (SELECT DISTINCT u.terminal, u.ks FROM u JOIN m ON m.terminal = u.terminal AND m.ks <> u.ks JOIN o ON o.terminal = m.terminal AND o.k = m.k
+        WHERE len(list_intersect(u.v, o.v)) / len(list_distinct(list_concat(u.v, o.v))) BETWEEN 0.5 AND 0.7999999999),
+    c AS (SELECT u.terminal, o.sample_id AS seed, u.ks, u.members, len(u.v) AS variants, held / len(u.v) / members AS consistency, x.ks IS NOT NULL AS split, u.v FROM u JOIN o ON o.terminal = u.terminal AND o.k = u.ks LEFT JOIN x ON x.terminal = u.terminal AND x.ks = u.ks)
+"""
+
+
+@query(WALK.format(sets="fx_sample_variant") + "SELECT terminal, seed, members, variants, round(consistency, 6) AS consistency, split, array_to_string(v, ',') AS variant_ids FROM c")
 def cluster_variant_sets(fx):
-    return rounded(clusters.cluster_variant_sets(fx.sample_variant), "consistency")
+    found = clusters.cluster_variant_sets(fx.sample_variant).summary
+    return rounded(found.withColumn("variant_ids", F.array_join("variant_ids", ",")), "consistency")
+
+
+@query(WALK.format(sets="fx_sample_variant") + "SELECT m.terminal, c.seed, o.sample_id FROM m JOIN c ON c.terminal = m.terminal AND c.ks = m.ks JOIN o ON o.terminal = m.terminal AND o.k = m.k")
+def cluster_members(fx):
+    return clusters.cluster_variant_sets(fx.sample_variant).members

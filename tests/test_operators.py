@@ -124,10 +124,59 @@ def test_clusters_flag_splits(spark):
     from kinspark.operators import clusters
 
     rows = [(9, s, v) for s, vs in ((1, (1, 2, 3, 4, 5)), (2, (1, 2, 3, 4, 5)), (3, (1, 2, 3, 6)), (4, (8, 9))) for v in vs]
-    got = {r["seed"]: (r["members"], r["variants"], r["split"]) for r in clusters.cluster_variant_sets(spark.createDataFrame(rows, "terminal int, sample_id long, variant_id long")).collect()}
+    got = {r["seed"]: (r["members"], r["variants"], r["split"]) for r in clusters.cluster_variant_sets(spark.createDataFrame(rows, "terminal int, sample_id long, variant_id long")).summary.collect()}
     assert got[1] == (2, 5, True) and got[4] == (1, 2, False)
 
 
+def greedy(held, match=0.8, split=0.5):
+    """The rule walked set by set: {seed: (members, union, split)}."""
+    def near(a, b):
+        return len(a & b) / len(a | b)
+
+    order = sorted(held, key=lambda s: (-len(held[s]), min(held[s]), s))
+    left, out = list(order), {}
+    while left:
+        seed = left[0]
+        inside = [s for s in left if near(held[seed], held[s]) >= match]
+        left = [s for s in left if s not in inside]
+        union = frozenset().union(*(held[s] for s in inside))
+        out[seed] = (sorted(inside), sorted(union), any(split <= near(union, held[s]) < match for s in order if s not in inside))
+    return out
+
+
+def test_clusters_equal_the_greedy_walk(spark):
+    """Chains of sets that each differ a little from the last, equal sets, and one terminal that holds most samples."""
+    import random
+
+    from kinspark.operators import clusters
+
+    rng, tables = random.Random(3), {}
+    for terminal, many in ((1, 150), (2, 12), (3, 1)):
+        base, held = set(range(12)), {}
+        for k in range(many):
+            if rng.random() < 0.1:
+                base = set(rng.sample(range(30), rng.randint(1, 14)))
+            if rng.random() < 0.6:
+                base = base ^ {rng.randrange(30)} or {1}
+            held[terminal * 1000 + rng.randrange(1000) if many > 1 else 3000] = frozenset(base)
+        tables[terminal] = held
+    rows = [(t, s, v) for t, held in tables.items() for s, vs in held.items() for v in vs]
+    found = clusters.cluster_variant_sets(spark.createDataFrame(rows, "terminal int, sample_id long, variant_id long"))
+    members = {}
+    for r in found.members.collect():
+        members.setdefault((r["terminal"], r["seed"]), []).append(r["sample_id"])
+    got = {(r["terminal"], r["seed"]): (sorted(members[r["terminal"], r["seed"]]), r["variant_ids"], r["split"]) for r in found.summary.collect()}
+    want = {(t, seed): row for t, held in tables.items() for seed, row in greedy(held).items()}
+    assert got == want and any(r[2] for r in want.values()) and len(want) > 10
+
+
+def test_no_sets_no_clusters(spark):
+    from kinspark.operators import clusters
+
+    found = clusters.cluster_variant_sets(spark.createDataFrame([], "terminal int, sample_id long, variant_id long"))
+    assert found.summary.count() == 0 and found.members.count() == 0
+
+
 def test_snp_ages_grow_towards_the_root(spark):
     branches = spark.createDataFrame([(2, 1, 3, 15e6), (3, 2, 2, 15e6)], "child_id long, parent_id long, snps int, bp double")
     testers = spark.createDataFrame([(3, 5, 12.5e6), (1, 12, 12.5e6)], "node_id long, snps int, bp double")
