@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,24 +177,50 @@ def change_set_apply(nodes: DataFrame, changes: DataFrame, at: str) -> DataFrame
         F.when(F.col("c.op") == "DELETE", F.coalesce("valid_until", F.lit(at).cast("timestamp"))).otherwise(F.col("valid_until")).alias("valid_until")).where("name is not null")
 
 
-def natural_sort_pick(wishes: DataFrame, rounds: int = 60) -> DataFrame:
+#: Nodes that one task settles at a time, and how many names of each it needs for that.
+NAMING_BLOCK = 512
+
+
+def natural_sort_pick(wishes: DataFrame, block: int = NAMING_BLOCK) -> DataFrame:
     """Each node's lowest name in natural order that no node of lower id takes: (node_id, name).
 
-    Deferred acceptance: unplaced nodes propose their next name, a name keeps its lowest node.
-    Rounds are few, as each places at least one node of every contested chain.
+    A node whose first free name no lower open node wishes has it for certain; a round settles all
+    of these at once.  Of the rest, the `block` lowest are walked in one task: each needs its
+    first `block` free names only, as fewer lower ones can be before it.  So there are at most
+    nodes / block rounds, and few where names are seldom shared.  Null names are left out; a node
+    whose names are all taken has no row.
     """
     from .tree import cut_lineage
 
     w = Window.partitionBy("node_id").orderBy(dna.natural_key(F.col("name")), "name")
-    ranked = cut_lineage(wishes.distinct().withColumn("k", F.row_number().over(w)))
-    at = cut_lineage(ranked.select("node_id").distinct().withColumn("k", F.lit(1)))
-    for _ in range(rounds * 1000):
-        held = at.join(ranked, ["node_id", "k"]).withColumn("winner", F.min("node_id").over(Window.partitionBy("name")))
-        lost = held.where("winner <> node_id").select("node_id")
-        if lost.isEmpty():
-            return held.select("node_id", "name")
-        at = cut_lineage(at.join(lost.withColumn("_x", F.lit(1)), "node_id", "left").select("node_id", (F.col("k") + F.coalesce("_x", F.lit(0))).alias("k")))
-    raise RuntimeError("names did not settle")
+    left = cut_lineage(wishes.select("node_id", "name").where("name is not null").distinct().withColumn("k", F.row_number().over(w)))
+    node, name = left.schema["node_id"].dataType.simpleString(), left.schema["name"].dataType.simpleString()
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        taken, got = set(), {}
+        for n, x in rows.sort_values(["node_id", "k"])[["node_id", "name"]].itertuples(index=False):
+            if n not in got and x not in taken:
+                got[n] = x
+                taken.add(x)
+        return pd.DataFrame({"node_id": list(got), "name": list(got.values())})
+
+    def without(settled: DataFrame) -> DataFrame:
+        return cut_lineage(left.join(settled.select("node_id"), "node_id", "left_anti").join(settled.select("name"), "name", "left_anti"))
+
+    settled = []
+    while not left.isEmpty():
+        first = left.groupBy("node_id").agg(F.min_by("name", "k").alias("name"))
+        lowest = left.groupBy("name").agg(F.min("node_id").alias("node_id"))
+        settled.append(cut_lineage(first.join(lowest, ["node_id", "name"])))
+        left = without(settled[-1])
+        lower = left.join(left.select("node_id").distinct().orderBy("node_id").limit(block), "node_id", "left_semi")
+        near = lower.withColumn("k", F.row_number().over(Window.partitionBy("node_id").orderBy("k"))).where(F.col("k") <= block)
+        settled.append(cut_lineage(near.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(walk, f"node_id {node}, name {name}")))
+        left = without(settled[-1])
+    out = left.select("node_id", "name")
+    for one in settled:
+        out = out.unionByName(one)
+    return out
 
 
 def str_reconstruct(motifs: DataFrame, edges: DataFrame) -> DataFrame:

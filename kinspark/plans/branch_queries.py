@@ -8,6 +8,7 @@ from ..functions import dna, scalars
 from ..operators import ages, branches, curation, strages
 from ..sources import formats
 from .catalog_queries import EXP, PLACE, RANK, SITE
+from .curation_queries import CLAIM
 from .report_queries import rounded
 from .source_queries import BINS, POISSON, RES, WALK, poisson
 from .tree_queries import CLOSURE, closure
@@ -203,7 +204,7 @@ def pdf_convolve_sub(fx):
     return rounded(out.where("mass > 1e-9"), "mass")
 
 
-@query()
+@query(f"""WITH RECURSIVE x AS (SELECT DISTINCT node_id, name, {{'a': regexp_extract(name, '^[A-Z]+'), 'b': regexp_extract(name, '[0-9]+$')::BIGINT}} AS place FROM fx_node_variant n JOIN fx_variant v ON v.id = n.variant_id WHERE NOT ({PLACE}))""" + CLAIM)
 def name_private_nodes(fx):
     """Placeholder nodes renamed to the lowest natural name of their branch's named SNPs."""
     v = fx.variant.where(~dna.is_placeholder_name(F.col("name"))).select(F.col("id").alias("variant_id"), "name")

@@ -152,7 +152,14 @@ def change_set_apply(fx):
     return curation.change_set_apply(fx.node.select("node_id", "name", "valid_until"), changes, "2024-02-01 00:00:00")
 
 
-@query()
+#: Names given node by node, from x(node_id, name, place): each takes the first in place that is not taken.
+CLAIM = """, l AS (SELECT node_id, list(name ORDER BY place) AS names FROM x GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY node_id) AS k FROM l),
+    w AS (SELECT 0::BIGINT AS k, 0::BIGINT AS node_id, NULL::VARCHAR AS name, []::VARCHAR[] AS taken
+        UNION ALL SELECT k, node_id, name, CASE WHEN name IS NULL THEN taken ELSE list_append(taken, name) END FROM (SELECT o.k, o.node_id, w.taken, list_filter(o.names, lambda x: NOT list_contains(w.taken, x))[1] AS name FROM w JOIN o ON o.k = w.k + 1))
+    SELECT node_id, name FROM w WHERE name IS NOT NULL"""
+
+
+@query("WITH RECURSIVE x AS (SELECT DISTINCT node_id, 'M' || variant_id::VARCHAR AS name, variant_id AS place FROM fx_node_variant)" + CLAIM)
 def natural_sort_pick(fx):
     return curation.natural_sort_pick(fx.node_variant.select("node_id", F.concat(F.lit("M"), "variant_id").alias("name")))
 

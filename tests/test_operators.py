@@ -120,6 +120,27 @@ def test_natural_sort_pick_settles_on_the_lowest_nodes(spark):
     assert sorted(map(tuple, curation.natural_sort_pick(wishes).collect())) == [(1, "C99"), (2, "C500")]
 
 
+def test_natural_sort_pick_equals_the_walk(spark):
+    """Crowded and lonely names, nodes that go without, a null, and blocks far smaller than the table."""
+    import random
+
+    from kinspark.operators import curation
+
+    rng = random.Random(5)
+    wishes = {n: {f"M{rng.choice((rng.randrange(12), rng.randrange(300)))}" for _ in range(rng.randint(1, 6))} for n in range(80)} | {90: {"M1"}, 91: {"M1"}}
+    taken, want = set(), []
+    for n in sorted(wishes):
+        free = sorted(wishes[n] - taken, key=lambda x: int(x[1:]))
+        if free:
+            want.append((n, free[0]))
+            taken.add(free[0])
+    rows = [(n, x) for n, names in wishes.items() for x in names]
+    df = spark.createDataFrame(rows + rows[:9] + [(95, None)], "node_id long, name string")
+    assert len(want) < len(wishes)
+    for block in (7, 512):
+        assert sorted(map(tuple, curation.natural_sort_pick(df, block).collect())) == want
+
+
 def test_clusters_flag_splits(spark):
     from kinspark.operators import clusters
 
