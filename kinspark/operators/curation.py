@@ -227,7 +227,7 @@ def str_reconstruct(motifs: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, marker, value): upwards the mode of a node's own and its children's values (the smaller of equals), then gaps from the parent.
 
     A round per level of the tree, each an equi-join on the edge and a grouped count, so no
-    marker and no tree has to fit in one task.
+    marker and no tree has to fit in one task.  A node without any edge keeps its own values.
     """
     from .tree import cut_lineage, node_depth, tree_closure
 
@@ -246,15 +246,13 @@ def str_reconstruct(motifs: DataFrame, edges: DataFrame) -> DataFrame:
         below = cut_lineage(n.groupBy("node_id", "marker").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value")))
         up = below if up is None else up.union(below)
     above, out = below, below
-    if above is None:
-        return own
     for d in range(1, deepest + 1):
         here = depth.where(F.col("depth") == d).select("node_id")
         from_parent = here.join(parent, here["node_id"] == parent["child_id"]).select("node_id", "parent_id").join(above.select(F.col("node_id").alias("parent_id"), "marker", F.col("value").alias("given")), "parent_id").select("node_id", "marker", "given")
         mine = up.join(here, "node_id", "left_semi")
         above = cut_lineage(mine.join(from_parent, ["node_id", "marker"], "full_outer").select("node_id", "marker", F.coalesce("value", "given").alias("value")))
         out = out.union(above)
-    return out
+    return out.union(own.join(depth, "node_id", "left_anti"))
 
 
 def sample_report(samples: DataFrame, coverage: DataFrame, placements: DataFrame) -> DataFrame:

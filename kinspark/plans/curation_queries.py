@@ -164,7 +164,16 @@ def natural_sort_pick(fx):
     return curation.natural_sort_pick(fx.node_variant.select("node_id", F.concat(F.lit("M"), "variant_id").alias("name")))
 
 
-@query()
+def votes(depth: int) -> str:
+    """SQL of u<depth>: the mode of the nodes' own values at a depth and of their children's, which u<depth + 1> holds."""
+    below = f" UNION ALL SELECT e.parent_id, marker, value FROM u{depth + 1} JOIN fx_edge e ON e.child_id = u{depth + 1}.node_id" if depth < 5 else ""
+    both = f"SELECT node_id, marker, value, row_number() OVER (PARTITION BY node_id, marker ORDER BY count(*) DESC, value) AS rn FROM (SELECT own.node_id, marker, value FROM own JOIN d ON d.node_id = own.node_id WHERE depth = {depth}{below}) GROUP BY 1, 2, 3"
+    return f", u{depth} AS (SELECT node_id, marker, value FROM ({both}) WHERE rn = 1)"
+
+
+#: Motifs are of nodes below 50 (fx_str), which lie at a depth of 3 at most, so that six levels of votes hold all.
+@query(CLOSURE + ", d AS (SELECT descendant_id AS node_id, max(distance) AS depth FROM c GROUP BY 1), own AS (SELECT node_id, marker, modal AS value FROM (" + MODAL + "))" + "".join(map(votes, range(5, -1, -1)))
+       + ", up AS (" + " UNION ALL ".join(f"SELECT * FROM u{k}" for k in range(6)) + ") SELECT descendant_id AS node_id, marker, arg_min(value, distance) AS value FROM c JOIN up ON c.ancestor_id = up.node_id GROUP BY 1, 2")
 def str_reconstruct(fx):
     return curation.str_reconstruct(reports.modal_haplotype(fx.str), fx.edge)
 

@@ -108,9 +108,9 @@ def test_str_reconstruct_fills_up_and_down(spark):
     from kinspark.operators import curation
 
     edges = spark.createDataFrame([(2, 1, None), (3, 1, None), (4, 2, None)], "child_id long, parent_id long, valid_until timestamp")
-    motifs = spark.createDataFrame([(2, 7, 13), (3, 7, 14), (4, 8, 20)], "node_id long, marker int, modal int")
+    motifs = spark.createDataFrame([(2, 7, 13), (3, 7, 14), (4, 8, 20), (9, 7, 15)], "node_id long, marker int, modal int")
     got = {(r["node_id"], r["marker"]): r["value"] for r in curation.str_reconstruct(motifs, edges).collect()}
-    assert got == {(1, 7): 13, (2, 7): 13, (3, 7): 14, (4, 7): 13, (4, 8): 20, (2, 8): 20, (1, 8): 20, (3, 8): 20}
+    assert got == {(1, 7): 13, (2, 7): 13, (3, 7): 14, (4, 7): 13, (4, 8): 20, (2, 8): 20, (1, 8): 20, (3, 8): 20, (9, 7): 15}
 
 
 def test_natural_sort_pick_settles_on_the_lowest_nodes(spark):
