@@ -47,7 +47,6 @@ VIEWS = {
     "fx_text": """SELECT doc_id AS id, source AS title, text AS body, n_chars, lang FROM documents""",
 }
 
-
 def _needs(sql: str) -> list[str]:
     """Views that a text names, those that they name first."""
     found: list[str] = []
@@ -82,7 +81,7 @@ class Fixtures:
         if sql is None:
             raise AttributeError(name)
         tables = [t for t in ("part", "customer", "orders", "lineitem", "supplier", "events", "documents") if re.search(rf"(?:FROM|JOIN) {t}\b", sql)]
-        text = sql
+        text = sql.replace("{", "{{").replace("}", "}}")
         for t in tables:
             text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
         # the texts name columns without a table, so the braces stand for DataFrames
