@@ -204,8 +204,3 @@ def claim_fold(claims: DataFrame) -> DataFrame:
 
 def ttl_expire(df: DataFrame, expires: str, as_of: str) -> DataFrame:
     return df.where(F.col(expires) > F.lit(as_of).cast("timestamp"))
-
-
-def replay_guard(requests: DataFrame, signature: list[str], ttl: str) -> DataFrame:
-    """A stream with one use of a signature within the ttl of event time (column ts)."""
-    return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(signature)
