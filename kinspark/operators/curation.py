@@ -168,15 +168,6 @@ def relative_suggestions(overlaps: DataFrame, terminals: DataFrame, shared: Data
     return ranked.join(dismissed.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def change_set_apply(nodes: DataFrame, changes: DataFrame, at: str) -> DataFrame:
-    """Nodes after approved changes (op, node_id, name): the last op of a node wins; deletes close the row."""
-    last = changes.where("status = 'APPROVED'").groupBy("node_id").agg(F.max_by(F.struct("op", "name"), "change_id").alias("c"))
-    both = nodes.join(last, "node_id", "full_outer")
-    return both.select(
-        "node_id", F.when(F.col("c.op").isin("CREATE", "UPDATE"), F.coalesce("c.name", "name")).otherwise(F.col("name")).alias("name"),
-        F.when(F.col("c.op") == "DELETE", F.coalesce("valid_until", F.lit(at).cast("timestamp"))).otherwise(F.col("valid_until")).alias("valid_until")).where("name is not null")
-
-
 #: Nodes that one task settles at a time, and how many names of each it needs for that.
 NAMING_BLOCK = 512
 

@@ -145,13 +145,6 @@ def relative_suggestions(fx):
     return rounded(curation.relative_suggestions(overlaps, terminals, shared, dismissed, 50), "score")
 
 
-@query("""SELECT n.node_id, CASE WHEN node_id % 5 = 1 THEN 'X' || node_id::VARCHAR ELSE name END AS name, CASE WHEN node_id % 5 = 2 THEN coalesce(valid_until, TIMESTAMP '2024-02-01 00:00:00') ELSE valid_until END AS valid_until FROM fx_node n""")
-def change_set_apply(fx):
-    ids = F.col("node_id")
-    changes = fx.node.where("node_id % 5 in (1, 2, 3)").select(ids.alias("change_id"), "node_id", F.when(ids % 5 == 2, "DELETE").otherwise("UPDATE").alias("op"), F.concat(F.lit("X"), ids).alias("name"), F.when(ids % 5 == 3, "REJECTED").otherwise("APPROVED").alias("status"))
-    return curation.change_set_apply(fx.node.select("node_id", "name", "valid_until"), changes, "2024-02-01 00:00:00")
-
-
 #: Names given node by node, from x(node_id, name, place): each takes the first in place that is not taken.
 CLAIM = """, l AS (SELECT node_id, list(name ORDER BY place) AS names FROM x GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY node_id) AS k FROM l),
     w AS (SELECT 0::BIGINT AS k, 0::BIGINT AS node_id, NULL::VARCHAR AS name, []::VARCHAR[] AS taken
