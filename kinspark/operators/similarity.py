@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,12 +89,63 @@ def similar_pairs(sets: DataFrame, block: str, shared: int, least: float) -> Dat
     return pairs.where("x <> y or p < q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared", "jaccard")
 
 
-def duplicate_candidates(sets: DataFrame, mt: DataFrame) -> DataFrame:
-    """Pairs of one terminal that share 3 variants at Jaccard 0.5, scored 0.6 J + 0.4 for equal mt."""
-    pairs = similar_pairs(sets, "terminal", 3, 0.5)
-    both = pairs.join(mt.select(F.col("sample_id").alias("a"), F.col("mt").alias("ma")), "a").join(mt.select(F.col("sample_id").alias("b"), F.col("mt").alias("mb")), "b")
-    same = (F.col("ma") == F.col("mb")).cast("double")
-    return both.select("a", "b", "shared", "jaccard", F.least(F.lit(1.0), 0.4 * same + 0.6 * F.col("jaccard")).alias("score"))
+class Duplicates(NamedTuple):
+    """blocks: (terminal, mt, members), any two of whose members are candidates; members: (terminal, mt, kind, sample_id); pairs: (terminal, x, y, shared, jaccard, mt_match) of kinds."""
+
+    blocks: DataFrame
+    members: DataFrame
+    pairs: DataFrame
+
+
+def duplicate_blocks(sets: DataFrame, samples: DataFrame, shared: int = 3, least: float = 0.5) -> Duplicates:
+    """Duplicate candidates without a row for each two samples.
+
+    sets: (sample_id, variant_id); samples: (sample_id, terminal, mt), each once.  Samples of one
+    terminal and mt with equal sets are one kind, named by its least sample.  Two samples are
+    candidates if their mt is equal (null equals nothing), or if they share `shared` variants at a
+    Jaccard of `least`.  pairs holds what kinds have in common wherever that is something; two
+    members of a block whose kinds have no row there are candidates that share nothing.  Kinds
+    with themselves are there where they have several members.
+    """
+    held = sets.select("sample_id", "variant_id").distinct().join(samples.select("sample_id", "terminal"), "sample_id")
+    seen = cut_lineage(held.groupBy("terminal", "variant_id").agg(F.count("*").alias("_n")))
+    # a sample without variants has the empty set, as in its block
+    filled = samples.select("sample_id", "terminal", "mt").join(rare_first(held, seen, "terminal", "sample_id"), ["terminal", "sample_id"], "left")
+    filled = cut_lineage(filled.withColumn("v", F.coalesce("v", F.array().cast(f"array<{sets.schema['variant_id'].dataType.simpleString()}>"))))
+    kinds = cut_lineage(filled.groupBy("terminal", "mt", "v").agg(F.min("sample_id").alias("kind"), F.count("*").alias("members")))
+    members = filled.join(kinds.select(F.col("terminal").alias("t"), F.col("mt").alias("m"), F.col("v").alias("w"), "kind"), (F.col("terminal") == F.col("t")) & F.col("mt").eqNullSafe(F.col("m")) & (F.col("v") == F.col("w"))).select("terminal", "mt", "kind", "sample_id")
+    x, y = (kinds.select("terminal", F.col("kind").alias(side), "v") for side in ("x", "y"))
+    mts = kinds.select("kind", "mt")
+    alike = meeting(x, y, "terminal", shared, least, F.col("x") < F.col("y")).join(mts.select(F.col("kind").alias("x"), F.col("mt").alias("mx")), "x").join(mts.select(F.col("kind").alias("y"), F.col("mt").alias("my")), "y")
+    alike = alike.where("mx IS NULL OR my IS NULL OR mx <> my").select("terminal", "x", "y", "shared", "jaccard", F.lit(False).alias("mt_match"))
+    token = kinds.where("mt IS NOT NULL").select("terminal", "mt", "kind", "v", F.explode("v").alias("variant_id"))
+    left, right = token.select("terminal", "mt", "variant_id", F.col("kind").alias("x")), token.select("terminal", "mt", "variant_id", F.col("kind").alias("y"))
+    common = left.join(right, ["terminal", "mt", "variant_id"]).where("x < y").groupBy("terminal", "x", "y").agg(F.count("*").alias("shared"))
+    sizes = kinds.select("kind", F.size("v").alias("n"))
+    common = common.join(sizes.select(F.col("kind").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("kind").alias("y"), F.col("n").alias("ny")), "y")
+    common = common.select("terminal", "x", "y", "shared", scalars.jaccard(F.col("shared"), F.col("nx"), F.col("ny")).alias("jaccard"), F.lit(True).alias("mt_match"))
+    n = F.size("v")
+    own = kinds.where((F.col("members") > 1) & (n > 0) & (F.col("mt").isNotNull() | (n >= shared)))
+    own = own.select("terminal", F.col("kind").alias("x"), F.col("kind").alias("y"), n.cast("long").alias("shared"), F.lit(1.0).alias("jaccard"), F.col("mt").isNotNull().alias("mt_match"))
+    blocks = kinds.where("mt IS NOT NULL").groupBy("terminal", "mt").agg(F.sum("members").alias("members"))
+    return Duplicates(blocks, members, alike.unionByName(common).unionByName(own))
+
+
+def duplicate_candidates(sets: DataFrame, samples: DataFrame) -> DataFrame:
+    """(a, b, shared, jaccard, mt_match, score) of every two samples that `duplicate_blocks` tells: 0.6 J + 0.4 for equal mt.
+
+    This is the long form, with a row for each pair of a block; where blocks are large, take the other.
+    """
+    told = duplicate_blocks(sets, samples)
+    members, pairs = cut_lineage(told.members), cut_lineage(told.pairs)
+    one = members.select("terminal", F.col("kind").alias("x"), F.col("sample_id").alias("p"))
+    two = members.select("terminal", F.col("kind").alias("y"), F.col("sample_id").alias("q"))
+    known = pairs.join(one, ["terminal", "x"]).join(two, ["terminal", "y"]).where("x <> y OR p < q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared", "jaccard", "mt_match")
+    block = members.where("mt IS NOT NULL")
+    every = block.select("terminal", "mt", F.col("sample_id").alias("a"), F.col("kind").alias("ka")).join(block.select("terminal", "mt", F.col("sample_id").alias("b"), F.col("kind").alias("kb")), ["terminal", "mt"]).where("a < b")
+    every = every.withColumns({"x": F.least("ka", "kb"), "y": F.greatest("ka", "kb")}).join(pairs.select("terminal", "x", "y"), ["terminal", "x", "y"], "left_anti")
+    rest = every.select("a", "b", F.lit(0).cast("long").alias("shared"), F.lit(0.0).alias("jaccard"), F.lit(True).alias("mt_match"))
+    return known.unionByName(rest).withColumn("score", F.least(F.lit(1.0), 0.4 * F.col("mt_match").cast("double") + 0.6 * F.col("jaccard")))
 
 
 def population_overlap(shares: DataFrame, pairs: DataFrame) -> DataFrame:

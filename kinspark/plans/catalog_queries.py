@@ -249,9 +249,21 @@ def jaccard(fx):
     return rounded(similarity.jaccard_pairs(fx.sample_variant, ["terminal"]), "jaccard")
 
 
-@query(f"""SELECT a, b, shared, round(jaccard, 6) AS jaccard, round(least(1.0, 0.4 * CASE WHEN m.mt = n.mt THEN 1 ELSE 0 END + 0.6 * jaccard), 6) AS score FROM ({PAIRS}) p JOIN fx_sample m ON p.a = m.sample_id JOIN fx_sample n ON p.b = n.sample_id WHERE shared >= 3 AND jaccard >= 0.5""")
+@query(f"""WITH m AS (SELECT sample_id, sample_id % 50 AS terminal, CASE WHEN mt <> 7 THEN mt END AS mt FROM fx_sample), k AS (SELECT a, b, shared, jaccard FROM ({PAIRS})),
+    e AS (SELECT p.sample_id AS a, q.sample_id AS b, coalesce(p.mt = q.mt, FALSE) AS mt_match FROM m p JOIN m q ON p.terminal = q.terminal AND p.sample_id < q.sample_id)
+    SELECT a, b, coalesce(shared, 0) AS shared, round(coalesce(jaccard, 0.0), 6) AS jaccard, mt_match, round(least(1.0, 0.4 * mt_match::INT + 0.6 * coalesce(jaccard, 0.0)), 6) AS score FROM e LEFT JOIN k USING (a, b) WHERE mt_match OR (shared >= 3 AND jaccard >= 0.5)""")
 def duplicate_candidates(fx):
-    return rounded(similarity.duplicate_candidates(fx.sample_variant, fx.sample.select("sample_id", "mt")), "jaccard", "score")
+    """Every sample of a terminal, those without variants too; one mt in forty is not known."""
+    samples = fx.sample.select("sample_id", (F.col("sample_id") % 50).alias("terminal"), F.when(F.col("mt") != 7, F.col("mt")).alias("mt"))
+    return rounded(similarity.duplicate_candidates(fx.sample_variant.select("sample_id", "variant_id"), samples), "jaccard", "score")
+
+
+@query("""WITH m AS (SELECT sample_id, sample_id % 50 AS terminal, CASE WHEN mt <> 7 THEN mt END AS mt FROM fx_sample), s AS (SELECT m.sample_id, list_sort(list(v.variant_id) FILTER (v.variant_id IS NOT NULL)) AS v FROM m LEFT JOIN fx_sample_variant v ON m.sample_id = v.sample_id GROUP BY 1)
+    SELECT terminal, mt, min(sample_id) OVER (PARTITION BY terminal, mt, coalesce(v, [])) AS kind, sample_id FROM m JOIN s USING (sample_id)""")
+def duplicate_blocks(fx):
+    """The kinds that samples of one terminal and mt fall into."""
+    samples = fx.sample.select("sample_id", (F.col("sample_id") % 50).alias("terminal"), F.when(F.col("mt") != 7, F.col("mt")).alias("mt"))
+    return similarity.duplicate_blocks(fx.sample_variant.select("sample_id", "variant_id"), samples).members
 
 
 @query("""WITH s AS (SELECT sample_id, population, 100 * quantity / sum(quantity) OVER (PARTITION BY sample_id) AS pct FROM fx_share), p AS (SELECT a, b FROM fx_pair)
