@@ -94,28 +94,11 @@ def ancestor_path(closure: DataFrame) -> DataFrame:
     return above.select("node_id", F.array_join(F.transform("p", lambda x: x["ancestor_id"].cast("string")), ">").alias("path"))
 
 
-def cumulative_counts(closure: DataFrame, counts: DataFrame) -> DataFrame:
-    """Samples at or below each node, from direct counts (node_id, n)."""
-    return closure.join(counts, closure["descendant_id"] == counts["node_id"]).groupBy("ancestor_id").agg(F.sum("n").alias("n")).select(F.col("ancestor_id").alias("node_id"), "n")
-
-
-def subtree_window(closure: DataFrame, edges: DataFrame, root: int, depth: int) -> DataFrame:
-    """Nodes up to `depth` levels below a root; has_hidden where children are cut off."""
-    window = closure.where((F.col("ancestor_id") == root) & (F.col("distance") <= depth)).select(F.col("descendant_id").alias("node_id"), "distance")
-    return window.join(children(edges), "node_id", "left").select("node_id", "distance", ((F.col("distance") == depth) & F.col("children").isNotNull()).alias("has_hidden"))
-
-
 def samples_under(closure: DataFrame, samples: DataFrame) -> DataFrame:
     """Every clade's samples: (node_id, sample_id, distance)."""
     return closure.join(samples.select("sample_id", F.col("terminal").alias("descendant_id")), "descendant_id").select(F.col("ancestor_id").alias("node_id"), "sample_id", "distance")
 
 
-def recompute_backbone(nodes: DataFrame, closure: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Nodes that are seeds, ancestors of seeds, or curated."""
-    above = closure.join(seeds.select(F.col("node_id").alias("descendant_id")), "descendant_id").select(F.col("ancestor_id").alias("node_id"))
-    return above.union(nodes.where("curated").select("node_id")).distinct()
-
-
 def resolve_calls(samples: DataFrame, nodes: DataFrame, tokens) -> DataFrame:
     """Each distinct call's node: the first of its tokens that names one."""
     calls = samples.select("call_text").distinct().select("call_text", F.posexplode(tokens(F.col("call_text"))).alias("at", "token"))
@@ -186,11 +169,5 @@ def tree_revision(*tables: DataFrame) -> DataFrame:
     return out.agg(F.bit_xor("x").alias("revision"), F.sum("n").alias("rows"))
 
 
-def recruit_cohort(samples: DataFrame, closure: DataFrame, target: int, excluded: DataFrame) -> DataFrame:
-    """Donors whose terminal is the target or below it, without the excluded."""
-    below = closure.where(F.col("ancestor_id") == target).select(F.col("descendant_id").alias("terminal"))
-    return samples.join(below, "terminal", "left_semi").select("donor_id").distinct().join(excluded, "donor_id", "left_anti")
-
-
 def subtree_tester_count(closure: DataFrame, samples: DataFrame) -> DataFrame:
     return samples_under(closure, samples.select(F.col("donor_id").alias("sample_id"), "terminal")).groupBy("node_id").agg(F.countDistinct("sample_id").alias("testers"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import tree
+from ..operators import numbering, tree
 
 REGISTERED: dict = {}
 
@@ -27,6 +27,18 @@ def closure(fx):
     return tree.tree_closure(fx.edge, fx.node)
 
 
+def numbers(fx):
+    return numbering.tree_numbers(fx.edge, fx.node)
+
+
+@query("""WITH RECURSIVE p AS (SELECT node_id, node_id AS root_id, [node_id] AS path FROM fx_node WHERE node_id NOT IN (SELECT child_id FROM fx_edge) UNION ALL SELECT e.child_id, p.root_id, list_append(p.path, e.child_id) FROM p JOIN fx_edge e ON e.parent_id = p.node_id),
+    n AS (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY path) - 1 AS enter, unnest(path) AS above FROM p), s AS (SELECT above, count(*) AS size FROM n GROUP BY 1)
+    SELECT DISTINCT node_id, root_id, enter, enter + size - 1 AS exit, len(path) - 1 AS depth FROM (SELECT DISTINCT node_id, root_id, path, dense_rank() OVER (PARTITION BY root_id ORDER BY path) - 1 AS enter FROM p) q JOIN s ON s.above = q.node_id""")
+def tree_numbers(fx):
+    """Enter and exit numbers of every node."""
+    return numbers(fx)
+
+
 @query(CLOSURE + "SELECT * FROM c")
 def tree_closure(fx):
     return closure(fx)
@@ -65,12 +77,13 @@ def ancestor_path(fx):
 @query(CLOSURE + "SELECT ancestor_id AS node_id, CAST(sum(n) AS BIGINT) AS n FROM c JOIN (SELECT terminal, count(*) AS n FROM fx_sample GROUP BY 1) s ON c.descendant_id = s.terminal GROUP BY 1")
 def cumulative_counts(fx):
     direct = fx.sample.groupBy(F.col("terminal").alias("node_id")).agg(F.count("*").alias("n"))
-    return tree.cumulative_counts(closure(fx), direct)
+    return numbering.cumulative_counts(numbers(fx), direct)
 
 
-@query(CLOSURE + "SELECT descendant_id AS node_id, distance, distance = 3 AND descendant_id IN (SELECT parent_id FROM fx_edge) AS has_hidden FROM c WHERE ancestor_id = 1 AND distance <= 3")
+@query(CLOSURE + """SELECT descendant_id AS node_id, distance, distance = 3 AND descendant_id IN (SELECT parent_id FROM fx_edge) AS has_hidden,
+    (SELECT count(DISTINCT variant_id) FROM fx_node_variant v WHERE v.node_id = descendant_id) AS variants, descendant_id IN (SELECT node_id FROM fx_node WHERE curated) AS is_backbone FROM c WHERE ancestor_id = 1 AND distance <= 3""")
 def subtree_window(fx):
-    return tree.subtree_window(closure(fx), fx.edge, 1, 3)
+    return numbering.subtree_window(numbers(fx), 1, 3, fx.node_variant, fx.node.where("curated"))
 
 
 @query(CLOSURE + "SELECT ancestor_id AS node_id, sample_id, distance FROM c JOIN fx_sample s ON c.descendant_id = s.terminal")
@@ -85,7 +98,7 @@ def subtree_tester_count(fx):
 
 @query(CLOSURE + "SELECT DISTINCT ancestor_id AS node_id FROM c WHERE descendant_id % 50 = 3 UNION SELECT node_id FROM fx_node WHERE curated")
 def recompute_backbone(fx):
-    return tree.recompute_backbone(fx.node, closure(fx), fx.node.where("node_id % 50 = 3"))
+    return numbering.recompute_backbone(numbers(fx), fx.node.where("node_id % 50 = 3"), fx.node.where("curated"))
 
 
 @query(f"SELECT DISTINCT c.call_text, n.node_id FROM {CALLS} c JOIN fx_node n ON n.name = c.token")
@@ -116,7 +129,7 @@ def tree_revision(fx):
 
 @query(CLOSURE + "SELECT DISTINCT donor_id FROM fx_sample s JOIN c ON c.descendant_id = s.terminal AND c.ancestor_id = 5 WHERE donor_id % 4 <> 0")
 def recruit_cohort(fx):
-    return tree.recruit_cohort(fx.sample, closure(fx), 5, fx.sample.where("donor_id % 4 = 0").select("donor_id").distinct())
+    return numbering.recruit_cohort(fx.sample, numbers(fx), 5, fx.sample.where("donor_id % 4 = 0").select("donor_id").distinct())
 
 
 
