@@ -54,10 +54,18 @@ def normalize_doi(doi: Column) -> Column:
 
 
 def call_tokens(call: Column) -> Column:
-    """Candidate names of a haplogroup call, terminal first: path steps from the last, synonyms in order."""
-    steps = F.reverse(F.split(F.trim(call), r"\s*>\s*"))
-    tokens = F.flatten(F.transform(steps, lambda s: F.split(s, r"\s*/\s*")))
-    return F.when(F.lower(F.trim(call)) == "n/a", F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(tokens, lambda t: t != "")))
+    """Candidate names in a published haplogroup call, most specific first; the call as it is isn't among them.
+
+    Steps of a path (`>`) from the last, each without its label (`R-M269` is `M269`), its synonyms
+    (`/`) in order and without `*?.,()` around them.  What says that there is no call has none.
+    """
+    whole = F.trim(call)
+    steps = F.reverse(F.split(whole, ">"))
+    bare = F.transform(steps, lambda s: F.regexp_replace(F.trim(s), "^[A-Z][A-Za-z0-9]*-", ""))
+    tokens = F.transform(F.flatten(F.transform(bare, lambda s: F.split(s, "/"))), lambda t: F.trim(F.regexp_replace(F.trim(t), r"^[*?.,()]+|[*?.,()]+$", "")))
+    low = F.lower(whole)
+    nothing = low.isin("", "na", "?", "unknown") | low.startswith("n/a")
+    return F.when(nothing, F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(tokens, lambda t: (t != "") & (t != whole))))
 
 
 def has_pii(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from .intervals import recurrent_mask
 from .tree import numbered
 
 
@@ -105,10 +106,10 @@ def alias_union(keep: DataFrame, drop: DataFrame) -> DataFrame:
     return both.select("id", "name", F.array_sort(F.array_except(F.array_union("aliases", F.array_union("more", F.array("old"))), F.array("name"))).alias("aliases"))
 
 
-def private_node_names(nodes: DataFrame, links: DataFrame, variants: DataFrame) -> DataFrame:
-    """Candidate names of unnamed nodes: named variants that sit on their defining sites, in natural order."""
+def private_node_names(nodes: DataFrame, links: DataFrame, variants: DataFrame, regions: DataFrame) -> DataFrame:
+    """Candidate names of unnamed nodes: named catalog variants of no branch, outside recurrent regions, that sit on their defining sites, in natural order."""
     s = with_site(variants)
-    named = s.where(~dna.is_placeholder_name(F.col("name")) & ~F.col("name").rlike("[ :]")).select("c", "position", "canon", F.col("name").alias("candidate"))
+    named = recurrent_mask(s.where("branch_id IS NULL"), regions).where(~dna.is_placeholder_name(F.col("name")) & ~F.col("name").rlike("[ :]")).select("c", "position", "canon", F.col("name").alias("candidate"))
     sites = links.join(s.select(F.col("id").alias("variant_id"), "c", "position", "canon"), "variant_id").join(nodes, "node_id")
     return sites.join(named, ["c", "position", "canon"]).select("node_id", "candidate").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("node_id").orderBy(dna.natural_key(F.col("candidate")))))
 

@@ -251,3 +251,25 @@ def sample_report(samples: DataFrame, coverage: DataFrame, placements: DataFrame
     runs = coverage.groupBy("sample_id").agg(F.count("*").alias("runs"), F.avg("depth").alias("avg_depth"))
     return samples.join(placements.select("sample_id", "node_id"), "sample_id", "left").join(runs, "sample_id", "left").select(
         "sample_id", "source", F.coalesce(F.concat(F.lit("N"), "node_id"), "call_text").alias("call"), F.coalesce("runs", F.lit(0)).alias("runs"), "avg_depth")
+
+
+def name_private_nodes(nodes: DataFrame, links: DataFrame, variants: DataFrame, regions: DataFrame) -> DataFrame:
+    """Nodes (node_id, dna_type, name, valid_until) with new names, (..., was): current placeholders, which end in `:n` and a number.
+
+    A placeholder takes the lowest candidate of `private_node_names`, in natural order, that no
+    current node of its kind of DNA has and no placeholder of lower id takes, behind the letters
+    before the first dash of its own name, if there is one (`Q-Z1:n0` becomes `Q-M5`).  was: its
+    name before, to be kept as an alias; null for all that keep theirs.
+    """
+    from .catalog import private_node_names
+
+    waiting = nodes.where("valid_until IS NULL").where(F.col("name").rlike(":n[0-9]+$")).select("node_id", "dna_type", "name")
+    base = F.substring_index("name", ":", 1)
+    clade = F.when(base.contains("-"), F.concat(F.substring_index(base, "-", 1), F.lit("-"))).otherwise("")
+    kind = F.concat("dna_type", F.lit("/"))
+    wishes = private_node_names(waiting.select("node_id"), links, variants, regions).join(waiting, "node_id").select("node_id", F.concat(kind, clade, "candidate").alias("name"))
+    taken = nodes.where("valid_until IS NULL").select(F.concat(kind, "name").alias("name")).distinct()
+    picked = natural_sort_pick(wishes.join(taken, "name", "left_anti")).select("node_id", F.col("name").alias("_new"))
+    both = nodes.join(picked, "node_id", "left")
+    new = F.expr("substring(_new, length(dna_type) + 2)")
+    return both.select("node_id", "dna_type", F.coalesce(new, "name").alias("name"), "valid_until", F.when(F.col("_new").isNotNull(), F.col("name")).alias("was"))

@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tree import cut_lineage
+
 
 def interval_merge(rows: DataFrame) -> DataFrame:
-    """Overlapping or touching intervals of a key as one."""
-    w = Window.partitionBy("k").orderBy("s", "e")
-    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.where("e > s").withColumn("new", F.when(reach >= F.col("s"), 0).otherwise(1))
-    island = F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("i", island).groupBy("k", "i").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("i")
+    """Overlapping or touching intervals of a key as one; empty ones and null ends or keys go.
+
+    A sweep over ranges of (k, s): each range is walked by itself, and is told how far the ranges
+    before it reach in its key and how many islands began there.  So one key, as one contig of a
+    whole population, is spread over all partitions; what is carried is a row for each key and range.
+    """
+    valid = rows.where("k IS NOT NULL AND e > s").select("k", "s", "e")
+    ranges = cut_lineage(valid.repartitionByRange("k", "s", "e").withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy("k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    reach = ranges.groupBy("k", "_range").agg(F.max("e").alias("_e")).select("k", "_range", F.max("_e").over(before).alias("_carried"))
+    here = Window.partitionBy("_range", "k").orderBy("s", "e")
+    upto = F.greatest(F.max("e").over(here.rowsBetween(Window.unboundedPreceding, -1)), "_carried")  # nulls apart
+    swept = ranges.join(reach, ["k", "_range"]).withColumn("_new", F.when(upto >= F.col("s"), 0).otherwise(1))
+    marked = cut_lineage(swept.withColumn("_i", F.sum("_new").over(here.rowsBetween(Window.unboundedPreceding, 0))).select("k", "s", "e", "_range", "_new", "_i"))
+    begun = marked.groupBy("k", "_range").agg(F.sum("_new").alias("_n")).select("k", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return marked.join(begun, ["k", "_range"]).groupBy("k", (F.col("_i") + F.col("_base")).alias("_island")).agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_island")
 
 
 def interval_total_bp(rows: DataFrame) -> DataFrame:

@@ -194,12 +194,24 @@ def count_checks(counts: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
     return out
 
 
-def claim_fold(claims: DataFrame) -> DataFrame:
-    """Live heads per subject, scope and predicate: values, and DISPUTED where they differ."""
-    alive = claims.where(~F.col("retracted"))
-    replaced = alive.where("supersedes is not null").select(F.col("supersedes").alias("claim_id")).distinct()
-    heads = alive.join(replaced, "claim_id", "left_anti")
-    return heads.groupBy("subject", "scope", "predicate").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("val")), "|").alias("vals")).withColumn("status", F.when(F.col("vals").contains("|"), "DISPUTED").otherwise("SETTLED"))
+def claim_fold(claims: DataFrame, single: list[str], public: str = "PUBLIC", project: str = "PROJECT:") -> DataFrame:
+    """(subject, scope, predicate, state, view) of every view: what a scope sees of a subject.
+
+    claims: (claim_id, subject, scope, predicate, val, author, created_at, supersedes, retracted).
+    Live are claims that are neither retracted nor superseded by a live one's row.  A project's
+    view holds its own and the public claims of each subject that it has any claim about, live or
+    not; the public view holds public ones.  A predicate in `single` with several values is
+    DISPUTED, all else SETTLED.  view: an array of the live claims in the order they were made.
+    """
+    valid = claims.where(~F.coalesce("retracted", F.lit(False)))
+    replaced = valid.where("supersedes IS NOT NULL").select(F.col("supersedes").alias("claim_id")).distinct()
+    heads = valid.join(replaced, "claim_id", "left_anti")
+    projects = claims.where(F.col("scope").startswith(project)).select("subject", F.col("scope").alias("to")).distinct()
+    shown = heads.where(F.col("scope") == public).join(projects, "subject").withColumn("scope", F.col("to")).drop("to")
+    entry = F.struct("created_at", "claim_id", "val", "author")
+    folded = heads.unionByName(shown).groupBy("subject", "scope", "predicate").agg(F.array_sort(F.collect_list(entry)).alias("view"), F.count_distinct("val").alias("_values"), F.count_if(F.col("val").isNull()).alias("_nulls"))
+    several = F.col("_values") + (F.col("_nulls") > 0).cast("int") > 1
+    return folded.select("subject", "scope", "predicate", F.when(F.col("predicate").isin(single) & several, "DISPUTED").otherwise("SETTLED").alias("state"), "view")
 
 
 def ttl_expire(df: DataFrame, expires: str, as_of: str) -> DataFrame:

@@ -238,15 +238,6 @@ def repoint(df: DataFrame, key: str, mapping: DataFrame, unique: list[str] | Non
     return out.dropDuplicates(unique) if unique else out
 
 
-def consolidate_donors(rows: DataFrame) -> DataFrame:
-    """Members of a group follow the row with most metadata, then the least id."""
-    w = Window.partitionBy("group_id")
-    filled = F.col("nation").isNotNull().cast("int") + (F.col("balance") > 0).cast("int")
-    first = F.row_number().over(w.orderBy(F.desc(filled), "sample_id"))
-    survivor = F.first("sample_id").over(w.orderBy(F.desc(filled), "sample_id"))
-    return rows.select("group_id", "sample_id", survivor.alias("survivor"), (first == 1).alias("keeps"))
-
-
 def combine_inverse_variance(terms: DataFrame) -> DataFrame:
     """Weighted mean and sigma per node; a sigma of 0 or less is a quarter of the age, 1 at least."""
     s = F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(F.greatest(F.abs("ybp") * 0.25, F.lit(1.0)))
@@ -290,8 +281,17 @@ def str_branch_mutations(motifs: DataFrame, edges: DataFrame) -> DataFrame:
     return child.join(edges.select("child_id", "parent_id"), "child_id").join(parent, ["parent_id", "marker"]).select(F.col("child_id").alias("node_id"), "marker", "value", "parent_value", (F.col("value") != F.col("parent_value")).alias("changed"))
 
 
-def ancestry_blocks(samples: DataFrame) -> DataFrame:
-    """Dominant value and half-sigma cells of two standardised coordinates."""
-    stats = samples.agg(F.avg("x").alias("mx"), F.stddev_pop("x").alias("sx"), F.avg("y").alias("my"), F.stddev_pop("y").alias("sy"))
-    z = samples.crossJoin(F.broadcast(stats))
-    return z.select("sample_id", "dominant", F.round((F.col("x") - F.col("mx")) / F.col("sx") / 0.5).cast("int").alias("cx"), F.round((F.col("y") - F.col("my")) / F.col("sy") / 0.5).cast("int").alias("cy"))
+def ancestry_blocks(samples: DataFrame, cell: float = 0.5) -> DataFrame:
+    """(sample_id, dominant, block): the dominant value and the cells, half a sigma wide, of two standardised coordinates.
+
+    Rows without both coordinates are in the block `nopca` of their dominant value (`?` for none)
+    and don't count for mean and sigma; a column without spread has all of its rows in cell 0.
+    """
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
+    stats = samples.where(placed).agg(*[f(c).alias(name + c) for c in ("x", "y") for f, name in ((F.avg, "m"), (F.stddev_pop, "s"))])
+    z = samples.crossJoin(F.broadcast(stats))  # one row
+
+    def at(c: str) -> Column:
+        return F.round((F.col(c) - F.col(f"m{c}")) / F.greatest(F.col(f"s{c}"), F.lit(1e-9)) / cell).cast("long").cast("string")
+
+    return z.select("sample_id", "dominant", F.concat_ws(":", F.coalesce("dominant", F.lit("?")), F.when(placed, F.concat_ws(":", at("x"), at("y"))).otherwise("nopca")).alias("block"))

@@ -62,11 +62,15 @@ def str_step_table(spark: SparkSession, multi: float | None = None, up: float =
     return spark.createDataFrame([(m, g, float(p)) for (m, g), p in np.ndenumerate(table) if p > 1e-9], "m int, g int, p double")
 
 
+#: Fixed value: the table has up to 40 mutations, an age mixes those up to 30.
+MOST = 30
+
+
 def str_marker_age(distances: DataFrame, steps: DataFrame, key: list[str], resolution: float, bins: int) -> DataFrame:
     """(*key, g, bin, mass) of distinct distances (key, g, rate per generation): Poisson ages of m mutations, mixed by P(g | m)."""
     rows = distances.select(*key, "g", "rate").distinct().where("rate > 0")
     named = rows.withColumn("_id", F.concat_ws("|", *[F.col(k).cast("string") for k in key], "g"))
-    comps = named.join(F.broadcast(steps), "g").select("_id", "m", "p", (F.col("rate") / GENERATION).alias("rate"))  # steps: 41 x 41 rows at most
+    comps = named.join(F.broadcast(steps.where(F.col("m") <= MOST)), "g").select("_id", "m", "p", (F.col("rate") / GENERATION).alias("rate"))  # steps: 41 x 41 rows at most
     part = ages.pdf_poisson(comps.withColumn("_c", F.concat_ws("#", "_id", "m")), "_c", resolution, bins)
     weighed = part.join(comps.select(F.concat_ws("#", "_id", "m").alias("_c"), "_id", "p"), "_c")
     return ages.pdf_mixture(weighed, "_id", "p").join(named.select("_id", *key, "g"), "_id").select(*key, "g", "bin", "mass")

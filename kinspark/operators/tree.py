@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .placement import resolve_calls
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines share (spark.checkpoint.dir); without one, local sessions get a folder of their own."""
@@ -99,22 +101,10 @@ def samples_under(closure: DataFrame, samples: DataFrame) -> DataFrame:
     return closure.join(samples.select("sample_id", F.col("terminal").alias("descendant_id")), "descendant_id").select(F.col("ancestor_id").alias("node_id"), "sample_id", "distance")
 
 
-def resolve_calls(samples: DataFrame, nodes: DataFrame, tokens) -> DataFrame:
-    """Each distinct call's node: the first of its tokens that names one."""
-    calls = samples.select("call_text").distinct().select("call_text", F.posexplode(tokens(F.col("call_text"))).alias("at", "token"))
-    hits = calls.join(nodes.select("node_id", F.col("name").alias("token")), "token")
-    return hits.groupBy("call_text").agg(F.min_by("node_id", "at").alias("node_id"))
-
-
-def place_samples(samples: DataFrame, nodes: DataFrame, tokens) -> DataFrame:
-    """Samples but citizens: PLACED at their call's node, or UNPLACED."""
-    placed = samples.where("source <> 'CITIZEN'").join(resolve_calls(samples, nodes, tokens), "call_text", "left")
-    return placed.select("sample_id", "node_id", F.when(F.col("node_id").isNull(), "UNPLACED").otherwise("PLACED").alias("status"))
-
 
-def pathway(samples: DataFrame, nodes: DataFrame, closure: DataFrame, tokens) -> DataFrame:
+def pathway(samples: DataFrame, nodes: DataFrame, closure: DataFrame) -> DataFrame:
     """Each sample's steps from the root to its node; empty if its call names none."""
-    at = samples.select("sample_id", "call_text").join(resolve_calls(samples, nodes, tokens), "call_text", "left")
+    at = samples.select("sample_id", "call_text").join(resolve_calls(samples, nodes), "call_text", "left")
     steps = at.join(closure, at["node_id"] == closure["descendant_id"], "left").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor_id"))).alias("p"))
     return steps.select("sample_id", F.array_join(F.transform(F.filter("p", lambda x: x["ancestor_id"].isNotNull()), lambda x: x["ancestor_id"].cast("string")), ">").alias("steps"))
 

@@ -204,13 +204,6 @@ def pdf_convolve_sub(fx):
     return rounded(out.where("mass > 1e-9"), "mass")
 
 
-@query(f"""WITH RECURSIVE x AS (SELECT DISTINCT node_id, name, {{'a': regexp_extract(name, '^[A-Z]+'), 'b': regexp_extract(name, '[0-9]+$')::BIGINT}} AS place FROM fx_node_variant n JOIN fx_variant v ON v.id = n.variant_id WHERE NOT ({PLACE}))""" + CLAIM)
-def name_private_nodes(fx):
-    """Placeholder nodes renamed to the lowest natural name of their branch's named SNPs."""
-    v = fx.variant.where(~dna.is_placeholder_name(F.col("name"))).select(F.col("id").alias("variant_id"), "name")
-    return curation.natural_sort_pick(fx.node_variant.select("node_id", "variant_id").join(v, "variant_id").select("node_id", "name"))
-
-
 MODAL_SET = "node_id", "marker"
 
 

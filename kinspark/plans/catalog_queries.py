@@ -345,18 +345,6 @@ def prefer_primary_source(fx):
     return similarity.prefer_primary_source(one.union(two))
 
 
-@query("""SELECT DISTINCT CASE WHEN o_custkey % 10 = 1 THEN o_custkey - 1 ELSE o_custkey END AS sample_id, o_orderstatus AS status FROM orders""")
-def merge_samples(fx):
-    rows = fx.table("orders").select(F.col("o_custkey").alias("sample_id"), F.col("o_orderstatus").alias("status"))
-    mapping = fx.table("customer").where("c_custkey % 10 = 1").select(F.col("c_custkey").alias("old"), (F.col("c_custkey") - 1).alias("new"))
-    return similarity.repoint(rows, "sample_id", mapping, ["sample_id", "status"])
-
-
-@query("""SELECT donor_id AS group_id, sample_id, first_value(sample_id) OVER w AS survivor, row_number() OVER w = 1 AS keeps FROM fx_sample WINDOW w AS (PARTITION BY donor_id ORDER BY CASE WHEN balance > 0 THEN 1 ELSE 0 END DESC, sample_id)""")
-def consolidate_donors(fx):
-    return similarity.consolidate_donors(fx.sample.select(F.col("donor_id").alias("group_id"), "sample_id", "nation", "balance"))
-
-
 @query(f"""SELECT c.node_id, c.marker, c.modal AS value, p.modal AS parent_value, c.modal <> p.modal AS changed FROM ({MODAL}) c JOIN fx_edge e ON c.node_id = e.child_id JOIN ({MODAL}) p ON p.node_id = e.parent_id AND p.marker = c.marker""")
 def str_branch_mutations(fx):
     return similarity.str_branch_mutations(reports.modal_haplotype(fx.str), fx.edge)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import ages, catalog, changes, curation, denovo, reports, strages, tree
 from .catalog_queries import RANK, SITE
 from .report_queries import MODAL, rounded
-from .tree_queries import CALLS, CLOSURE, TOKENS
+from .tree_queries import CALLS, CLOSURE, placed
 
 REGISTERED: dict = {}
 
@@ -189,7 +189,7 @@ def first(sql: str, order: str, name: str) -> str:
 ]))
 def triage_queues(fx):
     """The first hundred of each of a curator's five queues."""
-    unplaced = tree.place_samples(fx.sample, fx.node, TOKENS).where("status = 'UNPLACED'").join(fx.sample.select("sample_id", "call_text"), "sample_id")
+    unplaced = placed(fx).where("status = 'UNPLACED'")
     score = F.col("variant_id") * 7919 % 1000
     confidence = F.when(F.col("parent_id").isNotNull(), F.col("evidence"))
     return changes.triage_queues({

@@ -9,7 +9,7 @@ from ..operators import catalog, curation, intervals, reports, similarity, tree
 from ..sources import formats
 from .catalog_queries import PAIRS, SITE
 from .report_queries import MODAL, rounded
-from .tree_queries import CALLS, CLOSURE, TOKENS
+from .tree_queries import CALLS, CLOSURE, placed
 
 REGISTERED: dict = {}
 
@@ -174,13 +174,14 @@ def str_reconstruct(fx):
 @query(f"""SELECT s.sample_id, s.source, coalesce('N' || n.node_id::VARCHAR, s.call_text) AS call, coalesce(r.runs, 0) AS runs, round(r.d, 6) AS avg_depth FROM {CALLS} s LEFT JOIN fx_node n ON n.name = s.token AND s.source <> 'CITIZEN' LEFT JOIN (SELECT o_custkey, count(*) AS runs, avg(l_quantity) AS d FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1) r ON r.o_custkey = s.sample_id""")
 def sample_report(fx):
     runs = fx.table("orders").join(fx.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("sample_id"), F.col("l_quantity").alias("depth"))
-    return rounded(curation.sample_report(fx.sample, runs, tree.place_samples(fx.sample, fx.node, TOKENS)), "avg_depth")
+    return rounded(curation.sample_report(fx.sample, runs, placed(fx).select("sample_id", "node_id", "status")), "avg_depth")
 
 
 @query(f"""WITH s AS ({SITE}), k AS (SELECT DISTINCT s.position, s.canon, n.node_id FROM (SELECT DISTINCT node_id, variant_id FROM fx_node_variant) n JOIN s ON s.id = n.variant_id)
-    SELECT DISTINCT k.node_id, t.name AS candidate FROM k JOIN s t ON t.position = k.position AND t.canon = k.canon WHERE t.name IS NOT NULL AND t.name NOT LIKE 'chr%:%'""")
+    SELECT DISTINCT k.node_id, t.name AS candidate FROM k JOIN s t ON t.position = k.position AND t.canon = k.canon WHERE t.name IS NOT NULL AND t.name NOT LIKE '%:%' AND t.branch_id IS NULL
+    AND NOT EXISTS (SELECT 1 FROM fx_region r WHERE region_type IN ('heterochromatin', 'inverted_repeat') AND t.position BETWEEN r.start_pos AND r.end_pos)""")
 def private_node_names(fx):
-    return catalog.private_node_names(fx.node.select("node_id"), fx.node_variant.select("node_id", "variant_id"), fx.variant).select("node_id", "candidate")
+    return catalog.private_node_names(fx.node.select("node_id"), fx.node_variant.select("node_id", "variant_id"), fx.variant, fx.region).select("node_id", "candidate")
 
 
 @query("SELECT k.p_partkey AS id, k.p_name AS name, array_to_string(list_sort(list_filter(list_distinct([k.p_brand, d.p_type, d.p_name]), lambda x: x <> k.p_name)), ',') AS aliases FROM part k JOIN part d ON d.p_partkey = k.p_partkey + 1 WHERE k.p_partkey % 2 = 0")
@@ -198,11 +199,6 @@ def parse_str_token(fx):
     return fx.table("lineitem").withColumn("t", t).select("l_orderkey", "l_linenumber", "l_partkey", "t.kind", "t.repeats")
 
 
-@query("SELECT c_custkey AS sample_id, c_mktsegment AS dominant, CAST(round((c_custkey - (SELECT avg(c_custkey) FROM customer)) / (SELECT stddev_pop(c_custkey) FROM customer) / 0.5) AS INT) AS cx, CAST(round((c_nationkey - (SELECT avg(c_nationkey) FROM customer)) / (SELECT stddev_pop(c_nationkey) FROM customer) / 0.5) AS INT) AS cy FROM customer")
-def ancestry_blocks(fx):
-    return similarity.ancestry_blocks(fx.table("customer").select(F.col("c_custkey").alias("sample_id"), F.col("c_mktsegment").alias("dominant"), F.col("c_custkey").cast("double").alias("x"), F.col("c_nationkey").cast("double").alias("y")))
-
-
 
 
 

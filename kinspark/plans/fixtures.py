@@ -48,12 +48,12 @@ VIEWS = {
 }
 
 def _needs(sql: str) -> list[str]:
-    """Views that a text names, those that they name first."""
+    """Views that a text names, and before each those that it names itself."""
     found: list[str] = []
     for name in VIEWS:
         if re.search(rf"\b{name}\b", sql):
-            found.append(name)
-    return found
+            found += [*_needs(VIEWS[name]), name]
+    return list(dict.fromkeys(found))
 
 
 def oracle(sql: str) -> str:
@@ -77,9 +77,9 @@ class Fixtures:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
-        sql = VIEWS.get(f"fx_{name}")
-        if sql is None:
+        if f"fx_{name}" not in VIEWS:
             raise AttributeError(name)
+        sql = oracle(VIEWS[f"fx_{name}"])
         tables = [t for t in ("part", "customer", "orders", "lineitem", "supplier", "events", "documents") if re.search(rf"(?:FROM|JOIN) {t}\b", sql)]
         text = sql.replace("{", "{{").replace("}", "}}")
         for t in tables:

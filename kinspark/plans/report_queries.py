@@ -211,12 +211,6 @@ def count_checks(fx):
     return reports.count_checks([("orders", fx.table("orders"), fx.table("lineitem").select("l_orderkey").distinct()), ("parts", fx.table("part"), fx.table("part").where("p_size > 0"))])
 
 
-@query("""WITH alive AS (SELECT * FROM fx_claim WHERE NOT retracted), heads AS (SELECT * FROM alive WHERE claim_id NOT IN (SELECT supersedes FROM alive WHERE supersedes IS NOT NULL))
-    SELECT subject, scope, predicate, count(*) AS n, string_agg(DISTINCT val, '|' ORDER BY val) AS vals, CASE WHEN count(DISTINCT val) > 1 THEN 'DISPUTED' ELSE 'SETTLED' END AS status FROM heads GROUP BY 1, 2, 3""")
-def claim_fold(fx):
-    return reports.claim_fold(fx.claim)
-
-
 @query("""SELECT event_id, user_id FROM events WHERE ts + INTERVAL 20 DAY > TIMESTAMP '2024-01-31 00:00:00'""")
 def ttl_expire(fx):
     rows = fx.table("events").select("event_id", "user_id", (F.col("ts") + F.expr("INTERVAL 20 DAYS")).alias("expires_at"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import numbering, tree
+from ..operators import numbering, placement, tree
 
 REGISTERED: dict = {}
 
@@ -27,6 +27,12 @@ def closure(fx):
     return tree.tree_closure(fx.edge, fx.node)
 
 
+def placed(fx):
+    """Placements by the nodes' names alone, where none stood before."""
+    samples = fx.sample.withColumns({"deleted": F.lit(False), "denovo": F.lit(False)})
+    return placement.place_samples(samples, fx.spark.createDataFrame([], "sample_id long, node_id long, call_text string, status string"), fx.node.select("node_id", "name"))
+
+
 def numbers(fx):
     return numbering.tree_numbers(fx.edge, fx.node)
 
@@ -101,24 +107,14 @@ def recompute_backbone(fx):
     return numbering.recompute_backbone(numbers(fx), fx.node.where("node_id % 50 = 3"), fx.node.where("curated"))
 
 
-@query(f"SELECT DISTINCT c.call_text, n.node_id FROM {CALLS} c JOIN fx_node n ON n.name = c.token")
-def resolve_calls(fx):
-    return tree.resolve_calls(fx.sample, fx.node, TOKENS)
-
-
-@query(f"SELECT DISTINCT call_text, array_to_string(CASE WHEN call_text LIKE 'R > %' THEN [token, 'R'] ELSE [token] END, ',') AS tokens FROM {CALLS}")
+@query(f"SELECT DISTINCT call_text, array_to_string(CASE WHEN call_text LIKE 'R > %' THEN [token, 'R'] ELSE [] END, ',') AS tokens FROM {CALLS}")
 def normalize_haplogroup_call(fx):
     return fx.sample.select("call_text", F.array_join(TOKENS(F.col("call_text")), ",").alias("tokens")).distinct()
 
 
-@query(f"SELECT c.sample_id, n.node_id, CASE WHEN n.node_id IS NULL THEN 'UNPLACED' ELSE 'PLACED' END AS status FROM {CALLS} c LEFT JOIN fx_node n ON n.name = c.token WHERE source <> 'CITIZEN'")
-def place_samples(fx):
-    return tree.place_samples(fx.sample, fx.node, TOKENS)
-
-
 @query(CLOSURE + f"SELECT s.sample_id, coalesce(string_agg(c.ancestor_id::VARCHAR, '>' ORDER BY c.distance DESC), '') AS steps FROM {CALLS} s LEFT JOIN fx_node n ON n.name = s.token LEFT JOIN c ON c.descendant_id = n.node_id GROUP BY 1")
 def pathway(fx):
-    return tree.pathway(fx.sample, fx.node, closure(fx), TOKENS)
+    return tree.pathway(fx.sample, fx.node, closure(fx))
 
 
 
