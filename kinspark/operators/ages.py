@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tree import cut_lineage
+
 
 def log_poisson(t: Column, m: Column, rate: Column) -> Column:
     """ln of the Poisson likelihood in t, but for a constant: m ln(t rate) - t rate."""
@@ -155,64 +159,38 @@ def refined(child: np.ndarray, parent: np.ndarray, branch: np.ndarray, bins: int
     return implied if both is None else both
 
 
-def snp_age_propagate(branches: DataFrame, testers: DataFrame, resolution: float = 50.0, bins: int = 400) -> DataFrame:
+def snp_age_propagate(branches: DataFrame, testers: DataFrame, resolution: float = 50.0, bins: int = 400, size: int | None = None) -> DataFrame:
     """(node_id, mean, median, lo, hi, formed) of every node that descendants or testers date.
 
-    branches: (child_id, parent_id, snps, bp); testers: (node_id, snps, bp).  Upwards, a node's age
-    is the product over its children (their age and their branch's time) and its testers; evidence
-    that excludes itself leaves the node undated.  Downwards, the children of a node with two dated
-    ones or more are refined by its age less their branch's time.  formed is the median of the age
-    with the node's own branch added.  A round per level each way; a group upwards holds one
-    node's children, as arrays of `bins` masses, and downwards every child is a row.
+    branches: (child_id, parent_id, snps, bp), the least parent of a child; testers: (node_id,
+    snps, bp).  Upwards, a node's age is the product over its children (their age and their
+    branch's time) and its testers; evidence that excludes itself leaves the node undated.
+    Downwards, the children of a node with two dated ones or more are refined by its age less
+    their branch's time.  formed is the median of the age with the node's own branch added.
+    Subtrees of up to `size` nodes are worked whole (`agetree`); equal testers of a node count once,
+    with their number.
     """
-    from .tree import cut_lineage, node_depth, tree_closure
-
-    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        terms = []
-        for r in rows.itertuples(index=False):
-            rate = r.bp * SNP_RATE
-            if r.mass is None:
-                terms.append(tester_mass(int(r.snps), rate, resolution, bins))
-            else:
-                terms.append(convolved(np.asarray(r.mass), poisson_mass(int(r.snps), rate, resolution, bins), bins))
-        out = product(terms, bins)
-        return pd.DataFrame({"node_id": [key[0]], "mass": [out.tolist()]} if out is not None else {"node_id": [], "mass": []})
-
-    def refine(frames):
+    from . import agetree
+
+    def telling(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [
-                np.asarray(r.mass) if r.above is None else refined(np.asarray(r.mass), np.asarray(r.above), poisson_mass(int(r.snps), r.bp * SNP_RATE, resolution, bins), bins)
-                for r in frame.itertuples(index=False)]
-            yield pd.DataFrame({"node_id": frame["node_id"], "mass": [x.tolist() for x in out]})
+            rows = [(r.node_id, (r.n * agetree.to_logs(tester_mass(int(r.snps), r.bp * SNP_RATE, resolution, bins))).tolist()) for r in frame.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["node_id", "logs"])
 
-    def form(frames):
+    def lasting(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [convolved(np.asarray(r.mass), poisson_mass(int(r.snps), r.bp * SNP_RATE, resolution, bins), bins) for r in frame.itertuples(index=False)]
-            yield pd.DataFrame({"node_id": frame["node_id"], "mass": [x.tolist() for x in out]})
-
-    edges = cut_lineage(branches.select("child_id", "parent_id", F.col("snps").cast("long").alias("snps"), F.col("bp").cast("double").alias("bp")).distinct())
-    closed = tree_closure(edges.withColumn("valid_until", F.lit(None).cast("timestamp")))
-    depth = cut_lineage(node_depth(closed).union(testers.select("node_id", F.lit(0)).join(closed.select(F.col("descendant_id").alias("node_id")), "node_id", "left_anti")).distinct())
-    deepest = depth.agg(F.max("depth")).first()[0] or 0
-    own = testers.select("node_id", F.col("snps").cast("long").alias("snps"), F.col("bp").cast("double").alias("bp"), F.lit(None).cast("array<double>").alias("mass"))
-    levels: dict[int, DataFrame] = {}
-    for d in range(deepest, -1, -1):
-        rows = own.join(depth.where(F.col("depth") == d).select("node_id"), "node_id", "left_semi")
-        if d + 1 in levels:
-            up = levels[d + 1].withColumnRenamed("node_id", "child_id").join(edges, "child_id")
-            rows = rows.union(up.select(F.col("parent_id").alias("node_id"), "snps", "bp", "mass"))
-        levels[d] = cut_lineage(rows.groupBy("node_id").applyInPandas(join, "node_id long, mass array<double>"))
-    out = levels[0]
-    for d in range(1, deepest + 1):
-        here = levels[d].join(edges.withColumnRenamed("child_id", "node_id"), "node_id")
-        several = here.groupBy("parent_id").agg(F.count("*").alias("_n")).where("_n > 1").select("parent_id")
-        above = levels[d - 1].select(F.col("node_id").alias("parent_id"), F.col("mass").alias("above")).join(several, "parent_id", "left_semi")
-        levels[d] = cut_lineage(here.join(above, "parent_id", "left").select("node_id", "mass", "above", "snps", "bp").mapInPandas(refine, "node_id long, mass array<double>"))
-        out = out.union(levels[d])
-    own_branch = edges.select(F.col("child_id").alias("node_id"), "snps", "bp")
-    born = out.join(own_branch, "node_id", "left").select("node_id", "mass", F.coalesce("snps", F.lit(0)).alias("snps"), F.coalesce("bp", F.lit(1.0)).alias("bp"))
-    formed = born.mapInPandas(form, "node_id long, mass array<double>")
-    stats = [pdf_stats(t.select("node_id", F.posexplode("mass").alias("bin", "mass")), "node_id", resolution) for t in (out, formed)]
+            rows = [(r.node_id, poisson_mass(int(r.snps), r.bp * SNP_RATE, resolution, bins).tolist()) for r in frame.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["node_id", "branch"])
+
+    edges = cut_lineage(branches.select(F.col("child_id").cast("long").alias("child_id"), F.col("parent_id").cast("long").alias("parent_id"), F.col("snps").cast("long").alias("snps"), F.col("bp").cast("double").alias("bp")).distinct())
+    kinds = testers.select(F.col("node_id").cast("long").alias("node_id"), F.col("snps").cast("long").alias("snps"), F.col("bp").cast("double").alias("bp")).groupBy("node_id", "snps", "bp").agg(F.count("*").alias("n"))
+    tree = agetree.tree_rows(edges, kinds)
+    time = edges.groupBy(F.col("child_id").alias("node_id")).agg(F.min_by(F.struct("snps", "bp"), F.struct("parent_id", "snps", "bp")).alias("b")).select("node_id", "b.snps", "b.bp")
+    out = agetree.propagate(
+        tree, kinds.mapInPandas(telling, "node_id long, logs array<double>"), time.mapInPandas(lasting, "node_id long, branch array<double>"), lambda x, y: convolved(x, y, bins),
+        size or agetree.SIZE, lambda child, parent, branch: refined(child, parent, branch, bins))
+    out = cut_lineage(out)
+    stats = [pdf_stats(out.select("node_id", F.posexplode(c).alias("bin", "mass")), "node_id", resolution) for c in ("mass", "formed")]
     return stats[0].join(stats[1].select("node_id", F.col("median").alias("formed")), "node_id").select("node_id", "mean", "median", "lo", "hi", "formed")
 
 

@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ages
+from . import ages, agetree
 from .similarity import combine_inverse_variance
-from .tree import current_rows, cut_lineage, node_depth, tree_closure
+from .tree import current_rows, cut_lineage, tree_closure
 
 GENERATION = 33.0
 MOST_MUTATIONS = 40
@@ -103,41 +103,29 @@ def motif_pair_age(pairs: DataFrame, marker_ages: DataFrame, key: str) -> DataFr
     return ages.normalised(logs.join(need, key).where("_c = _n"), key, "lw")
 
 
-def str_propagate(motifs: DataFrame, edges: DataFrame, testers: DataFrame, marker_ages: DataFrame, resolution: float, bins: int) -> DataFrame:
+def str_propagate(motifs: DataFrame, edges: DataFrame, testers: DataFrame, marker_ages: DataFrame, resolution: float, bins: int, size: int = agetree.SIZE) -> DataFrame:
     """(node_id, bin, mass): the age of each node that testers below it date, from its children up.
 
     motifs: reconstructed (node_id, marker, value); testers: (node_id, sample_id, marker,
     repeats); marker_ages: (marker, g, bin, mass).  A node's age is the product of its children's
     ages, each with the time between the child's and its own motif added, and of its testers'
     times to its motif.  A child that shares no marker adds no time.  All branch and tester times
-    are made at once; then a round for each level.  Evidence that excludes itself dates nothing.
+    are made at once; then subtrees of up to `size` nodes are worked whole (`agetree`).  Evidence
+    that excludes itself dates nothing; of several parents the least counts.
     """
     marker_ages = cut_lineage(marker_ages)
     motifs = cut_lineage(motifs.select("node_id", "marker", "value"))
-    links = cut_lineage(current_rows(edges).select("child_id", "parent_id").distinct())
+    links = cut_lineage(current_rows(edges).where("child_id <> parent_id").groupBy(F.col("child_id").cast("long").alias("child_id")).agg(F.min("parent_id").cast("long").alias("parent_id")))
     child = motifs.select(F.col("node_id").alias("child_id"), "marker", F.col("value").alias("a"))
     above = motifs.select(F.col("node_id").alias("parent_id"), "marker", F.col("value").alias("b"))
     pairs = child.join(links, "child_id").join(above, ["parent_id", "marker"]).select("child_id", "marker", F.abs(F.col("a") - F.col("b")).cast("int").alias("g"))
-    branch = cut_lineage(motif_pair_age(pairs, marker_ages, "child_id"))
-    tips = testers.join(motifs, ["node_id", "marker"]).select("node_id", "marker", F.abs(F.col("repeats") - F.col("value")).cast("int").alias("g"))
-    own = cut_lineage(motif_pair_age(tips, marker_ages, "node_id").withColumn("part", F.lit(-1).cast("long")))
-    tree = links.withColumn("valid_until", F.lit(None).cast("timestamp"))
-    depth = node_depth(tree_closure(tree))
-    depth = cut_lineage(depth.union(own.select("node_id").distinct().join(depth, "node_id", "left_anti").withColumn("depth", F.lit(0))))
-    deepest = depth.agg(F.max("depth")).first()[0] or 0
-    below = out = None
-    for d in range(deepest, -1, -1):
-        here = depth.where(F.col("depth") == d).select("node_id")
-        rows = own.join(here, "node_id", "left_semi").select("node_id", "part", "bin", "mass")
-        if below is not None:
-            old = below.withColumnRenamed("node_id", "child_id")
-            moved = ages.pdf_convolve(old.join(branch.select("child_id").distinct(), "child_id", "left_semi"), branch.join(old.select("child_id").distinct(), "child_id", "left_semi"), "child_id", bins)
-            still = old.join(branch.select("child_id").distinct(), "child_id", "left_anti").select("child_id", "bin", "mass")
-            up = moved.unionByName(still).join(links, "child_id")
-            rows = rows.union(up.select(F.col("parent_id").alias("node_id"), F.col("child_id").alias("part"), "bin", "mass"))
-        below = cut_lineage(ages.pdf_multiply(cut_lineage(rows), "node_id", "part"))
-        out = below if out is None else out.union(below)
-    return out
+    branch = agetree.arrays(motif_pair_age(pairs, marker_ages, "child_id"), "child_id", bins, "branch").select(F.col("child_id").alias("node_id"), "branch")
+    tips = testers.join(motifs, ["node_id", "marker"]).select(F.col("node_id").cast("long").alias("node_id"), "marker", F.abs(F.col("repeats") - F.col("value")).cast("int").alias("g"))
+    own = cut_lineage(agetree.arrays(motif_pair_age(tips, marker_ages, "node_id"), "node_id", bins, "mass"))
+    impossible = F.lit(float("-inf"))
+    logs = own.select("node_id", F.transform("mass", lambda x: F.when(x > 0, F.log(x)).otherwise(impossible)).alias("logs"))
+    out = agetree.propagate(agetree.tree_rows(links, own), logs, branch, lambda x, y: ages.convolved(x, y, bins), size)
+    return agetree.masses(cut_lineage(out), "mass")
 
 
 def str_signatures(modal: DataFrame, manual: DataFrame) -> DataFrame:
