@@ -118,11 +118,17 @@ def propagate(tree: DataFrame, evidence: DataFrame, branch: DataFrame, convolve:
     branch = cut_lineage(branch.select("node_id", "branch"))
     logs = cut_lineage(pooled(evidence))
     left, rounds = tree, []
-    while not left.isEmpty():
-        here = _cut(tree, left, size)
+    while True:
+        n = left.count()
+        if not n:
+            break
+        # what fits one group need not be cut
+        here = cut_lineage(left.select("node_id", "parent_id", "depth", F.lit(0).cast("long").alias("group"))) if n <= size else _cut(tree, left, size)
         rows = here.join(logs, "node_id", "left").join(branch, "node_id", "left")
         worked = cut_lineage(rows.groupBy("group").applyInPandas(up, "node_id long, mass array<double>, told array<double>"))
         rounds.append((here, worked.where("mass IS NOT NULL").select("node_id", "mass")))
+        if n <= size:
+            break
         left = cut_lineage(left.join(here.select("node_id"), "node_id", "left_anti"))
         sent = worked.where("told IS NOT NULL").join(here, "node_id").select(F.col("parent_id").alias("node_id"), F.col("told").alias("logs"))
         logs = cut_lineage(pooled(logs.join(left.select("node_id"), "node_id", "left_semi").unionByName(sent)))

@@ -114,12 +114,6 @@ def private_node_names(nodes: DataFrame, links: DataFrame, variants: DataFrame,
     return sites.join(named, ["c", "position", "canon"]).select("node_id", "candidate").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("node_id").orderBy(dna.natural_key(F.col("candidate")))))
 
 
-def search_variants(variants: DataFrame, query: str) -> DataFrame:
-    """Three letters and more: within name or aliases; fewer: the name's start."""
-    text = F.concat_ws(" ", F.col("name"), F.array_join(F.array_sort("aliases"), " "))
-    return variants.where(F.lower(text).contains(query.lower()) if len(query) >= 3 else F.lower("name").startswith(query.lower()))
-
-
 def variant_branches(links: DataFrame, variants: DataFrame) -> DataFrame:
     """(variant id, branch) directly or through any row of the same site."""
     s = with_site(variants).select("id", "c", "position", "canon")

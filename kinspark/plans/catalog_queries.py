@@ -86,12 +86,6 @@ def alias_search_text(fx):
     return fx.variant.select("id", F.concat_ws(" ", F.array_sort(aliases)).alias("t"))
 
 
-@query("SELECT id, name FROM fx_variant WHERE lower(name) LIKE '%cts1%'")
-def search_variants(fx):
-    rows = fx.variant.withColumn("aliases", F.array().cast("array<string>"))
-    return catalog.search_variants(rows, "CTS1").select("id", "name")
-
-
 MIRROR = "SELECT id, name, contig, position, anc, der FROM fx_variant WHERE id % 2 = 0"
 KNOWN = "SELECT * FROM fx_variant WHERE id % 2 <> 0"
 

@@ -1,10 +1,10 @@
-"""Queries of placements, sample and donor merges, claim views, ancestry blocks and node names."""
+"""Queries of placements, sample and donor merges, claim views, ancestry blocks, node names and searches."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import curation, merges, placement, reports, similarity
+from ..operators import curation, merges, placement, reports, search, similarity
 from .catalog_queries import SITE
 from .curation_queries import CLAIM
 from .fixtures import VIEWS
@@ -182,3 +182,23 @@ def name_private_nodes(fx):
     """Placeholder nodes renamed to their clade's letter and the lowest free name of a catalog SNP on their sites."""
     out = curation.name_private_nodes(fx.private_node, fx.node_variant.select("node_id", "variant_id").distinct(), fx.variant, fx.region)
     return out.where("was IS NOT NULL").select("node_id", F.concat("dna_type", F.lit("/"), "name").alias("name"))
+
+
+# ------------------------------------------------------------------ searches
+
+VIEWS["fx_listed"] = f"""SELECT id, name, 'rs' || {s('id * 7')} AS alias, id % 5 <> 0 AND name IS NOT NULL AS representative FROM fx_variant"""
+VIEWS["fx_term"] = f"""SELECT id AS query_id, CASE id % 5 WHEN 0 THEN ' ' || lower(name) || ' ' WHEN 1 THEN substr(name, 2, 3) WHEN 2 THEN substr(name, 1, 1) WHEN 3 THEN 'S' || {s('id')} ELSE lower(substr(name, 1, 2)) END AS term FROM fx_variant WHERE id % 20 < 2 AND name IS NOT NULL"""
+VIEWS["fx_phrase"] = """SELECT p_partkey AS query_id, CASE p_partkey % 4 WHEN 0 THEN 'LICENSE' WHEN 1 THEN 'copyright ' WHEN 2 THEN 'src' || CAST(p_partkey % 20 AS VARCHAR(20)) ELSE 'zqx' END AS term FROM part WHERE p_partkey % 50 < 4"""
+
+
+@query("""WITH t AS (SELECT query_id, lower(trim(term)) AS term FROM fx_term), h AS (SELECT t.query_id, v.id, v.name FROM t JOIN fx_listed v ON v.representative AND CASE WHEN length(term) >= 3 THEN contains(lower(v.name), term) OR contains(lower(v.alias), term) WHEN term <> '' THEN starts_with(lower(v.name), term) END)
+    SELECT query_id, count(*) OVER (PARTITION BY query_id) AS total, row_number() OVER (PARTITION BY query_id ORDER BY name, id)::INT AS rank, id, name FROM h QUALIFY rank BETWEEN 11 AND 20""")
+def search_variants(fx):
+    """The second ten hits of each of many searches over names and aliases."""
+    return search.search_variants(fx.listed.withColumn("aliases", F.array("alias")), fx.term, 2, 10)
+
+
+@query("""WITH t AS (SELECT query_id, lower(trim(term)) AS term FROM fx_phrase), d AS (SELECT id, lower(title) AS a, lower(coalesce(body, '')) AS b FROM fx_text) SELECT query_id, id FROM t JOIN d ON contains(a, term) OR contains(b, term)""")
+def search_publications(fx):
+    """Every hit of many searches over titles and whole texts."""
+    return search.search_publications(fx.text.select("id", "title", "body"), fx.phrase)

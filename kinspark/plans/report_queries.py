@@ -274,11 +274,6 @@ def pii_scan(fx):
     return fx.text.select("id", scalars.has_pii(F.col("body")).alias("pii"))
 
 
-@query("""SELECT id, title, n_chars FROM fx_text WHERE body ILIKE '%license%'""")
-def search_publications(fx):
-    return fx.text.where(F.col("body").ilike("%license%")).select("id", "title", "n_chars").orderBy(F.desc_nulls_last("n_chars"), F.desc("id"))
-
-
 @query("""SELECT id, array_to_string(regexp_split_to_array(body, '\\s+'), ' ') AS abstract FROM fx_text""")
 def rebuild_abstract(fx):
     """An abstract from its inverted index: word and positions back to text."""
