@@ -41,7 +41,7 @@ def test_star_age_is_the_product_of_marker_ages(spark):
     r = strages.str_star_age(testers, modal, strages.str_marker_age(g, strages.str_step_table(spark), ["marker"], res, bins), res).first()
     p = strages.folded(strages.step_shares(), 0.5, strages.MOST_MUTATIONS, 10)
     p[:11, :11] = np.array(strages.PUBLISHED).T
-    mass = {d: sum(p[m, d] * (ages.poisson_mass(m, 0.003 / 33, res, bins) if m else np.exp(-np.arange(bins) * res * 0.003 / 33) / np.exp(-np.arange(bins) * res * 0.003 / 33).sum()) for m in range(strages.MOST_MUTATIONS + 1) if p[m, d] > 1e-9) for d in (0, 1, 2)}
+    mass = {d: sum(p[m, d] * (ages.poisson_mass(m, 0.003 / 33, res, bins) if m else np.exp(-np.arange(bins) * res * 0.003 / 33) / np.exp(-np.arange(bins) * res * 0.003 / 33).sum()) for m in range(strages.MOST + 1) if p[m, d] > 1e-9) for d in (0, 1, 2)}
     want = mass[0] * mass[1] * mass[2] * mass[0]
     want /= want.sum()
     assert r["mean"] == pytest.approx((want * np.arange(bins)).sum() * res, rel=1e-6)
