@@ -273,3 +273,27 @@ def name_private_nodes(nodes: DataFrame, links: DataFrame, variants: DataFrame,
     both = nodes.join(picked, "node_id", "left")
     new = F.expr("substring(_new, length(dna_type) + 2)")
     return both.select("node_id", "dna_type", F.coalesce(new, "name").alias("name"), "valid_until", F.when(F.col("_new").isNotNull(), F.col("name")).alias("was"))
+
+
+def ingest_if_absent(stored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """(..., origin): stored rows, and those new rows whose key nothing is stored for; all rows of such a key come in.  Null keys are not taken in."""
+    fresh = rows.where(F.col(key).isNotNull()).join(stored.select(key).distinct(), key, "left_anti")
+    return stored.withColumn("origin", F.lit("STORED")).unionByName(fresh.select(*stored.columns).withColumn("origin", F.lit("INGESTED")))
+
+
+def uncurated_only(stored: DataFrame, computed: DataFrame, keys: list[str], owned: list[str]) -> DataFrame:
+    """Stored rows (keys, status, ...) after the engine's: it writes new keys, and those whose status is one of its own.
+
+    A row with any other status is a curator's decision and stays, whatever was computed; a null
+    status is nobody's decision.  Stored rows that nothing was computed for stay too.
+    """
+    engine = F.coalesce(F.col("status").isin(owned), F.lit(True))
+    decided = stored.where(~engine)
+    written = computed.join(decided.select(*keys), keys, "left_anti").select(*stored.columns)
+    untouched = stored.where(engine).join(computed.select(*keys), keys, "left_anti")
+    return decided.unionByName(untouched).unionByName(written)
+
+
+def unlinked_subjects(subjects: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Subjects (subject, ...) that no anchor (subject) names; a null subject has none."""
+    return subjects.join(anchors.select("subject").distinct(), "subject", "left_anti")

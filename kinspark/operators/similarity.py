@@ -216,8 +216,22 @@ def merge_overwrite(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
     return merge_rows(old, new, keys, True)
 
 
-def merge_gap_fill(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return merge_rows(old, new, keys, False)
+def merge_gap_fill(old: DataFrame, new: DataFrame, keys: list[str], unique: str | None = None) -> DataFrame:
+    """Old rows with their gaps filled from new ones, and new rows.
+
+    `unique`: a column in which no value may come twice, as a DOI.  A value that an old row has is
+    not given to another, and one that several rows would get goes to the first of them by key;
+    the others are left without.
+    """
+    out = merge_rows(old, new, keys, False)
+    if unique is None:
+        return out
+    held = old.where(F.col(unique).isNotNull()).select(*keys, F.lit(True).alias("_own"))
+    marked = out.join(held, keys, "left").withColumn("_own", F.coalesce("_own", F.lit(False)))
+    first = F.row_number().over(Window.partitionBy(unique).orderBy(F.desc("_own"), *keys))
+    ranked = marked.where(F.col(unique).isNotNull()).withColumn("_n", first)
+    fine = ranked.withColumn(unique, F.when(F.col("_own") | (F.col("_n") == 1), F.col(unique))).drop("_n")
+    return fine.unionByName(marked.where(F.col(unique).isNull())).drop("_own").select(*out.columns)
 
 
 def snapshot_delta(today: DataFrame, before: DataFrame) -> DataFrame:

@@ -342,15 +342,3 @@ def prefer_primary_source(fx):
 @query(f"""SELECT c.node_id, c.marker, c.modal AS value, p.modal AS parent_value, c.modal <> p.modal AS changed FROM ({MODAL}) c JOIN fx_edge e ON c.node_id = e.child_id JOIN ({MODAL}) p ON p.node_id = e.parent_id AND p.marker = c.marker""")
 def str_branch_mutations(fx):
     return similarity.str_branch_mutations(reports.modal_haplotype(fx.str), fx.edge)
-
-
-
-@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
-def ingest_if_absent(fx):
-    o = fx.table("orders")
-    return o.join(o.where("o_orderstatus = 'P'").select("o_custkey").distinct(), "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
-
-
-@query("""SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
-def uncurated_only(fx):
-    return fx.table("orders").join(fx.table("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey", "o_orderstatus")

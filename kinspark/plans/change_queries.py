@@ -199,10 +199,10 @@ def triage_queues(fx):
     })
 
 
-@query("WITH i AS (SELECT * FROM fx_str WHERE repeats > 5), n AS (SELECT s.sample_id, count(*) AS had, (SELECT count(*) FROM i WHERE i.sample_id = s.sample_id) AS got FROM fx_str s WHERE marker <= 4 GROUP BY 1) SELECT s.sample_id, marker, repeats, 'STORED' AS origin FROM fx_str s JOIN n ON n.sample_id = s.sample_id WHERE marker <= 4 AND NOT (got > 0 AND got >= had) UNION ALL SELECT i.sample_id, marker, repeats, 'IMPORTED' FROM i LEFT JOIN n ON n.sample_id = i.sample_id WHERE n.sample_id IS NULL OR (got > 0 AND got >= had)")
+@query("WITH i AS (SELECT * FROM fx_str WHERE repeats > 5 OR marker > 4), n AS (SELECT s.sample_id, count(*) AS had, (SELECT count(*) FROM i WHERE i.sample_id = s.sample_id) AS got FROM fx_str s WHERE marker <= 4 GROUP BY 1) SELECT s.sample_id, marker, repeats, 'STORED' AS origin FROM fx_str s JOIN n ON n.sample_id = s.sample_id WHERE marker <= 4 AND NOT (got > 0 AND got >= had) UNION ALL SELECT i.sample_id, marker, repeats, 'IMPORTED' FROM i LEFT JOIN n ON n.sample_id = i.sample_id WHERE n.sample_id IS NULL OR (got > 0 AND got >= had)")
 def keep_most_complete(fx):
     """Profiles of a first panel, and an import that replaces those that it doesn't shorten."""
-    return changes.keep_most_complete(fx.str.where("marker <= 4").select("sample_id", "marker", "repeats"), fx.str.where("repeats > 5").select("sample_id", "marker", "repeats"))
+    return changes.keep_most_complete(fx.str.where("marker <= 4").select("sample_id", "marker", "repeats"), fx.str.where("repeats > 5 OR marker > 4").select("sample_id", "marker", "repeats"))
 
 
 @query(f"""WITH s AS ({SITE}), r AS (SELECT id, branch_id IS NOT NULL AS scoped, CASE WHEN name LIKE 'chr%' THEN 50 ELSE {RANK.format('name')} END AS rank, position, canon FROM s WHERE name IS NOT NULL),

@@ -202,3 +202,42 @@ def search_variants(fx):
 def search_publications(fx):
     """Every hit of many searches over titles and whole texts."""
     return search.search_publications(fx.text.select("id", "title", "body"), fx.phrase)
+
+
+# ------------------------------------------------------------------ what automation may write
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'O'), n AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'O')
+    SELECT o_orderkey, o_custkey, 'STORED' AS origin FROM s UNION ALL SELECT o_orderkey, o_custkey, 'INGESTED' FROM n WHERE o_custkey NOT IN (SELECT o_custkey FROM s)""")
+def ingest_if_absent(fx):
+    """Libraries of samples that have none yet; both sides together are all orders."""
+    o = fx.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return curation.ingest_if_absent(o.where("o_orderstatus <> 'O'").drop("o_orderstatus"), o.where("o_orderstatus = 'O'").drop("o_orderstatus"), "o_custkey")
+
+
+STORED = "SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'CONFIRMED' WHEN 1 THEN 'DISMISSED' WHEN 2 THEN 'CANDIDATE' WHEN 3 THEN 'PENDING' END AS status, 0 AS score FROM orders"
+COMPUTED = "SELECT l_orderkey + l_linenumber % 2 * 1000000 AS k, 'CANDIDATE' AS status, CAST(count(*) AS INT) AS score FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1"
+VIEWS["fx_stored"], VIEWS["fx_computed"] = STORED, COMPUTED
+
+
+@query("""SELECT coalesce(c.k, s.k) AS k, CASE WHEN s.status IN ('CONFIRMED', 'DISMISSED') OR c.k IS NULL THEN s.status ELSE c.status END AS status, CASE WHEN s.status IN ('CONFIRMED', 'DISMISSED') OR c.k IS NULL THEN s.score ELSE c.score END AS score FROM fx_stored s FULL JOIN fx_computed c ON s.k = c.k""")
+def uncurated_only(fx):
+    """Candidates computed anew; what a curator decided stays."""
+    return curation.uncurated_only(fx.stored, fx.computed, ["k"], ["CANDIDATE", "PENDING"])
+
+
+@query("SELECT c_custkey AS subject FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
+def unlinked_subjects(fx):
+    """Customers that no event names."""
+    return curation.unlinked_subjects(fx.table("customer").select(F.col("c_custkey").alias("subject")), fx.table("events").select(F.col("user_id").alias("subject")))
+
+
+VIEWS["fx_work"] = f"""SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN '10.1/' || {s('p_partkey')} END AS doi, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS title FROM part"""
+VIEWS["fx_work_found"] = f"""SELECT p_partkey AS k, '10.1/' || {s('p_partkey - p_partkey % 6')} AS doi, 'found ' || p_name AS title FROM part"""
+
+
+@query("""WITH b AS (SELECT k, o.doi AS own, coalesce(o.doi, n.doi) AS doi, coalesce(o.title, n.title) AS title FROM fx_work o FULL JOIN fx_work_found n USING (k))
+    SELECT k, CASE WHEN own IS NOT NULL OR row_number() OVER (PARTITION BY doi ORDER BY own IS NULL, k) = 1 THEN doi END AS doi, title FROM b""")
+def merge_gap_fill_unique(fx):
+    """Gaps filled from what was found, but for a DOI that another work has."""
+    return similarity.merge_gap_fill(fx.work, fx.work_found, ["k"], "doi")

@@ -297,11 +297,6 @@ def coverage_run_lab_join(fx):
     return rows.select("run_id", "contig", F.coalesce("lab", "facility").alias("vendor"), "test_type", "site")
 
 
-@query("""SELECT c_custkey AS subject FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0)""")
-def unlinked_subjects(fx):
-    return fx.table("customer").select(F.col("c_custkey").alias("subject")).join(fx.table("orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("subject")), "subject", "left_anti")
-
-
 @query("""SELECT sample_id, population, pct FROM (SELECT sample_id, population, round(100 * quantity / sum(quantity) OVER (PARTITION BY sample_id), 6) AS pct, row_number() OVER (PARTITION BY sample_id ORDER BY quantity DESC, population) AS rn FROM fx_share) WHERE rn = 1""")
 def latest_per_key(fx):
     """The dominant population of each sample."""

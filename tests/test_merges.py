@@ -135,3 +135,20 @@ def test_one_key_over_many_ranges(spark):
         assert sum(r["e"] - r["s"] for r in left) == sum(max(0, min(e, 8000) - max(s, 6000)) for k, s, e in want if k == "k")
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_what_automation_may_write(spark):
+    stored = spark.createDataFrame([(1, "CONFIRMED", 5), (2, "CANDIDATE", 5), (3, None, 5), (4, "CANDIDATE", 5)], "k long, status string, score int")
+    computed = spark.createDataFrame([(1, "CANDIDATE", 9), (2, "CANDIDATE", 9), (3, "CANDIDATE", 9), (7, "CANDIDATE", 9)], "k long, status string, score int")
+    assert {tuple(r) for r in curation.uncurated_only(stored, computed, ["k"], ["CANDIDATE"]).collect()} == {(1, "CONFIRMED", 5), (2, "CANDIDATE", 9), (3, "CANDIDATE", 9), (4, "CANDIDATE", 5), (7, "CANDIDATE", 9)}
+    have = spark.createDataFrame([("a", 1), (None, 2)], "sample string, file long")
+    more = spark.createDataFrame([("a", 3), ("b", 4), ("b", 5), (None, 6)], "sample string, file long")
+    assert {(r["sample"], r["file"], r["origin"]) for r in curation.ingest_if_absent(have, more, "sample").collect()} == {("a", 1, "STORED"), (None, 2, "STORED"), ("b", 4, "INGESTED"), ("b", 5, "INGESTED")}
+    people_ = spark.createDataFrame([("x",), ("y",), (None,)], "subject string")
+    assert {r[0] for r in curation.unlinked_subjects(people_, spark.createDataFrame([("x",), (None,)], "subject string")).collect()} == {"y", None}
+
+
+def test_gap_fill_keeps_values_unique(spark):
+    old = spark.createDataFrame([(1, "d1"), (2, None), (3, None), (4, None), (5, "d5")], "k long, doi string")
+    new = spark.createDataFrame([(1, "zz"), (2, "d1"), (3, "d9"), (4, "d9"), (6, "d5"), (7, None)], "k long, doi string")
+    assert {tuple(r) for r in similarity.merge_gap_fill(old, new, ["k"], "doi").collect()} == {(1, "d1"), (2, None), (3, "d9"), (4, None), (5, "d5"), (6, None), (7, None)}
