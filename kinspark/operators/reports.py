@@ -166,10 +166,24 @@ def feed_listing(posts: DataFrame, replies: DataFrame, scores: DataFrame) -> Dat
     return posts.join(n, "post_id", "left").join(scores, "post_id", "left").fillna(0, ["replies", "score"]).orderBy(F.desc("pinned"), F.desc("posted"), "post_id")
 
 
-def thread_inbox(messages: DataFrame) -> DataFrame:
-    """Per conversation: turns, who spoke last, and whether an answer is due."""
-    last = messages.groupBy("conv_id").agg(F.count("*").alias("turns"), F.max_by("role", "turn").alias("last_role"))
-    return last.withColumn("awaits_reply", F.col("last_role") == "user")
+def thread_inbox(threads: DataFrame, messages: DataFrame) -> DataFrame:
+    """(conv_id, status, messages, last_at, unread_user, unread_team) of every thread that isn't deleted.
+
+    threads: (conv_id, closed, deleted, user_read, team_read), the times of last reading, null for
+    never; messages: (conv_id, from_team, at).  A thread is closed, else replied if its last message
+    is the team's (of two at one time the team's counts as last), else open.  A side has something
+    unread where the other one wrote after it last read.
+    """
+    team = F.col("from_team")
+    told = messages.groupBy("conv_id").agg(
+        F.count("*").alias("messages"), F.max("at").alias("last_at"), F.max_by("from_team", F.struct("at", "from_team")).alias("_team"), F.max(F.when(team, F.col("at"))).alias("_by_team"), F.max(F.when(~team, F.col("at"))).alias("_by_user"))
+    rows = threads.where(~F.coalesce("deleted", F.lit(False))).join(told, "conv_id", "left")
+
+    def unread(written: str, read: str) -> Column:
+        return F.col(written).isNotNull() & (F.col(read).isNull() | (F.col(written) > F.col(read)))
+
+    status = F.when(F.coalesce("closed", F.lit(False)), "closed").when(F.col("_team"), "replied").otherwise("open")
+    return rows.select("conv_id", status.alias("status"), F.coalesce("messages", F.lit(0)).alias("messages"), "last_at", unread("_by_team", "user_read").alias("unread_user"), unread("_by_user", "team_read").alias("unread_team"))
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:

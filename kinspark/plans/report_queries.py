@@ -188,9 +188,15 @@ def feed_listing(fx):
     return reports.feed_listing(posts, fx.table("lineitem").select(F.col("l_orderkey").alias("post_id")), scores).select("post_id", "pinned", "replies")
 
 
-@query("""SELECT conv_id, count(*) AS turns, arg_max(role, turn) AS last_role, arg_max(role, turn) = 'user' AS awaits_reply FROM conversations GROUP BY conv_id""")
+@query("""WITH t AS (SELECT conv_id, max(length(text)) % 5 = 0 AS closed, max(length(text)) % 11 = 0 AS deleted, CASE WHEN max(length(text)) % 3 > 0 THEN max(turn) - max(length(text)) % 3 END AS user_read, CASE WHEN max(length(text)) % 4 > 0 THEN max(turn) - max(length(text)) % 4 + 1 END AS team_read,
+        count(*) AS messages, max(turn) AS last_at, max(CASE WHEN role <> 'user' THEN turn END) AS bt, max(CASE WHEN role = 'user' THEN turn END) AS bu FROM conversations GROUP BY 1)
+    SELECT conv_id, CASE WHEN closed THEN 'closed' WHEN bt >= coalesce(bu, bt) THEN 'replied' ELSE 'open' END AS status, messages, last_at, bt IS NOT NULL AND (user_read IS NULL OR bt > user_read) AS unread_user, bu IS NOT NULL AND (team_read IS NULL OR bu > team_read) AS unread_team FROM t WHERE NOT coalesce(deleted, FALSE)""")
 def thread_inbox(fx):
-    return reports.thread_inbox(fx.table("conversations"))
+    """Every conversation, with what either side has not read; times of reading are made from the longest text."""
+    c = fx.table("conversations")
+    long, last = F.max(F.length("text")), F.max("turn")
+    threads = c.groupBy("conv_id").agg((long % 5 == 0).alias("closed"), (long % 11 == 0).alias("deleted"), F.when(long % 3 > 0, last - long % 3).alias("user_read"), F.when(long % 4 > 0, last - long % 4 + 1).alias("team_read"))
+    return reports.thread_inbox(threads, c.select("conv_id", (F.col("role") != "user").alias("from_team"), F.col("turn").alias("at")))
 
 
 @query("""SELECT p_partkey, p_name, (SELECT count(*) FROM part) AS total FROM part ORDER BY p_name, p_partkey LIMIT 200 OFFSET 200""")

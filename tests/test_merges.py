@@ -152,3 +152,10 @@ def test_gap_fill_keeps_values_unique(spark):
     old = spark.createDataFrame([(1, "d1"), (2, None), (3, None), (4, None), (5, "d5")], "k long, doi string")
     new = spark.createDataFrame([(1, "zz"), (2, "d1"), (3, "d9"), (4, "d9"), (6, "d5"), (7, None)], "k long, doi string")
     assert {tuple(r) for r in similarity.merge_gap_fill(old, new, ["k"], "doi").collect()} == {(1, "d1"), (2, None), (3, "d9"), (4, None), (5, "d5"), (6, None), (7, None)}
+
+
+def test_inbox_of_both_sides(spark):
+    threads = spark.createDataFrame([(1, False, False, 5, 5), (2, None, None, None, None), (3, True, False, 1, 9), (4, False, True, 1, 1), (5, False, False, None, None), (6, False, False, 7, 7)], "conv_id long, closed boolean, deleted boolean, user_read long, team_read long")
+    messages = spark.createDataFrame([(1, False, 3), (1, True, 6), (2, True, 1), (2, False, 2), (3, True, 2), (4, True, 2), (6, False, 7), (6, True, 7), (9, True, 1)], "conv_id long, from_team boolean, at long")
+    got = {r["conv_id"]: tuple(r)[1:] for r in reports.thread_inbox(threads, messages).collect()}
+    assert got == {1: ("replied", 2, 6, True, False), 2: ("open", 2, 2, True, True), 3: ("closed", 1, 2, True, False), 5: ("open", 0, None, False, False), 6: ("replied", 2, 7, False, False)}
