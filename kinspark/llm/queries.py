@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pii_key(spark: SparkSession) -> str:
-    """The session's key; the synthetic tables, which hold nobody's data, get a published one."""
+    """The session's key; the registered query, whose synthetic tables hold nobody's data, has a published one without."""
     return spark.conf.get(pii.KEY_SETTING, "synthetic tables only")
 
 
