@@ -10,12 +10,14 @@ repeated ids don't make unlike rows one; an empty table stays empty.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinspark.llm import decontam, langid, packing, pii, simhash
 from kinspark.llm.common import write_table
-from kinspark.llm.queries import pii_key, tokenizer
+from kinspark.llm.queries import tokenizer
 
 #: No SQL can express the trained, hashed and searched stages; tests compare run() with a brute-force version.
 ORACLE_SQL = None
@@ -46,8 +48,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal numbers, dates, addresses and secrets replaced by pseudonyms of the same format."""
-    changed = pii.pseudonymise(docs.select(F.struct(*docs.columns).alias("row"), "text"), key=pii_key(spark))
+    """Personal numbers, dates, addresses and secrets replaced by pseudonyms of the same format.
+
+    The key is the session's.  Where it has none, one is drawn that is kept nowhere: pseudonyms
+    are then linked within this call alone, and nobody can undo them.
+    """
+    key = spark.conf.get(pii.KEY_SETTING, None) or secrets.token_hex(32)
+    changed = pii.pseudonymise(docs.select(F.struct(*docs.columns).alias("row"), "text"), key=key)
     row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
         n_chars = F.when(F.col("n_pii") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
