@@ -54,8 +54,11 @@ PATTERNS = {
 ANY = "|".join(f"({p})" for p in PATTERNS.values())
 # Around and within a match.  ESCAPE in a text gets HELD behind it, so that EDGE is nowhere else; no pattern matches either.
 ESCAPE, HELD, EDGE, FIELD = "\x01", "\x01\x02", "\x01\x03", "\x02"
-#: Without one of these characters nothing can match.
-HINT = r"[0-9@=]|[A-Za-z] ?: ?[\"']?[0-9A-Za-z]{12}"
+#: Part of every match, and rare elsewhere; cheap, as nearly all characters fail at the first test.
+HINT = (
+    r"(?=[@=:A-Z+)0-9])(?:@|[=:] {0,2}[\"']?[0-9A-Za-z]{12}|A[KS]IA[0-9A-Z]{16}|[A-Z]{2}[0-9]{2} ?[0-9A-Z]{4}|\+[1-9]|\) ?[0-9]{3}-"
+    r"|[0-9](?:[-/.][0-9]{1,3}[-/.][0-9]|[ -][0-9]{4}(?:[0-9]{2})?[ -][0-9]{4}|[0-9]{12}))"
+)
 
 
 def keyed(key: str, kind: str, r: Column, half: Column) -> Column:
@@ -125,12 +128,15 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
 
 
 def card(text: Column, key: str) -> Column:
-    digits = only_digits(text)
-    middle = digits_feistel(F.substring(digits, F.lit(2), F.length(digits) - 2), key, "card")
-    body = F.concat(F.substring(digits, 1, 1), middle)
-    whole = F.concat(body, F.pmod(10 - F.pmod(luhn_sum(body, 0), F.lit(10)), F.lit(10)).cast("string"))
-    valid = (luhn_sum(digits, 1) % 10 == 0) & digits.rlike("^[2-6]")
-    return F.when(valid, refilled(text, whole))
+    def made(digits: Column) -> Column:
+        middle = digits_feistel(F.substring(digits, F.lit(2), F.length(digits) - 2), key, "card")
+        valid = (luhn_sum(digits, 1) % 10 == 0) & digits.rlike("^[2-6]")
+        return F.when(valid, let(let(F.concat(F.substring(digits, 1, 1), middle), checked), lambda whole: refilled(text, whole)))
+
+    def checked(body: Column) -> Column:
+        return F.concat(body, F.pmod(10 - F.pmod(luhn_sum(body, 0), F.lit(10)), F.lit(10)).cast("string"))
+
+    return let(only_digits(text), made)
 
 
 def shifted(text: Column, other: Column, r: Column, key: str, kind: str, split_hex: bool) -> Column:
@@ -198,7 +204,7 @@ CODES_1, CODES_2 = "[17]", "2[07]|3[0-4]|36|39|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[
 def phone(text: Column, key: str) -> Column:
     def made(digits: Column) -> Column:
         code = F.when(~text.startswith("+"), 0).when(digits.rlike(f"^{CODES_1}"), 1).when(digits.rlike(f"^(?:{CODES_2})"), 2).otherwise(3)
-        return let(code, lambda n: F.when(F.length(digits).between(8, 15), refilled(text, digits_feistel(F.substring(digits, n + 1, F.length(digits)), key, "phone"), n)))
+        return let(code, lambda n: F.when(F.length(digits).between(8, 15), let(digits_feistel(F.substring(digits, n + 1, F.length(digits)), key, "phone"), lambda new: refilled(text, new, n))))
 
     return let(only_digits(text), made)
 
