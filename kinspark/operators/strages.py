@@ -141,19 +141,21 @@ def nrr_prior(t, nrr: float):
 
 
 def combined_age(masses: DataFrame, edges: DataFrame, offsets: DataFrame, curated: DataFrame, resolution: float, bins: int) -> DataFrame:
-    """(node_id, tmrca, lo, hi, formed, terms) from masses (node_id, term, bin, mass) of SNP, anchor and STR ages.
+    """(node_id, tmrca, lo, hi, formed, terms) from masses (node_id, term, bin, mass) of SNP, anchor and STR ages, or (node_id, term, mass) in arrays.
 
     The product of a node's terms, or their inverse-variance Gaussian where they have no bin in
     common.  A parent is as old as its oldest child at least, along nodes that have an age; the
     interval moves along and is widened by the rate's error.  formed adds the branch's years
     (node_id, years).  Curated nodes (node_id, tmrca, formed) keep their years.
     """
-    product = ages.pdf_multiply(masses, "node_id", "term")
-    apart = masses.join(product.select("node_id").distinct(), "node_id", "left_anti")
-    each = ages.pdf_stats(apart.withColumn("_k", F.concat_ws("|", "node_id", "term")), "_k", resolution).join(apart.select("node_id", F.concat_ws("|", "node_id", "term").alias("_k")).distinct(), "_k")
+    kept = masses.select("node_id", "term", "mass") if ages.in_arrays(masses) else agetree.arrays(masses.withColumn("_k", F.struct("node_id", "term")), "_k", bins, "mass").select("_k.node_id", "_k.term", "mass")
+    kept = cut_lineage(kept)
+    product = cut_lineage(ages.product_arrays(kept, "node_id"))
+    apart = kept.join(product.select("node_id"), "node_id", "left_anti")
+    each = ages.pdf_stats(apart.withColumn("_k", F.struct("node_id", "term")), "_k", resolution).select("_k.node_id", "median", "lo", "hi")
     means = combine_inverse_variance(each.select("node_id", F.col("median").alias("ybp"), F.greatest((F.col("hi") - F.col("lo")) / (2 * 1.96), F.lit(1.0)).alias("sigma")))
-    gauss = ages.pdf_gaussian(means.select("node_id", F.col("ybp").alias("mean"), "sigma"), "node_id", resolution, bins)
-    n = masses.groupBy("node_id").agg(F.countDistinct("term").alias("terms"))
+    gauss = ages.gaussian_arrays(means.select("node_id", F.col("ybp").alias("mean"), "sigma"), resolution, bins).select("node_id", "mass")
+    n = kept.groupBy("node_id").agg(F.countDistinct("term").alias("terms"))
     est = ages.pdf_stats(product.union(gauss), "node_id", resolution).select("node_id", F.rint("median").alias("med"), F.rint("lo").alias("lo"), F.rint("hi").alias("hi")).join(n, "node_id")
     est = cut_lineage(est)
     ids = est.select("node_id")

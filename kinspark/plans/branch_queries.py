@@ -238,8 +238,7 @@ def combined_age(fx):
     n = fx.node.select("node_id", "support", "curated")
     terms = n.select("node_id", F.lit("snp").alias("term"), (F.col("support") * 100.0).alias("mean"), F.lit(250.0).alias("sigma"))
     terms = terms.union(n.where("node_id % 3 = 0").select("node_id", F.lit("anchor"), F.col("node_id") % 9000 + 0.0, F.lit(80.0)))
-    key = F.concat_ws("|", "node_id", "term")
-    masses = ages.pdf_gaussian(terms.withColumn("k", key), "k", RES, BINS).join(terms.select(key.alias("k"), "node_id", "term"), "k")
+    masses = ages.gaussian_arrays(terms, RES, BINS)
     years = n.select("node_id", (F.col("support") * 10.0).alias("years"))
     fixed = n.where("curated").select("node_id", F.lit(4000.0).alias("tmrca"), F.lit(4500.0).alias("formed"))
-    return strages.combined_age(masses.select("node_id", "term", "bin", "mass"), fx.edge, years, fixed, RES, BINS)
+    return strages.combined_age(masses.select("node_id", "term", "mass"), fx.edge, years, fixed, RES, BINS)

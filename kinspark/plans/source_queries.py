@@ -109,14 +109,18 @@ POISSON = """WITH g AS (SELECT id, bin, CASE WHEN bin = 0 AND m > 0 THEN NULL WH
     w AS (SELECT id, bin, coalesce(exp(lw - max(lw) OVER (PARTITION BY id)), 0.0) AS w FROM g), p AS (SELECT id, bin, w / sum(w) OVER (PARTITION BY id) AS mass FROM w) """
 
 
+def mutations(fx):
+    return fx.table("part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 20).alias("m"), F.lit(0.005).alias("rate"))
+
+
 def poisson(fx):
-    rows = fx.table("part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 20).alias("m"), F.lit(0.005).alias("rate"))
-    return ages.pdf_poisson(rows, "id", RES, BINS)
+    """(id, mass): an array over the grid for each part."""
+    return ages.poisson_arrays(mutations(fx), RES, BINS).select("id", "mass")
 
 
 @query(POISSON + "SELECT id, bin, round(mass, 6) AS mass FROM p")
 def pdf_poisson(fx):
-    return rounded(poisson(fx), "mass")
+    return rounded(ages.pdf_poisson(mutations(fx), "id", RES, BINS), "mass")
 
 
 @query("""WITH g AS (SELECT id, bin, -0.5 * pow((bin * 50.0 - mean) / greatest(sigma, 25.0), 2) AS lw FROM (SELECT p_partkey AS id, p_size * 100.0 AS mean, p_partkey % 300 * 1.0 AS sigma FROM part), (SELECT unnest(range(0, 200)) AS bin)), w AS (SELECT id, bin, exp(lw - max(lw) OVER (PARTITION BY id)) AS w FROM g)
@@ -139,7 +143,7 @@ def pdf_truncate(fx):
 
 @query(POISSON + ", s AS (SELECT id - id % 100 AS grp, bin, sum((id % 100 + 1) * mass) AS w FROM p GROUP BY 1, 2) SELECT grp, bin, round(w / sum(w) OVER (PARTITION BY grp), 6) AS mass FROM s")
 def pdf_mixture(fx):
-    rows = poisson(fx).withColumns({"grp": F.col("id") - F.col("id") % 100, "wt": F.col("id") % 100 + 1})
+    rows = ages.pdf_poisson(mutations(fx), "id", RES, BINS).withColumns({"grp": F.col("id") - F.col("id") % 100, "wt": F.col("id") % 100 + 1})
     return rounded(ages.pdf_mixture(rows, "grp", "wt"), "mass")
 
 
