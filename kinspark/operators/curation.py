@@ -161,8 +161,8 @@ def relative_suggestions(overlaps: DataFrame, terminals: DataFrame, shared: Data
     at = terminals.select("sample_id", "terminal", "score")
     both = other.unionByName(alone).join(at.select(F.col("sample_id").alias("a"), F.col("terminal").alias("ta"), "score"), "a", "left").join(at.select(F.col("sample_id").alias("b"), F.col("terminal").alias("tb")), "b", "left")
     both = both.select("a", "b", "p0", F.when(F.col("ta") == F.col("tb"), F.col("score") * 0.3).otherwise(0.0).alias("p1"), "p2")
-    best = F.greatest("p0", "p1", "p2")
-    primary = F.when(F.col("p0") == best, "POPULATION_OVERLAP").when(F.col("p1") == best, "HAPLOGROUP").otherwise("SHARED_MATCH")
+    p0, p1, p2 = (F.round(p, 9) for p in ("p0", "p1", "p2"))  # signals that differ in rounding alone are ties too
+    primary = F.when(p0 >= F.greatest(p1, p2), "POPULATION_OVERLAP").when(p1 >= p2, "HAPLOGROUP").otherwise("SHARED_MATCH")
     w = Window.partitionBy("a").orderBy(F.desc(F.round("score", 9)), "b")  # sums that differ in rounding alone are ties
     ranked = both.select("a", "b", (F.col("p0") + F.col("p1") + F.col("p2")).alias("score"), primary.alias("primary")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
     return ranked.join(dismissed.select("a", "b"), ["a", "b"], "left_anti")

@@ -169,7 +169,7 @@ def overlap_pairs(shares: DataFrame, blocks: DataFrame, least: float) -> DataFra
     prefix = shares.join(seen, "population").withColumn("_rest", rest).where(F.col("_rest") >= least - 1e-9).join(blocks, "sample_id").select("block", "population", "sample_id")
     x, y = prefix.withColumnRenamed("sample_id", "a"), prefix.withColumnRenamed("sample_id", "b")
     near = x.join(y, ["block", "population"]).where("a < b").select("a", "b").distinct()
-    return population_overlap(shares, near).where(F.col("overlap") >= least)
+    return population_overlap(shares, near).where(F.round("overlap", 9) >= least)  # the order of a sum decides nothing
 
 
 def symmetric_edges(pairs: DataFrame) -> DataFrame:

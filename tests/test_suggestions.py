@@ -58,6 +58,16 @@ def test_suggestions_without_all_pairs_of_a_terminal(spark):
     assert nothing.count() == 0
 
 
+def test_rounding_alone_decides_no_suggestion(spark):
+    """An overlap of .6 less one unit in the last place counts as .6, and .4 x .69 ties with .3 x .92."""
+    shares = spark.createDataFrame([(s, "p", np.nextafter(0.6, 0).item()) for s in (1, 2)], "sample_id long, population string, pct double")
+    assert similarity.overlap_pairs(shares, spark.createDataFrame([(1, 0), (2, 0)], "sample_id long, block long"), 0.6).count() == 1
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long, score double")
+    at = spark.createDataFrame([(1, 7, 0.92), (2, 7, 0.92)], "sample_id long, terminal long, score double")
+    got = curation.relative_suggestions(frame([(1, 2, 0.69)]), at, frame([]), spark.createDataFrame([], "a long, b long"), 10).collect()
+    assert [r["primary"] for r in got] == ["POPULATION_OVERLAP"] * 2
+
+
 def test_ages_up_and_down_against_a_plain_walk(spark):
     res, bins = 50.0, 400
     edges = {2: (1, 3), 3: (1, 12), 4: (2, 2), 5: (2, 9), 6: (5, 0), 7: (3, 1)}
