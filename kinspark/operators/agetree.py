@@ -20,8 +20,6 @@ from .tree import cut_lineage
 
 #: Nodes of a subtree (a task holds up to twice as many, with three arrays of bins each).
 SIZE = 2048
-#: Parts that a node's evidence is summed in before the parts are.
-PARTS = 64
 
 Convolve = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -41,17 +39,10 @@ def to_logs(mass: np.ndarray) -> np.ndarray:
 
 
 def pooled(evidence: DataFrame) -> DataFrame:
-    """(node_id, logs): evidence (node_id, logs) summed bin by bin, a node with very much of it in parts first."""
+    """(node_id, logs): evidence (node_id, logs) summed bin by bin, as it streams by."""
+    from .ages import summed
 
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.asarray(rows["logs"].iloc[0], dtype=np.float64).copy()
-        for x in rows["logs"].iloc[1:]:
-            total += np.asarray(x)
-        return pd.DataFrame({"node_id": [key[0]], "logs": [total.tolist()]})
-
-    schema = "node_id long, logs array<double>"
-    salted = cut_lineage(evidence.select("node_id", "logs").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))))
-    return salted.groupBy("node_id", "part").applyInPandas(add, schema).groupBy("node_id").applyInPandas(add, schema)
+    return summed(evidence, "node_id", "logs")
 
 
 def tree_rows(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -124,14 +115,15 @@ def propagate(tree: DataFrame, evidence: DataFrame, branch: DataFrame, convolve:
             break
         # what fits one group need not be cut
         here = cut_lineage(left.select("node_id", "parent_id", "depth", F.lit(0).cast("long").alias("group"))) if n <= size else _cut(tree, left, size)
-        rows = here.join(logs, "node_id", "left").join(branch, "node_id", "left")
+        # arrays that are often equal make small files and are large in memory: never broadcast
+        rows = here.hint("merge").join(logs.hint("merge"), "node_id", "left").join(branch.hint("merge"), "node_id", "left")
         worked = cut_lineage(rows.groupBy("group").applyInPandas(up, "node_id long, mass array<double>, told array<double>"))
         rounds.append((here, worked.where("mass IS NOT NULL").select("node_id", "mass")))
         if n <= size:
             break
         left = cut_lineage(left.join(here.select("node_id"), "node_id", "left_anti"))
-        sent = worked.where("told IS NOT NULL").join(here, "node_id").select(F.col("parent_id").alias("node_id"), F.col("told").alias("logs"))
-        logs = cut_lineage(pooled(logs.join(left.select("node_id"), "node_id", "left_semi").unionByName(sent)))
+        sent = worked.where("told IS NOT NULL").hint("merge").join(here, "node_id").select(F.col("parent_id").alias("node_id"), F.col("told").alias("logs"))
+        logs = cut_lineage(pooled(logs.hint("merge").join(left.select("node_id"), "node_id", "left_semi").unionByName(sent)))
     if not rounds:
         return tree.sparkSession.createDataFrame([], "node_id long, mass array<double>, formed array<double>")
     dated = rounds[0][1].select("node_id")
@@ -140,10 +132,10 @@ def propagate(tree: DataFrame, evidence: DataFrame, branch: DataFrame, convolve:
     several = cut_lineage(dated.join(tree, "node_id").where("parent_id IS NOT NULL").groupBy("parent_id").agg(F.count("*").alias("_n")).where("_n > 1").select("parent_id", F.lit(True).alias("several")))
     done: DataFrame | None = None
     for here, masses in reversed(rounds):
-        rows = masses.join(here, "node_id").join(branch, "node_id", "left").join(several, "parent_id", "left").withColumn("several", F.coalesce("several", F.lit(False)))
+        rows = masses.hint("merge").join(here, "node_id").join(branch.hint("merge"), "node_id", "left").join(several, "parent_id", "left").withColumn("several", F.coalesce("several", F.lit(False)))
         # ages from rounds above reach the roots of this one's subtrees; inside, the kernel knows them
         above = done.select(F.col("node_id").alias("parent_id"), F.col("mass").alias("above")) if done is not None else None
-        rows = rows.join(above, "parent_id", "left") if above is not None else rows.withColumn("above", F.lit(None).cast("array<double>"))
+        rows = rows.join(above.hint("merge"), "parent_id", "left") if above is not None else rows.withColumn("above", F.lit(None).cast("array<double>"))
         one = cut_lineage(rows.groupBy("group").applyInPandas(down, "node_id long, mass array<double>, formed array<double>"))
         done = one if done is None else done.unionByName(one)
     return done

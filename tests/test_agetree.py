@@ -72,3 +72,23 @@ def test_nothing(spark):
 def test_evidence_that_excludes_itself():
     assert agetree.from_logs(agetree.to_logs(np.eye(1, 5, 1)[0]) + agetree.to_logs(np.eye(1, 5, 3)[0])) is None
     assert np.allclose(agetree.from_logs(agetree.to_logs(np.array([0.0, 0.25, 0.75]))), [0, 0.25, 0.75])
+
+
+def test_no_arrays_are_broadcast(spark, monkeypatch):
+    """Equal arrays make small files, but are large in the driver's memory."""
+    plans, cut = [], agetree.cut_lineage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(agetree, "cut_lineage", seen)
+    tree = spark.createDataFrame([(1, None, 1, 0, 5, 0), (2, 1, 1, 1, 2, 1), (3, 1, 1, 3, 4, 1)], "node_id long, parent_id long, root_id long, enter long, exit long, depth int")
+    one = [0.5, 0.5, 0.0]
+    logs = spark.createDataFrame([(2, [0.0, -1.0, -2.0]), (3, [-1.0, 0.0, -2.0])], "node_id long, logs array<double>")
+    branch = spark.createDataFrame([(2, one), (3, one)], "node_id long, branch array<double>")
+    got = agetree.propagate(tree, logs, branch, lambda x, y: ages.convolved(x, y, 3))
+    assert got.count() == 3
+    lines = [line for p in plans for line in p.splitlines()]
+    sent = [lines[i + 1] for i, line in enumerate(lines) if "BroadcastExchange" in line]  # what is broadcast
+    assert not [x for x in sent if any(name in x.split("Batched")[0] for name in ("branch#", "logs#", "told#"))]
