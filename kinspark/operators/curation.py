@@ -109,10 +109,17 @@ def estimates_listing(estimates: DataFrame) -> DataFrame:
     return estimates.withColumn("place", F.row_number().over(Window.partitionBy("node_id").orderBy(rank, "method")))
 
 
-def identifier_adjudicate(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Pairs that share an id, by how their terminals (ta, tb) relate."""
-    parent = edges.select("child_id", "parent_id")
-    p = pairs.join(parent.select(F.col("child_id").alias("ta"), F.col("parent_id").alias("pa")), "ta", "left").join(parent.select(F.col("child_id").alias("tb"), F.col("parent_id").alias("pb")), "tb", "left")
+def identifier_pairs(samples: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, ta, tb, pa, pb) of samples (identifier, sample_id, terminal) that share an id, their terminals and the parents of those; a pair for each id and parent."""
+    from .similarity import meet_in_tiles
+
+    placed = samples.join(edges.select(F.col("child_id").alias("terminal"), "parent_id"), "terminal", "left")
+    a, b = (placed.select("identifier", F.col("sample_id").alias(s), F.col("terminal").alias(f"t{s}"), F.col("parent_id").alias(f"p{s}")) for s in "ab")
+    return meet_in_tiles(a, b, ["identifier"]).where("a < b").drop("identifier")
+
+
+def identifier_adjudicate(p: DataFrame) -> DataFrame:
+    """Pairs that share an id (`identifier_pairs`), by how their terminals (ta, tb) relate."""
     relation = (
         F.when(F.col("ta").isNull() | F.col("tb").isNull(), "NO_PLACEMENT").when(F.col("ta") == F.col("tb"), "SAME").when((F.col("pa") == F.col("tb")) | (F.col("pb") == F.col("ta")), "PARENT_CHILD").when(F.col("pa") == F.col("pb"), "SIBLING").otherwise("DISTANT")
     )

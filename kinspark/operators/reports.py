@@ -141,10 +141,25 @@ def studies_with_samples(studies: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def identifier_collisions(identifiers: DataFrame) -> DataFrame:
-    """Pairs of samples that share an external id."""
-    a = identifiers.select("identifier", F.col("sample_id").alias("a"))
-    b = identifiers.select("identifier", F.col("sample_id").alias("b"))
-    return a.join(b, "identifier").where("a < b").groupBy("a", "b").agg(F.count_distinct("identifier").alias("shared"))
+    """(a, b, shared): pairs of samples that share an external id.
+
+    Samples with the same ids are one kind; kinds meet on an id, and their members then meet in
+    tiles, so no pair of samples is shuffled and no id is one task.
+    """
+    from .similarity import meet_in_tiles
+    from .tree import cut_lineage
+
+    held = identifiers.dropna(subset=["identifier", "sample_id"]).groupBy("sample_id").agg(F.array_sort(F.collect_set("identifier")).alias("v"))  # one sample's ids
+    named = held.groupBy("v").agg(F.min("sample_id").alias("kind"))
+    members = cut_lineage(held.join(named, "v").select("kind", "sample_id", "v"))
+    kinds = members.where("kind = sample_id").select("kind", "v")
+    ids = cut_lineage(kinds.select("kind", F.explode("v").alias("identifier")))
+    x, y = ids.withColumnRenamed("kind", "x"), ids.withColumnRenamed("kind", "y")
+    other = x.join(y, "identifier").where("x < y").groupBy("x", "y").agg(F.count("*").alias("shared"))
+    pairs = kinds.select(F.col("kind").alias("x"), F.col("kind").alias("y"), F.size("v").cast("long").alias("shared")).unionByName(other)
+    one = pairs.join(members.select(F.col("kind").alias("x"), F.col("sample_id").alias("p")), "x")
+    both = meet_in_tiles(one, members.select(F.col("kind").alias("y"), F.col("sample_id").alias("q")), ["y"]).where("x <> y OR p < q")
+    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared")
 
 
 def reputation_scores(ledger: DataFrame, once: list[str]) -> DataFrame:

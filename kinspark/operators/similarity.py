@@ -24,9 +24,9 @@ def in_parts(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def meet_in_tiles(left: DataFrame, right: DataFrame, key: list[str], size: int = TILE) -> DataFrame:
+def meet_in_tiles(left: DataFrame, right: DataFrame, key: list[str], size: int | None = None) -> DataFrame:
     """left joined with right on `key`; a key's rows of `right` are split in tiles, with each of which all its left rows meet, so that no key is one task."""
-    n = right.groupBy(*key).agg(F.ceil(F.count("*") / size).alias("_tiles"))
+    n = right.groupBy(*key).agg(F.ceil(F.count("*") / (size or TILE)).alias("_tiles"))
     x = left.join(n, key).withColumn("_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1))).drop("_tiles")
     y = right.join(n, key).withColumn("_tile", F.pmod(F.xxhash64(*right.columns), F.col("_tiles"))).drop("_tiles")
     return in_parts(x, *key, "_tile").hint("merge").join(in_parts(y, *key, "_tile"), [*key, "_tile"]).drop("_tile")

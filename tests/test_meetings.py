@@ -34,3 +34,21 @@ def test_common_variants_are_not_met_one_by_one(spark):
     out = similarity.jaccard_pairs(df, ["terminal"])
     assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
     assert out.where("shared = 20 AND jaccard = 1").count() == out.count() == 300 * 299 // 2
+
+
+def test_identifiers_meet_in_tiles_and_pairs_are_not_grouped(spark, monkeypatch):
+    from kinspark.operators import curation, reports
+
+    monkeypatch.setattr(similarity, "TILE", 5)
+    pick = random.Random(3)
+    rows = {(s % 3, s) for s in range(60)} | {(pick.randrange(3, 30), s) for s in range(60) for _ in range(s % 4)} | {(None, 1), (None, 2)}
+    df = spark.createDataFrame(sorted(rows, key=str) * 2, "identifier long, sample_id long")
+    got = {(r["a"], r["b"]): r["shared"] for r in reports.identifier_collisions(df).collect()}
+    assert got == {(x, y): n for (_, x, y), n in shared([(0, s, k) for k, s in rows if k is not None]).items()}
+    samples = spark.range(50).selectExpr("id % 2 AS identifier", "id AS sample_id", "nullif(id % 9, 8) AS terminal")
+    edges = spark.createDataFrame([(k, k // 3) for k in range(3, 9)], "child_id long, parent_id long")
+    out = curation.identifier_adjudicate(curation.identifier_pairs(samples, edges))
+    last = next(line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line)
+    assert "_tile" in last  # pairs meet nothing afterwards
+    tells = Counter(r["relation"] for r in out.collect())
+    assert sum(tells.values()) == 2 * 25 * 24 // 2 and tells["NO_PLACEMENT"] > 0 and tells["SAME"] > 0
