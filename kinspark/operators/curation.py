@@ -232,7 +232,7 @@ def str_reconstruct(motifs: DataFrame, edges: DataFrame) -> DataFrame:
     parent = cut_lineage(edges.select("child_id", "parent_id").distinct())
     depth = cut_lineage(node_depth(tree_closure(edges)))
     deepest = depth.agg(F.max("depth")).first()[0] or 0
-    own = motifs.select("node_id", "marker", F.col("modal").alias("value"))
+    own = cut_lineage(motifs.select("node_id", "marker", F.col("modal").alias("value")))  # each level reads it, and none makes it again
     up = None
     below = None
     for d in range(deepest, -1, -1):
