@@ -283,7 +283,9 @@ def pii_scan(fx):
 @query("""SELECT id, array_to_string(regexp_split_to_array(body, '\\s+'), ' ') AS abstract FROM fx_text""")
 def rebuild_abstract(fx):
     """An abstract from its inverted index: word and positions back to text."""
-    words = fx.text.select("id", F.posexplode(F.split("body", r"\s+")).alias("at", "word"))
+    # texts are dealt out by id once, before they become words; the groups below then stay where they are
+    texts = fx.text.select("id", "body")
+    words = similarity.in_parts(texts, "id").select("id", F.posexplode(F.split("body", r"\s+")).alias("at", "word"))
     index = words.groupBy("id", "word").agg(F.collect_list("at").alias("places"))
     back = index.select("id", "word", F.explode("places").alias("at")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("x"))
     return back.select("id", F.array_join(F.transform("x", lambda r: r["word"]), " ").alias("abstract"))
