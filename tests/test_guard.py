@@ -2,6 +2,7 @@
 
 import datetime
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from kinspark.streaming import guard
@@ -44,3 +45,49 @@ def test_signature_is_free_again_after_its_time(spark, tmp_path):
 def test_purge(spark):
     rows = spark.createDataFrame([("a", START), ("b", START + datetime.timedelta(seconds=1)), ("c", None)], "signature string, expires_at timestamp")
     assert [r["signature"] for r in guard.expired(rows, str(START + datetime.timedelta(seconds=1))).collect()] == ["a"]
+
+
+class Counted:
+    """A handle and a value that count what a signature's state is asked."""
+
+    def __init__(self):
+        self.calls, self.value = 0, None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+
+    def deleteTimer(self, at):
+        self.calls += 1
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(())
+
+
+def test_a_signature_costs_three_calls_and_an_early_timer_leaves_its_state():
+    from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo
+
+    one, state = guard._Reserve(1000), Counted()
+    one.handle = one.until = state
+    frame = pd.DataFrame({"signature": ["a"] * 3, "request_id": [2, 1, 3], "ts": [START] * 3, "micros": [5000, 5000, 6001]})
+    (told,) = one.handleInputRows(("a",), iter([frame]), None)
+    assert dict(zip(told["request_id"], told["accepted"])) == {1: True, 2: False, 3: True} and state.value == (7001,) and state.calls == 3
+    list(one.handleExpiredTimer(("a",), None, ExpiredTimerInfo(7)))
+    assert state.value == (7001,)
+    list(one.handleExpiredTimer(("a",), None, ExpiredTimerInfo(8)))
+    assert state.value is None
