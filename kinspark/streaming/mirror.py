@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 KEYS = ["collection", "did", "rkey"]
 
 
-def _newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Emits a key's record when a batch brings one that is not older than the one kept; a tombstone stays in state."""
-    kept = state.get if state.exists else None
-    best = None
-    for frame in frames:
-        row = frame.sort_values(["time_us", "arrival"], kind="stable").iloc[-1]
-        if best is None or (row["time_us"], row["arrival"]) >= (best["time_us"], best["arrival"]):
-            best = row
-    if best is not None and (kept is None or (best["time_us"], best["arrival"]) >= kept):
-        state.update((int(best["time_us"]), int(best["arrival"])))
-        yield pd.DataFrame([{"collection": key[0], "did": key[1], "rkey": key[2], "time_us": best["time_us"], "arrival": best["arrival"], "operation": best["operation"], "value": best["value"]}])
-
-
 def lww_state(commits: DataFrame) -> DataFrame:
-    """A stream of the records that win, each batch's changes; state is two numbers a key."""
-    return commits.groupBy(*KEYS).applyInPandasWithState(
-        _newest, "collection string, did long, rkey long, time_us long, arrival long, operation string, value double", "time_us long, arrival long", "update", GroupStateTimeout.NoTimeout)
+    """A stream of the records that win, each batch's changes; state is the newest record of each key, tombstones too.
+
+    A record carries the time of the batch that brought it, so a key whose record stands is not
+    told again; of records with one time and arrival the later batch's wins.
+    """
+    rows = commits.withColumn("brought", F.current_timestamp())
+    best = rows.groupBy(*KEYS).agg(F.max(F.struct("time_us", "arrival", "brought", "operation", "value")).alias("r"))
+    return best.where(F.col("r.brought") == F.current_timestamp()).select(*KEYS, "r.time_us", "r.arrival", "r.operation", "r.value")
 
 
 def apply_batch(mirror: DataFrame | None, changes: DataFrame) -> DataFrame:
