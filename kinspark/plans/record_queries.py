@@ -140,6 +140,6 @@ def typed_mirror(fx):
     finished(records.mirror_records(lines, f"{at}/tables", f"{at}/checkpoint"))
     out = None
     for kind in TABLES:
-        one = records.typed_rows(fx.spark, f"{at}/tables", kind).agg(F.lit(kind).alias("kind"), F.count("*").alias("records"), F.sum("time_us").alias("times"))
+        one = records.typed_rows(fx.spark, f"{at}/tables", kind, columns=["time_us"]).agg(F.lit(kind).alias("kind"), F.count("*").alias("records"), F.sum("time_us").alias("times"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -242,7 +242,9 @@ def mirror_records(lines: DataFrame, path: str, checkpoint: str, collections: Ma
     """
 
     def split(batch: DataFrame, number: int) -> None:
-        rows = sorted_out(batch, collections).persist()
+        # lines are dealt out evenly, whatever files they came in; texts are kept for rejects alone, and a kind's rows lie together, so that its builder reads no others
+        rows = sorted_out(batch.repartition(batch.sparkSession.sparkContext.defaultParallelism), collections)
+        rows = rows.withColumn("value", F.when(F.col("kind").isNull(), F.col("value"))).sortWithinPartitions("kind").persist()
         try:
             # a row for each kind and reason: which tables this batch touches
             for found in rows.select("kind").distinct().collect():
@@ -262,9 +264,13 @@ def typed_schema(spark: SparkSession, kind: str):
     return build(sorted_out(spark.createDataFrame([], "value string")), kind).schema
 
 
-def typed_rows(spark: SparkSession, path: str, kind: str, deleted: bool = False) -> DataFrame:
-    """A kind's newest rows over all batches of a mirror."""
-    return newest(_batches(spark, f"{path}/{kind}", typed_schema(spark, kind)), deleted)
+def typed_rows(spark: SparkSession, path: str, kind: str, deleted: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """A kind's newest rows over all batches of a mirror; of other columns than keys only those named, which then are all that is read and shuffled."""
+    rows = _batches(spark, f"{path}/{kind}", typed_schema(spark, kind))
+    if columns is None:
+        return newest(rows, deleted)
+    needed = [*KEYS, *dict.fromkeys(["operation", "time_us", "arrival", "at_uri", *columns])]
+    return newest(rows.select(*needed), deleted).select(*KEYS, *columns)
 
 
 def rejected_rows(spark: SparkSession, path: str) -> DataFrame:
