@@ -95,7 +95,9 @@ def materialize_private(published: DataFrame, variants: DataFrame, nodes: DataFr
     rows = published.select("sample_id", "terminal", "name", *site).join(named, "name", "left").join(placed, ["contig", "position", "canon"], "left")
     minted = F.concat_ws(":", "contig", F.col("position").cast("string"), "canon")
     found = rows.select("sample_id", "terminal", F.coalesce(F.col("by_name").cast("string"), F.col("by_site").cast("string"), minted).alias("variant"))
-    wanted = found.join(nodes.select("node_id", F.col("name").alias("terminal")), "terminal", "left").groupBy("sample_id", "variant").agg(F.min("node_id").alias("node_id"))
+    parts = int(published.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, since rows that compress well would be put into few tasks
+    at = found.join(nodes.select("node_id", F.col("name").alias("terminal")), "terminal", "left").select("sample_id", "variant", "node_id")
+    wanted = at.repartition(parts, "sample_id", "variant").groupBy("sample_id", "variant").agg(F.min("node_id").alias("node_id"))
     kept = existing.select("sample_id", "variant", F.col("node_id").alias("old_node"), F.col("status").alias("old"), "origin")
     both = wanted.withColumn("published", F.lit(True)).join(kept, ["sample_id", "variant"], "full_outer")
     decided = F.col("old").isin("INVALIDATED", "PROMOTED")
