@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import scalars
-from .tree import cut_lineage
+from .tree import cut_lineage, numbered
 
 
 #: About so many samples of a block, or rows of a key, are one side of a task's group.
@@ -233,10 +233,23 @@ def duplicate_candidates(sets: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def population_overlap(shares: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sum of the lesser shares of each pair (a, b)."""
-    a = shares.select(F.col("sample_id").alias("a"), "population", F.col("pct").alias("pa"))
-    b = shares.select(F.col("sample_id").alias("b"), "population", F.col("pct").alias("pb"))
-    return pairs.join(a, "a").join(b, ["b", "population"]).groupBy("a", "b").agg(F.sum(F.least("pa", "pb")).alias("overlap"))
+    """Sum of the lesser shares of each pair (a, b); a sample has one row for each population.
+
+    A sample's shares are one row of numbered populations, so a pair is one row all the way and its
+    sum needs no shuffle.  Pairs leave the first join in the order of a: equal shares lie together
+    and compress; the second join hashes the samples, so that these wide rows are never sorted.
+    """
+    shares = cut_lineage(shares.where("population IS NOT NULL").select("sample_id", "population", F.coalesce("pct", F.lit(float("inf"))).alias("pct")))
+    codes = numbered(shares.select("population").distinct(), "code", 0, "population")
+    held = shares.join(codes, "population").groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("code").cast("int"), "pct"))).alias("m"))
+    rows = pairs.groupBy("a", "b").agg(F.count("*").alias("times"))
+    x, y = held.select(F.col("sample_id").alias("a"), F.col("m").alias("ma")), held.select(F.col("sample_id").alias("b"), F.col("m").alias("mb"))
+    met = rows.hint("merge").join(x, "a").join(y.hint("shuffle_hash"), "b")
+    # an unknown share (infinite) leaves the other; where both are, nothing is added
+    lesser = F.map_values(F.map_zip_with("ma", "mb", lambda k, p, q: F.when(p.isNotNull() & q.isNotNull(), F.least(p, q))))
+    met = met.select("a", "b", "times", F.filter(lesser, lambda v: v.isNotNull()).alias("v")).where(F.size("v") > 0)
+    known = F.filter("v", lambda v: v != float("inf"))
+    return met.select("a", "b", F.when(F.size(known) > 0, F.col("times") * F.aggregate(known, F.lit(0.0), lambda total, v: total + v)).alias("overlap"))
 
 
 def overlap_pairs(shares: DataFrame, blocks: DataFrame, least: float) -> DataFrame:
