@@ -12,15 +12,23 @@ from .similarity import SLACK, repoint
 
 
 def is_private_name(name: Column) -> Column:
-    """Placeholder names end in `:n` and digits."""
-    return F.coalesce(name.rlike(":n[0-9]+$"), F.lit(False))
+    """Placeholder names end in `:n` and digits; labels that are a bare UUID name a private subject."""
+    return F.coalesce(name.rlike(r":n[0-9]+\z") | is_uuid_label(name), F.lit(False))
+
+
+def is_uuid_label(label: Column) -> Column:
+    """36 letters: hexadecimal digits in groups of 8, 4, 4, 4 and 12 between dashes."""
+    return label.rlike(r"\A[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\z")
 
 
 def private_placeholder_filter(nodes: DataFrame, closure: DataFrame, samples: DataFrame) -> DataFrame:
     """(node_id, parent_id, samples): kept nodes under their nearest kept ancestor, with the samples re-homed there.
 
     A private node without a kept ancestor takes its samples with it; a null name is kept.
+    Samples whose label (column `label`, where there is one) is a bare UUID are hidden: they count nowhere.
     """
+    if "label" in samples.columns:
+        samples = samples.where(~F.coalesce(is_uuid_label(F.col("label")), F.lit(False)))
     kept = nodes.where(~is_private_name(F.col("name"))).select("node_id")
     above = closure.join(kept.withColumnRenamed("node_id", "ancestor_id"), "ancestor_id")
     parent = above.where("distance > 0").groupBy(F.col("descendant_id").alias("node_id")).agg(F.min_by("ancestor_id", "distance").alias("parent_id"))

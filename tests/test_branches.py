@@ -26,6 +26,14 @@ def test_private_nodes_hand_their_samples_up(spark):
     assert sorted(map(tuple, branches.private_placeholder_filter(nodes, closure, samples).collect())) == [(1, None, 2), (4, 1, 1), (5, None, 0)]
 
 
+def test_labels_that_are_bare_uuids_are_private(spark):
+    a, b = "00192078-fecd-4194-8a0d-09ce47c9c138", "00192078-FECD-4194-8a0d-09ce47c9c13"
+    nodes = spark.createDataFrame([(1, "R"), (2, a), (3, b), (4, "x" + a), (5, "foo:notes"), (6, "R:n1\n")], "node_id int, name string")
+    closure = spark.createDataFrame([(i, i, 0) for i in range(1, 7)] + [(1, i, 1) for i in (2, 4, 5, 6)] + [(2, 3, 1), (1, 3, 2)], "ancestor_id int, descendant_id int, distance int")
+    samples = spark.createDataFrame([(1, 2, "HG01890"), (2, 3, a), (3, 3, None), (4, 1, a.upper())], "sample_id long, terminal int, label string")
+    assert sorted(map(tuple, branches.private_placeholder_filter(nodes, closure, samples).collect())) == [(1, None, 1), (3, 1, 1), (4, 1, 0), (5, 1, 0), (6, 1, 0)]
+
+
 def test_step_table_sums_to_one(spark):
     sums = {r["m"]: r["s"] for r in strages.str_step_table(spark).groupBy("m").agg({"p": "sum"}).withColumnRenamed("sum(p)", "s").collect()}
     assert len(sums) == strages.MOST_MUTATIONS + 1 and all(abs(v - 1) < 0.02 for v in sums.values())
