@@ -111,6 +111,25 @@ def test_ages_up_and_down_against_a_plain_walk(spark):
     assert got[6]["formed"] == got[6]["median"] and got[3]["formed"] > got[3]["median"]
 
 
+def test_every_sample_dates_its_terminal(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from kinspark.plans import curation_queries
+
+    given = []
+
+    def told(branches, testers):
+        given.extend(map(tuple, testers.select("node_id", "snps", "bp").collect()))
+        return spark.createDataFrame([(1, 1.0, 1.0, 1.0, 1.0, 1.0)], "node_id long, mean double, median double, lo double, hi double, formed double")
+
+    monkeypatch.setattr(ages, "snp_age_propagate", told)
+    fx = SimpleNamespace(
+        node_variant=spark.createDataFrame([(2, 7)], "node_id long, variant_id long"), edge=spark.createDataFrame([(2, 1)], "child_id long, parent_id long"),
+        sample=spark.createDataFrame([(1, 5, 3), (2, 5, 3), (3, 5, 16), (4, 6, 0)], "sample_id long, terminal long, mt long"))
+    curation_queries.snp_age_propagate(fx)
+    assert sorted(given) == [(5, 3, 12e6), (5, 3, 12e6), (5, 4, 12e6), (6, 0, 12e6)]
+
+
 def test_a_disjoint_child_takes_what_its_parent_implies():
     child, parent, branch = (np.eye(1, 20, k)[0] for k in (15, 9, 2))
     assert ages.refined(child, parent, branch, 20).argmax() == 7
