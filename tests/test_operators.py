@@ -191,6 +191,31 @@ def test_clusters_equal_the_greedy_walk(spark):
     assert got == want and any(r[2] for r in want.values()) and len(want) > 10
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_near_sets_are_no_rows(spark, monkeypatch, block):
+    """Of 200 sets nearly all are near to each other; what is written between the steps grows with the sets, not with their pairs."""
+    import random
+
+    from kinspark.operators import clusters
+
+    rng, written, cut = random.Random(4), [], clusters.cut_lineage
+    held = {(t, 100 * t + s): frozenset(rng.sample(range(14), 14 - rng.randrange(4))) for t in (1, 2) for s in range(100)}
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(clusters, "BLOCK", block, raising=False)
+    monkeypatch.setattr(clusters, "cut_lineage", counted)
+    found = clusters.cluster_variant_sets(spark.createDataFrame([(t, s, v) for (t, s), vs in held.items() for v in vs], "terminal int, sample_id long, variant_id long"))
+    got = {r["seed"]: (r["variant_ids"], r["split"]) for r in found.summary.collect()}
+    want = {seed: row[1:] for t in (1, 2) for seed, row in greedy({s: vs for (u, s), vs in held.items() if u == t}).items()}
+    assert got == want and len(want) > 4
+    near = sum(len(a & b) / len(a | b) >= 0.8 for (t, x), a in held.items() for (u, y), b in held.items() if t == u and x < y)
+    assert max(written) <= 200 * 14 < near
+
+
 def test_no_sets_no_clusters(spark):
     from kinspark.operators import clusters
 
