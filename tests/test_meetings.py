@@ -5,6 +5,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from kinspark.operators import similarity
 
 
@@ -52,3 +54,39 @@ def test_identifiers_meet_in_tiles_and_pairs_are_not_grouped(spark, monkeypatch)
     assert "_tile" in last  # pairs meet nothing afterwards
     tells = Counter(r["relation"] for r in out.collect())
     assert sum(tells.values()) == 2 * 25 * 24 // 2 and tells["NO_PLACEMENT"] > 0 and tells["SAME"] > 0
+
+
+@pytest.mark.parametrize("side", [9, 4096])
+def test_duplicates_are_told_where_they_meet(spark, monkeypatch, side):
+    """Every pair of a terminal, whatever the tiles, against plain sets; none is joined or grouped after it is made."""
+    monkeypatch.setattr(similarity, "SIDE", side, raising=False)
+    pick = random.Random(6)
+    held = {s: {v for v in range(12) if pick.random() < 0.6} for s in range(60)}
+    at = {s: (s % 2, pick.choice([1, 2, 3, None])) for s in held}
+    sets = spark.createDataFrame([(s, v) for s, vs in held.items() for v in vs] + [(3, None), (None, 3)], "sample_id long, variant_id long")
+    samples = spark.createDataFrame([(s, t, m) for s, (t, m) in at.items()], "sample_id long, terminal long, mt long")
+    want = {}
+    for a in held:
+        for b in held:
+            n, union = len(held[a] & held[b]), max(1, len(held[a] | held[b]))
+            match = at[a][1] is not None and at[a][1] == at[b][1]
+            if a < b and at[a][0] == at[b][0] and (match or (n >= 3 and n / union >= 0.5)):
+                want[a, b] = (n, n / union, match, min(1.0, 0.4 * match + 0.6 * (n / union)))
+    out = similarity.duplicate_candidates(sets, samples)
+    assert {(r["a"], r["b"]): tuple(r)[2:] for r in out.collect()} == want and len(want) > 300
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Join" not in plan[: plan.index("FlatMapGroupsInArrow")]
+
+
+def test_a_sample_passes_the_shuffle_a_few_times(spark):
+    """3000 samples are one side; before, each was sent to three tiles."""
+    df = spark.range(3000 * 8).selectExpr("1L AS terminal", "id % 3000 AS sample_id", "id div 3000 AS variant_id").where("(sample_id + variant_id) % 5 > 0")
+    rows = similarity.meetings(df.withColumn("size", F.lit(8).cast("long")), ["terminal"])
+    dealt = []
+    monkey = similarity.in_parts
+    try:
+        similarity.in_parts = lambda x, *keys: dealt.append(x.count()) or monkey(x, *keys)
+        similarity.meetings(df.withColumn("size", F.lit(8).cast("long")), ["terminal"])
+    finally:
+        similarity.in_parts = monkey
+    assert dealt == [5] and rows.count() == 3000 * 2999 // 2
