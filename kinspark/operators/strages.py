@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ages, agetree
-from .similarity import combine_inverse_variance
+from .similarity import combine_inverse_variance, meet_in_tiles
 from .tree import current_rows, cut_lineage, tree_closure
 
 GENERATION = 33.0
@@ -92,19 +92,29 @@ def str_star_age(testers: DataFrame, modal: DataFrame, marker_ages: DataFrame, r
     return ages.pdf_stats(ages.normalised(logs, "node_id", "lw"), "node_id", resolution).join(facts.drop("_n"), "node_id")
 
 
-def motif_pair_age(pairs: DataFrame, marker_ages: DataFrame, key: str) -> DataFrame:
-    """(key, bin, mass) of the time between two motifs: the product over rows (key, marker, g) of their markers' ages.
+def motif_pair_ages(pairs: DataFrame, marker_ages: DataFrame, key: str, bins: int) -> DataFrame:
+    """(key, mass), arrays: the time between two motifs, the product over rows (key, marker, g) of their markers' ages.
 
-    Rows whose marker and distance have no age are left out; equal rows are counted first.
+    Rows whose marker and distance have no age are left out; equal rows are counted first.  Keys
+    that tell the same are worked once, so a bin is no row and few arrays are multiplied.
     """
     counts = pairs.groupBy(key, "marker", "g").agg(F.count("*").alias("n")).join(marker_ages.select("marker", "g").distinct(), ["marker", "g"], "left_semi")
-    need = counts.groupBy(key).agg(F.sum("n").alias("_n"))
-    logs = counts.join(marker_ages.where("mass > 0"), ["marker", "g"]).groupBy(key, "bin").agg(F.sum(F.col("n") * F.log("mass")).alias("lw"), F.sum("n").alias("_c"))
-    return ages.normalised(logs.join(need, key).where("_c = _n"), key, "lw")
+    told = cut_lineage(counts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("marker", "g", "n"))).alias("told")))  # one key's markers
+    kinds = cut_lineage(told.groupBy("told").agg(F.min(key).alias("kind")))
+    by = agetree.arrays(marker_ages.withColumn("_key", F.struct("marker", "g")), "_key", bins, "age").select("_key.marker", "_key.g", "age")
+    rows = kinds.select("kind", F.explode("told").alias("t")).select("kind", "t.*").hint("merge").join(by, ["marker", "g"])
+    logs = rows.select("kind", F.transform("age", lambda x: F.when(x > 0, F.log(x) * F.col("n")).otherwise(F.lit(float("-inf")))).alias("logs"))
+    found = ages.with_masses(ages.summed(logs, "kind", "logs"), lambda frame: ages.shares_of(ages.stacked(frame["logs"]))).select("kind", "mass")
+    return meet_in_tiles(kinds.hint("merge").join(found, "kind").select("told", "mass"), told, ["told"]).select(key, "mass")
 
 
 def str_propagate(motifs: DataFrame, edges: DataFrame, testers: DataFrame, marker_ages: DataFrame, resolution: float, bins: int, size: int = agetree.SIZE) -> DataFrame:
-    """(node_id, bin, mass): the age of each node that testers below it date, from its children up.
+    """(node_id, bin, mass) of `str_age_arrays`, bins without mass left out."""
+    return agetree.masses(str_age_arrays(motifs, edges, testers, marker_ages, resolution, bins, size), "mass")
+
+
+def str_age_arrays(motifs: DataFrame, edges: DataFrame, testers: DataFrame, marker_ages: DataFrame, resolution: float, bins: int, size: int = agetree.SIZE) -> DataFrame:
+    """(node_id, mass), arrays: the age of each node that testers below it date, from its children up.
 
     motifs: reconstructed (node_id, marker, value); testers: (node_id, sample_id, marker,
     repeats); marker_ages: (marker, g, bin, mass).  A node's age is the product of its children's
@@ -119,13 +129,13 @@ def str_propagate(motifs: DataFrame, edges: DataFrame, testers: DataFrame, marke
     child = motifs.select(F.col("node_id").alias("child_id"), "marker", F.col("value").alias("a"))
     above = motifs.select(F.col("node_id").alias("parent_id"), "marker", F.col("value").alias("b"))
     pairs = child.join(links, "child_id").join(above, ["parent_id", "marker"]).select("child_id", "marker", F.abs(F.col("a") - F.col("b")).cast("int").alias("g"))
-    branch = agetree.arrays(motif_pair_age(pairs, marker_ages, "child_id"), "child_id", bins, "branch").select(F.col("child_id").alias("node_id"), "branch")
+    branch = motif_pair_ages(pairs, marker_ages, "child_id", bins).select(F.col("child_id").alias("node_id"), F.col("mass").alias("branch"))
     tips = testers.join(motifs, ["node_id", "marker"]).select(F.col("node_id").cast("long").alias("node_id"), "marker", F.abs(F.col("repeats") - F.col("value")).cast("int").alias("g"))
-    own = cut_lineage(agetree.arrays(motif_pair_age(tips, marker_ages, "node_id"), "node_id", bins, "mass"))
+    own = cut_lineage(motif_pair_ages(tips, marker_ages, "node_id", bins))
     impossible = F.lit(float("-inf"))
     logs = own.select("node_id", F.transform("mass", lambda x: F.when(x > 0, F.log(x)).otherwise(impossible)).alias("logs"))
     out = agetree.propagate(agetree.tree_rows(links, own), logs, branch, lambda x, y: ages.convolved(x, y, bins), size)
-    return agetree.masses(cut_lineage(out), "mass")
+    return cut_lineage(out.select("node_id", "mass"))
 
 
 def str_signatures(modal: DataFrame, manual: DataFrame) -> DataFrame:

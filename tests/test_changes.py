@@ -127,3 +127,24 @@ def test_str_distance_of_several_copies(spark):
     profiles = spark.createDataFrame([(1, 1, [15, 12]), (1, 2, [9]), (2, 1, [12, 15]), (2, 2, [9]), (3, 1, [1, 2, 3])], "sample_id long, marker int, repeats array<int>")
     motifs = spark.createDataFrame([(7, 1, [12, 14]), (7, 2, [11]), (8, 3, [1])], "node_id long, marker int, modal array<int>")
     assert sorted(map(tuple, similarity.str_distance(profiles, motifs).collect())) == [(1, 7, 3, 2), (2, 7, 3, 2)]
+
+
+def test_equal_motif_distances_are_worked_once(spark, monkeypatch):
+    """Of 60 keys with three kinds of distances, three arrays are summed, and none of their bins is a row."""
+    bins, summed, given = 20, ages.summed, []
+
+    def counted(rows, key, column):
+        given.append(rows.count())
+        return summed(rows, key, column)
+
+    monkeypatch.setattr(ages, "summed", counted)
+    rng = np.random.default_rng(1)
+    held = {(m, g): rng.random(bins) * (np.arange(bins) >= 3 * m) for m in (1, 2) for g in (0, 1)}
+    marker_ages = spark.createDataFrame([(m, g, b, float(x)) for (m, g), w in held.items() for b, x in enumerate(w) if x > 0], "marker int, g int, bin int, mass double")
+    pairs = {k: [(1, 0), (2, 1), (2, 1)][: k % 3 + 1] + [(9, 0)] for k in range(60)}
+    got = strages.motif_pair_ages(spark.createDataFrame([(k, m, g) for k, rows in pairs.items() for m, g in rows], "child_id long, marker int, g int"), marker_ages, "child_id", bins)
+    found = {r["child_id"]: np.array(r["mass"]) for r in got.collect()}
+    assert set(found) == set(pairs) and given == [1 + 2 + 2]
+    for k, rows in pairs.items():
+        want = np.prod([held[row] for row in rows if row in held], axis=0)
+        assert np.allclose(found[k], want / want.sum(), atol=1e-12)
