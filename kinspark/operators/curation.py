@@ -140,6 +140,22 @@ def terminal_scores(samples: DataFrame, depth: DataFrame, half: float = 8.0) ->
     return samples.select("sample_id", "terminal").join(scored, "terminal").select("sample_id", "terminal", "score")
 
 
+def suggested_overlaps(shares: DataFrame, blocks: DataFrame, terminals: DataFrame, shared: DataFrame, least: float, most: int) -> DataFrame:
+    """(a, b, score) of overlaps for `relative_suggestions`: those of `similarity.overlap_pairs` that can tell in the best `most` of any sample.
+
+    A pair without a shared match is only among a sample's best if it is so by overlap and
+    terminal alone, as other signals only add; pairs with one are all there.
+    """
+    from .similarity import best_overlap_pairs, population_overlap, rare_shares
+    from .tree import cut_lineage
+
+    shares = cut_lineage(shares)
+    at = cut_lineage(rare_shares(shares, least).where("rare").join(blocks.select("sample_id", "block").dropna().distinct(), "sample_id").select("sample_id", "block", "population"))
+    near = shared.select("a", "b").join(at.withColumnRenamed("sample_id", "a").hint("merge"), "a").join(at.withColumnRenamed("sample_id", "b").hint("merge"), ["b", "block", "population"]).select("a", "b")
+    pairs = cut_lineage(best_overlap_pairs(shares, blocks, terminals, least, most, 0.4, 0.3).unionByName(near).distinct())
+    return population_overlap(shares, pairs).where(F.round("overlap", 9) >= least).select("a", "b", F.col("overlap").alias("score"))
+
+
 def relative_suggestions(overlaps: DataFrame, terminals: DataFrame, shared: DataFrame, dismissed: DataFrame, most: int = 50) -> DataFrame:
     """(a, b, score, primary, rank): the best `most` relatives b of each sample a; dismissed ones (a, b) are taken out after the cut.
 

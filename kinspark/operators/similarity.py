@@ -297,6 +297,14 @@ def population_overlap(shares: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.select("a", "b", F.when(F.size(known) > 0, F.col("times") * F.aggregate(known, F.lit(0.0), lambda total, v: total + v)).alias("overlap"))
 
 
+def rare_shares(shares: DataFrame, least: float) -> DataFrame:
+    """shares and whether each is `rare`: a sample holds `least` or more from it on, in the order of `overlap_pairs`."""
+    seen = shares.groupBy("population").agg(F.count("*").alias("_n"))
+    rest = F.sum("pct").over(Window.partitionBy("sample_id").orderBy(F.desc("_n"), F.desc("population")))
+    # sums that miss the bound by rounding alone still meet; the overlap itself decides
+    return shares.join(seen, "population").withColumn("rare", F.coalesce(rest >= least - 1e-9, F.lit(False))).select("sample_id", "population", "pct", "rare")
+
+
 def overlap_pairs(shares: DataFrame, blocks: DataFrame, least: float) -> DataFrame:
     """(a, b, overlap) of samples of one block whose common shares come to `least` or more.
 
@@ -305,15 +313,76 @@ def overlap_pairs(shares: DataFrame, blocks: DataFrame, least: float) -> DataFra
     each holds from there on.  So only samples meet that agree on a population from which on both
     hold `least`; the last ones, which everyone has a little of, bring nobody together.
     """
-    seen = shares.groupBy("population").agg(F.count("*").alias("_n"))
-    rest = F.sum("pct").over(Window.partitionBy("sample_id").orderBy(F.desc("_n"), F.desc("population")))
-    # sums that miss the bound by rounding alone still meet; the overlap itself decides
-    prefix = shares.join(seen, "population").withColumn("_rest", rest).where(F.col("_rest") >= least - 1e-9).join(blocks, "sample_id").select("block", "population", "sample_id")
+    prefix = rare_shares(shares, least).where("rare").join(blocks, "sample_id").select("block", "population", "sample_id")
     x, y = prefix.withColumnRenamed("sample_id", "a"), prefix.withColumnRenamed("sample_id", "b")
     near = x.join(y, ["block", "population"]).where("a < b").select("a", "b").distinct()
     return population_overlap(shares, near).where(F.round("overlap", 9) >= least)  # the order of a sum decides nothing
 
 
+def best_overlap_pairs(shares: DataFrame, blocks: DataFrame, terminals: DataFrame, least: float, most: int, weight: float, same: float, side: int = 1024, across: int = 1 << 16) -> DataFrame:
+    """(a, b), a < b, of samples of one block: all that are among the `most` best of either by weight x overlap, and same x score for an equal terminal.
+
+    shares: (sample_id, population, pct); blocks: (sample_id, block); terminals: (sample_id,
+    terminal, score).  Only overlaps of `least` or more count; ties go to the lesser id.  Every
+    two samples of a block are looked at, `side` of them against `across` others in one task,
+    which tells each sample's best: pairs are no rows but for these.  More may be returned.
+    """
+    known = rare_shares(shares.where("population IS NOT NULL"), least)
+    held = known.groupBy("sample_id").agg(F.collect_list(F.struct("population", F.coalesce("pct", F.lit(float("inf"))).alias("pct"), "rare")).alias("v"))  # one sample's shares
+    placed = blocks.select("sample_id", "block").dropna().distinct().join(held, "sample_id").join(terminals.select("sample_id", "terminal", "score"), "sample_id", "left")
+    placed = cut_lineage(placed)
+    n = placed.groupBy("block").agg(F.ceil(F.count("*") / side).alias("_is"), F.ceil(F.count("*") / across).alias("_js"))
+    rows = placed.join(n, "block")
+    at, every = (lambda c: F.pmod(F.xxhash64("sample_id"), F.col(c))), (lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)))
+    columns = ["block", "sample_id", "v", "terminal", "score"]
+    x = rows.select(*columns, F.lit(True).alias("seeks"), at("_is").alias("_i"), every("_js").alias("_j"))
+    y = rows.select(*columns, F.lit(False).alias("seeks"), every("_is").alias("_i"), at("_js").alias("_j"))
+    schema = StructType([StructField(c, placed.schema["sample_id"].dataType) for c in "ab"])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("sample_id")
+        seeks, ids = table["seeks"].to_numpy(), table["sample_id"].combine_chunks()
+        one, two = np.flatnonzero(seeks), np.flatnonzero(~seeks)
+        rank = ids.dictionary_encode().indices.to_numpy()
+        home = pc.fill_null(table["terminal"].combine_chunks().dictionary_encode().indices, -1).to_numpy()
+        bonus = same * pc.fill_null(table["score"].combine_chunks(), 0.0).to_numpy(zero_copy_only=False)
+        lists = table["v"].combine_chunks()
+        entries, owner = lists.flatten(), np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
+        population, pct = entries.field("population").dictionary_encode().indices.to_numpy(), entries.field("pct").to_numpy(zero_copy_only=False)
+        rare, unknown = entries.field("rare").to_numpy(zero_copy_only=False), bool(np.isinf(pct).any())
+        order = np.argsort(population, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(population[order])) + 1)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        step = max(1, (1 << 20) // max(1, len(two)))
+        for low in range(0, len(one) if len(two) else 0, step):
+            p = one[low : low + step]
+            total, met = np.zeros((len(p), len(two))), np.full((len(p), len(two)), not unknown)
+            for g in groups:
+                share = np.zeros(len(ids))
+                share[owner[g]] = pct[g]
+                if share[p].any():
+                    lesser = np.minimum(share[p][:, None], share[two][None, :])
+                    if unknown:  # an unknown share leaves the other, but brings nobody together
+                        lesser[np.isinf(lesser)] = 0.0
+                        known = np.zeros(len(ids), dtype=bool)
+                        known[owner[g]] = rare[g]
+                        met |= known[p][:, None] & known[two][None, :]
+                    total += lesser
+            fits = met & (total >= least - 1e-8) & (rank[p][:, None] != rank[two][None, :])
+            total = np.round(weight * total + np.where((home[p][:, None] == home[two][None, :]) & (home[p][:, None] >= 0), bonus[p][:, None], 0.0), 9)
+            total[~fits] = -np.inf
+            if len(two) > most:
+                bound = np.partition(total, len(two) - most, axis=1)[:, len(two) - most][:, None]
+                above, tied = total > bound, total == bound
+                fits &= above | (tied & (tied.cumsum(axis=1) <= most - above.sum(axis=1, keepdims=True)))
+            u, w = np.nonzero(fits)
+            found.append((np.minimum(p[u], two[w]), np.maximum(p[u], two[w])))
+        a, b = (np.concatenate([f[k] for f in found] or [np.empty(0, dtype=np.int64)]) for k in (0, 1))
+        return pa.table([ids.take(pa.array(a)), ids.take(pa.array(b))], names=schema.names)
+
+    return in_parts(x.unionByName(y), "block", "_i", "_j").groupBy("block", "_i", "_j").applyInArrow(run, schema).distinct()
+
+
 def symmetric_edges(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
 

@@ -158,3 +158,22 @@ def test_merge_and_split(spark):
     out = tree.split_node(splits, moves, nodes, links)
     assert sorted(tuple(r) for r in out["node"].collect()) == [(1, 10, "new", 4), (5, 11, "C", 4)]
     assert sorted(tuple(r) for r in out["link"].where("node_id >= 4").collect()) == [(10, 20), (11, 40)]
+
+
+def test_the_best_overlaps_suggest_what_all_do(spark):
+    """Ties, equal terminals and shared matches included; of 60 samples in two blocks only the best pairs are returned."""
+    rng = random.Random(8)
+    shares = [(s, p, w / 10) for s in range(60) for p, w in zip("xyz", rng.choice([(5, 3, 2), (6, 4, 0), (4, 4, 2), (1, 1, 8)]), strict=True) if w]
+    shares = [(s, p, None if (s, p) == (7, "x") else w) for s, p, w in shares]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    h, blocks = frame(shares, "sample_id long, population string, pct double"), frame([(s, s % 2) for s in range(60)], "sample_id long, block long")
+    terminals = frame([(s, s % 7, 0.1 + s % 7 / 10) for s in range(55)], "sample_id long, terminal long, score double")
+    shared = frame([(a, b, 2.0) for a, b in sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(40)})], "a long, b long, score double")
+    none = frame([], "a long, b long")
+    every = similarity.overlap_pairs(h, blocks, 0.6).select("a", "b", F.col("overlap").alias("score"))
+    want = curation.relative_suggestions(every, terminals, shared, none, 4).collect()
+    best = curation.suggested_overlaps(h, blocks, terminals, shared, 0.6, 4)
+    assert sorted(curation.relative_suggestions(best, terminals, shared, none, 4).collect()) == sorted(want) and len(want) == 240
+    for side, across in ((7, 11), (1024, 13)):
+        told = {tuple(r) for r in similarity.best_overlap_pairs(h, blocks, terminals, 0.6, 4, 0.4, 0.3, side, across).collect()}
+        assert {tuple(r) for r in similarity.best_overlap_pairs(h, blocks, terminals, 0.6, 4, 0.4, 0.3).collect()} <= told < {(r["a"], r["b"]) for r in every.collect()}
